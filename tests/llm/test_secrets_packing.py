@@ -1,0 +1,115 @@
+import random
+import re
+
+import pytest
+
+from tidewell.llm import packing, secrets
+
+from . import fixtures
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def plain_scan(text, path):
+    text, out, gaps, at = text or "", [], [], 0
+    for m in re.finditer(secrets.CANDIDATE, text):
+        gaps.append(text[at : m.start()])
+        at = m.end()
+        out.append(m.group())
+    gaps.append(text[at:])
+    found = []
+    for i, c in enumerate(out):
+        if re.search("[0-9]", c) and re.search("[A-Za-z]", c):
+            feats = secrets.features(c, gaps[i][-48:], gaps[i + 1][:16], path or "")
+            found.append((i, c, *feats, secrets.vote(secrets.forest(), feats)))
+    return found
+
+
+def texts():
+    r = random.Random(3)
+    made = secrets.labelled_findings(80, seed=99)
+    out = [fixtures.prose(r, 8) + " " + a[2].join([a[1] + a[0], " "]) + fixtures.prose(r, 5) for a in made]
+    return out + [f'x\ntoken = "{HEX}"\n{HEX} é {HEX}', HEX, "", None, "1" * 30, "a1" * 4000, "it\\'s \\n 'q' " + HEX]
+
+
+def test_scan_against_brute_force(spark):
+    rows = [(i, t, "test/x" if i % 2 else None, "clash") for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, cand string")
+    got = secrets.scan(df)
+    found = sorted(tuple(r) for r in got.select("doc_id", "__s_ord", "__s_cand", *secrets.FEATURES, "__s_vote").collect())
+    assert found == sorted((i, *f) for i, t, s, _ in rows for f in plain_scan(t, s))
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = [(i, t, None) for i, t in enumerate(texts())]
+    got = {r[0]: r[1] for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, t, s in rows:
+        want = t
+        if t is not None:
+            hits = {f[0] for f in plain_scan(t, s) if f[-1] >= secrets.THRESHOLD}
+            seen = iter(range(10**6))
+            want = re.sub(secrets.CANDIDATE, lambda m: "[SECRET]" if next(seen) in hits else m[0], t)
+        assert got[i] == want
+
+
+def test_held_out_accuracy():
+    rows = secrets.labelled_findings(1500, seed=1234)
+    right = [(secrets.vote(secrets.forest(), secrets.features(*r[:4])) >= secrets.THRESHOLD) == bool(r[4]) for r in rows]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_plan_has_no_python(spark):
+    df = spark.createDataFrame([(1, "x", "y")], "doc_id long, text string, source string")
+    for out in (secrets.scan(df), secrets.redact(df)):
+        assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_packing_holds_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    rows = fixtures.rows()
+    got = packing.pack_documents(fixtures.docs(spark)).collect()
+    words = sorted((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1) for r in rows if r[0] is not None)
+    per = {}
+    for r in got:
+        per.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    total = {}
+    for i, n in words:
+        total[i] = total.get(i, 0) + n
+    assert {i: sum(p[2] for p in ps) for i, ps in per.items() if i is not None} == total
+    assert max(len(ps) for ps in per.values()) > 1
+    bins = {}
+    for r in got:
+        bins.setdefault(r["bin_id"], []).append(r)
+    for members in bins.values():
+        members.sort(key=lambda r: r["bin_offset"])
+        at = 0
+        for r in members:
+            assert r["bin_offset"] == at
+            at += r["length"]
+        smallest = min(c for c in packing.CAPACITIES if c >= at)
+        assert {r["capacity"] for r in members} == {smallest}
+    assert packing.pack_documents(fixtures.empty(spark)).count() == 0
+
+
+def plain_pack(lengths, capacities):
+    bins, at, rest = [], {}, sum(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        n = lengths[i]
+        open_ = [(b[0] - b[1], k) for k, b in enumerate(bins) if b[0] - b[1] >= n]
+        if open_:
+            k = min(open_)[1]
+        else:
+            k = len(bins)
+            bins.append([min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / min(c, rest), c)), 0])
+        at[i] = (k, bins[k][1])
+        bins[k][1] += n
+        rest -= n
+    return [(*at[i], min(c for c in capacities if c >= bins[at[i][0]][1])) for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_against_brute_force(seed):
+    r = random.Random(seed)
+    lengths = [r.choice([1, r.randint(1, 100), r.randint(1, 4096), 4096]) for _ in range(200)]
+    assert packing.pack(lengths) == plain_pack(lengths, packing.CAPACITIES)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality, secrets, simhash
+from . import bpe, embeddings, hmm, html_text, line_dedup, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__sim_fp"), 16, "0")).alias("fingerprint"), F.col("__sim_component").alias("component_id"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.digests(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    return rows.select("doc_id", "__b.n_tokens", "__b.ids_sha256", "__b.decoded_sha256")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
     return rows.select("doc_id", *[F.col(f"__q.{c}").alias(c) for c in quality.COUNTS], F.col("__q_base_failed").alias("base_failed"), F.col("__q_kept").alias("kept"))
@@ -31,10 +36,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "source", F.col("__ld_n_lines").alias("n_lines"), F.col("__ld_n_dropped").alias("n_dropped"), "text")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages"), keep_cols=["page_id", "url"])
+    return rows.select("page_id", "url", F.col("__h_text").alias("text"), F.length("__h_text").cast("long").alias("n_chars"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest are of the base spans; ``spans`` has those and the network's."""
+    rows = pii.find(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    return rows.select("doc_id", *[f"__pii.{c}" for c in pii.SPANS.names])
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
