@@ -9,7 +9,11 @@ bits in at least one 32-bit half, so one vantage-point tree per half, searched w
 The trees are grown on the driver from a bounded sample of fingerprints and only steer where
 rows go.  Every distinct fingerprint is a resident of one leaf of each tree, and a guest of
 each leaf whose triangle bounds leave room for a link to a resident; a leaf's rows meet in
-one task, and a leaf above ``LEAF_CAP`` rows is cut into chunks that meet pairwise.
+one task.  Guests meet residents only; a leaf with more than ``LEAF_CAP`` residents (or ``GUEST_CAP``
+guests) is cut into chunks, and each pair of resident chunks and each resident with each guest chunk meet in a task of their own.
+
+Leaves hold about ``LEAF_SHARE`` times the square root of the number n of fingerprints: random words visit
+leaves in numbers that grow with the square root of n / leaf, so that rows sent grow as n**1.25 and comparisons as n**1.75.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 from .common import connected_components, materialise, ship
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-LEAF_ROWS, LEAF_CAP, SAMPLE = 1024, 4096, 32768
+LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 1024, 8, 8192, 131_072, 32768
 
 
 def fingerprint(text: str | None) -> int:
@@ -135,35 +139,50 @@ def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tup
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one cell: residents of chunk ``i`` with those of chunk ``j`` (cell "rr"), or residents with guests ("rg"), or both ("all")."""
     fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
     home, chunk = pdf["home"].to_numpy(bool), pdf["chunk"].to_numpy()
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+    cell, i, j = pdf["cell"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
     links: list[tuple[int, int]] = []
-    if i == j:
-        links += spanning_links(fp[home], None, RADIUS) + spanning_links(fp[home], fp[~home], RADIUS)
-    else:
-        mine, other = chunk == i, chunk == j
-        links += spanning_links(fp[home & mine], fp[other], RADIUS) + spanning_links(fp[home & other], fp[~home & mine], RADIUS)
+    if cell != "rg":
+        if i == j:
+            links += spanning_links(fp[home], None, RADIUS)
+        else:
+            links += spanning_links(fp[home & (chunk == i)], fp[home & (chunk == j)], RADIUS)
+    if cell != "rr" and not home.all():
+        links += spanning_links(fp[home], fp[~home], RADIUS)
     return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
 
 
+def _cells(routed: DataFrame) -> DataFrame:
+    """``routed`` with the cells in which each row takes part; all leaves but heavy ones are one cell."""
+    per = routed.groupBy("leaf").agg(F.count_if("home").alias("residents"), F.count_if(~F.col("home")).alias("guests"))
+    per = per.select("leaf", F.ceil(F.col("residents") / LEAF_CAP).cast("int").alias("gr"), F.greatest(F.lit(1), F.ceil(F.col("guests") / GUEST_CAP)).cast("int").alias("gg"))
+    heavy = materialise(per.where("gr > 1 or gg > 1"), "vp-heavy")
+    zero = F.lit(0)
+    if heavy.isEmpty():
+        return routed.withColumns({"cell": F.lit("all"), "chunk": zero, "i": zero, "j": zero})
+    marked = routed.join(heavy, "leaf", "left")
+    light = marked.where("gr is null").select("leaf", "fp", "home", F.lit("all").alias("cell"), zero.alias("chunk"), zero.alias("i"), zero.alias("j"))
+    many = marked.where("gr is not null").withColumn("chunk", F.pmod(F.xxhash64("fp", "leaf"), F.when(F.col("home"), F.col("gr")).otherwise(F.col("gg"))).cast("int"))
+    upto = lambda g: F.explode(F.sequence(zero, F.col(g) - 1)).alias("k")
+    cols = ["leaf", "fp", "home", "chunk"]
+    rr = many.where("home").select(*cols, upto("gr")).select("leaf", "fp", "home", F.lit("rr").alias("cell"), "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
+    r_g = many.where("home").select(*cols, upto("gg")).select("leaf", "fp", "home", F.lit("rg").alias("cell"), "chunk", F.col("chunk").alias("i"), F.col("k").alias("j"))
+    g_r = many.where("not home").select(*cols, upto("gr")).select("leaf", "fp", "home", F.lit("rg").alias("cell"), "chunk", F.col("k").alias("i"), F.col("chunk").alias("j"))
+    return light.unionByName(rr).unionByName(r_g).unionByName(g_r)
+
+
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """Links (u, v) between the distinct fingerprints ``fp`` that span the same components as all links at 4 or fewer bits."""
     total = distinct.count()
     take = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
     sample = np.array([r[0] for r in take.collect()], np.int64).view(np.uint64)
     halves = [((sample >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for side in (0, 1)]
-    trees = [grow_tree(h, total, RADIUS // 2) for h in halves]
+    leaf_rows = max(LEAF_ROWS, int(LEAF_SHARE * total**0.5))
+    trees = [grow_tree(h, total, RADIUS // 2, leaf_rows) for h in halves]
     routed = materialise(distinct.mapInPandas(_route(trees, RADIUS // 2), "leaf long, fp long, home boolean"), "vp-routed")
-    heavy = materialise(routed.groupBy("leaf").count().where(F.col("count") > LEAF_CAP).select("leaf", F.ceil(F.col("count") / LEAF_CAP).alias("g")), "vp-heavy")
-    if heavy.isEmpty():
-        dealt = routed.withColumns({"chunk": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
-    else:
-        chunks = routed.join(heavy, "leaf", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-        chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("fp", "leaf"), "g").cast("int"))
-        dealt = chunks.withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("g") - 1).cast("int"))))
-        dealt = dealt.withColumns({"i": F.least("chunk", "k"), "j": F.greatest("chunk", "k")}).drop("k", "g")
-    return dealt.groupBy("leaf", "i", "j").applyInPandas(_meet, "u long, v long")
+    return _cells(routed).groupBy("leaf", "cell", "i", "j").applyInPandas(_meet, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
