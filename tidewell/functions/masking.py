@@ -24,18 +24,18 @@ REFERENCE = r"\s*(?:\$[A-Za-z_][A-Za-z0-9_]*|\$\{[^}]*\}|<[^>]*>|None|none|null)
 #: Applied one after the other; (pattern, replacement).  Without look-around, so that other engines can run them too.
 FLAT = [
     (TOKEN_SHAPES, MARK),
-    (rf"(?i)([\"']{NAMES}[\"']\s*:\s*\")[^\"\n]+(\")", rf"${{1}}{MARK}${{2}}"),
-    (rf"(?i)([\"']{NAMES}[\"']\s*:\s*')[^'\n]+(')", rf"${{1}}{MARK}${{2}}"),
-    (rf"(?i)\b({NAMES}\s*[=:]\s*\")[^\"\n]+(\")", rf"${{1}}{MARK}${{2}}"),
-    (rf"(?i)\b({NAMES}\s*[=:]\s*')[^'\n]+(')", rf"${{1}}{MARK}${{2}}"),
-    (rf"(?i)\b({NAMES}\s*[=:]\s*)[^\s\"'$<\[{{]\S*", rf"${{1}}{MARK}"),
-    (r"(?i)(--(?:password|passwd|token|secret|api-key)(?:=|\s+))[^\s\[-]\S*", rf"${{1}}{MARK}"),
-    (r"(\bsshpass\s+-p\s*)[^\s\[]\S*", rf"${{1}}{MARK}"),
-    (r"(\bmysql\b[^\n|;]*?\s-p)[^\s\[]\S*", rf"${{1}}{MARK}"),
-    (r"(\bcurl\b[^\n|;]*?\s-u\s+[^\s:]+:)[^\s\[]\S*", rf"${{1}}{MARK}"),
-    (r"(\becho\s+)[^\s|\[][^|\n]*?(\s*\|\s*sudo\s+-S)", rf"${{1}}{MARK}${{2}}"),
+    (rf"(?i)([\"']{NAMES}[\"']\s*:\s*\")[^\"\n]+(\")", rf"$1{MARK}$2"),
+    (rf"(?i)([\"']{NAMES}[\"']\s*:\s*')[^'\n]+(')", rf"$1{MARK}$2"),
+    (rf"(?i)\b({NAMES}\s*[=:]\s*\")[^\"\n]+(\")", rf"$1{MARK}$2"),
+    (rf"(?i)\b({NAMES}\s*[=:]\s*')[^'\n]+(')", rf"$1{MARK}$2"),
+    (rf"(?i)\b({NAMES}\s*[=:]\s*)[^\s\"'$<\[{{]\S*", rf"$1{MARK}"),
+    (r"(?i)(--(?:password|passwd|token|secret|api-key)(?:=|\s+))[^\s\[-]\S*", rf"$1{MARK}"),
+    (r"(\bsshpass\s+-p\s*)[^\s\[]\S*", rf"$1{MARK}"),
+    (r"(\bmysql\b[^\n|;]*?\s-p)[^\s\[]\S*", rf"$1{MARK}"),
+    (r"(\bcurl\b[^\n|;]*?\s-u\s+[^\s:]+:)[^\s\[]\S*", rf"$1{MARK}"),
+    (r"(\becho\s+)[^\s|\[][^|\n]*?(\s*\|\s*sudo\s+-S)", rf"$1{MARK}$2"),
 ]
-_PYTHON = [(re.compile(p), re.sub(r"\$\{(\d)\}", r"\\g<\1>", r)) for p, r in FLAT]
+_PYTHON = [(re.compile(p), re.sub(r"\$(\d)", r"\\g<\1>", r)) for p, r in FLAT]
 FIELD = re.compile(
     r"(?:^|[_\-. ])(?:passwords?|passwd|passphrases?|pass|pw|pwd|secrets?|tokens?|apikeys?|api[_-]keys?|privatekeys?|private[_-]keys?|accesskeys?|access[_-]keys?|credentials?|authorization|pgpassword|sshpass)$", re.I
 )

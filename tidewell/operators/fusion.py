@@ -30,8 +30,8 @@ def recency(mtime: Column, metadata: Column, now: Column) -> Column:
     """exp(-age/90 days) of mtime, else of the metadata's timestamp, else of ten years; the future counts as now."""
     stamp = F.unix_micros(F.try_to_timestamp(F.get_json_object(metadata, "$.timestamp"))) / 1e6
     seen = F.when(F.coalesce(mtime, F.lit(0.0)) != 0, mtime).otherwise(stamp)
-    days = F.greatest(F.lit(0.0), (now - seen) / 86400.0)
-    return F.exp(-F.coalesce(days, F.lit(NO_DATE_DAYS)) / HALF_LIFE)
+    days = F.when(seen.isNull(), F.lit(NO_DATE_DAYS)).otherwise(F.greatest(F.lit(0.0), (now - seen) / 86400.0))
+    return F.exp(-days / HALF_LIFE)
 
 
 def importance(metadata: Column) -> Column:

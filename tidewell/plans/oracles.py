@@ -47,7 +47,7 @@ OKAPI = """otoks AS (SELECT rowid, regexp_extract_all(lower(content), '[a-zàâ
     FROM oqt JOIN odf USING (term) JOIN otf USING (term) JOIN otoks ON otoks.rowid = otf.rowid, ostat GROUP BY qid, otf.rowid HAVING sum(times * idf) > 0)"""
 VECTORS = "vectors AS (SELECT vec_id AS rowid, 'v' || label || '_' || vec_id AS id, 's' || (vec_id % 5) AS source, CAST(label AS VARCHAR) AS type, embedding::DOUBLE[] AS e FROM embeddings)"
 VQ = "vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 25 = 0)"
-L2 = "round(sqrt(list_sum(list_transform(list_zip({a}, {b}), x -> (x[1] - x[2]) * (x[1] - x[2])))), 6)"
+L2 = "round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6)"
 COS = "round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 6)"
 
 
@@ -129,9 +129,9 @@ COMPACT = r"regexp_replace(strip_accents(lower(coalesce({}, ''))), '[^\p{{L}}\p{
 
 def _present(obj: str, corpus: str) -> str:
     c = COMPACT.format
-    numbers = f"list_transform(regexp_extract_all({obj}, '[0-9]+(?:[.,][0-9]+)?'), x -> {c('x')})"
-    words = f"list_transform(regexp_extract_all({obj}, '\\p{{L}}{{4,}}'), x -> {c('x')})"
-    inside = "len(list_filter({xs}, x -> NOT contains({corpus}, x))) = 0"
+    numbers = f"list_transform(regexp_extract_all({obj}, '[0-9]+(?:[.,][0-9]+)?'), lambda x: {c('x')})"
+    words = f"list_transform(regexp_extract_all({obj}, '\\p{{L}}{{4,}}'), lambda x: {c('x')})"
+    inside = "len(list_filter({xs}, lambda x: NOT contains({corpus}, x))) = 0"
     return f"""({c(obj)} = '' OR contains({corpus}, {c(obj)}) OR CASE WHEN len({numbers}) > 0 THEN {inside.format(xs=numbers, corpus=corpus)} ELSE len({words}) > 0 AND {inside.format(xs=words, corpus=corpus)} END)"""
 
 
@@ -139,7 +139,7 @@ STOPS = "[" + ", ".join(_q(w) for w in STOP_WORDS) + "]"
 
 
 def _prompt_tokens(text: str) -> str:
-    return f"list_slice(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(regexp_extract_all(lower({text}), '[a-zA-ZÀ-ſ0-9_-]{{3,}}'), w -> NOT list_contains({STOPS}, w)), w -> [w])), (a, w) -> CASE WHEN list_contains(a, w[1]) THEN a ELSE a || w END), 1, 8)"
+    return f"list_slice(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(regexp_extract_all(lower({text}), '[a-zA-ZÀ-ſ0-9_-]{{3,}}'), lambda w: NOT list_contains({STOPS}, w)), lambda w: [w])), lambda a, w: CASE WHEN list_contains(a, w[1]) THEN a ELSE a || w END), 1, 8)"
 
 
 PROMPTS = "prompts AS (SELECT qid, CASE WHEN qid % 5 = 0 THEN text || ' INC-' || lpad(CAST(qid AS VARCHAR), 4, '0') ELSE text END AS text, 's' || (qid % 6) AS session_id, q FROM hqueries)"
@@ -165,7 +165,7 @@ def _phrases(chunks: str, queries: str, words: str) -> str:
 
 
 def _coverage(prompts: str, hits: str, chunks: str) -> str:
-    wanted = f"list_transform({_prompt_tokens('text')}, w -> {FOLD.format('w')})"
+    wanted = f"list_transform({_prompt_tokens('text')}, lambda w: {FOLD.format('w')})"
     return f"""SELECT h.qid, h.rowid, CAST(len(list_intersect(list_distinct(wanted), list_distinct(regexp_extract_all({FOLD.format('content')}, '[a-zA-ZÀ-ſ0-9_-]{{3,}}')))) AS INTEGER) AS covers
     FROM {hits} h JOIN {chunks} c USING (rowid) JOIN (SELECT qid, {wanted} AS wanted FROM {prompts}) USING (qid)"""
 
@@ -174,7 +174,7 @@ def _mask(text: str) -> str:
     for pattern, to in FLAT:
         back = to
         for g in "12":
-            back = back.replace("${" + g + "}", "\\" + g)
+            back = back.replace("$" + g, "\\" + g)
         text = f"regexp_replace({text}, {_q(pattern)}, {_q(back)}, 'g')"
     return text
 
@@ -244,8 +244,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT id, absent, CASE WHEN absent THEN coalesce(before, since) END AS absent_since, absent <> (before IS NOT NULL) AS changed FROM a""",
         "object_present": f"""SELECT doc_id, {_present('obj', 'corpus')} AS present FROM (SELECT doc_id, {COMPACT.format('text')} AS corpus,
           CASE doc_id % 4 WHEN 0 THEN 'about 98,4 % of ' || doc_id WHEN 1 THEN substr(text, 5, 20) WHEN 2 THEN 'zzzz yyyy' ELSE '' END AS obj FROM documents)""",
-        "requested_date": "SELECT * FROM " + _rows([(1, "2026-03-14"), (2, "2026-02-03"), (3, "2026-03-05"), (4, None), (5, None), (6, None), (7, None), (8, "2025-08-01"), (9, "2026-05-05"), (10, None), (11, None)], "n, date"),
-        "header_date": "SELECT * FROM " + _rows([(1, "2026-03-14"), (2, None), (3, "2026-03-15"), (4, None), (5, None), (6, "2026-01-02"), (7, None)], "n, date"),
+        "requested_date": "SELECT CAST(m AS BIGINT) AS n, date FROM " + _rows([(1, "2026-03-14"), (2, "2026-02-03"), (3, "2026-03-05"), (4, None), (5, None), (6, None), (7, None), (8, "2025-08-01"), (9, "2026-05-05"), (10, None), (11, None)], "m, date"),
+        "header_date": "SELECT CAST(m AS BIGINT) AS n, date FROM " + _rows([(1, "2026-03-14"), (2, None), (3, "2026-03-15"), (4, None), (5, None), (6, "2026-01-02"), (7, None)], "m, date"),
         "ambient_tokens": f"SELECT conv_id, turn, array_to_string({_prompt_tokens('text')}, ' ') AS tokens FROM conversations",
         "fold_text": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",
         "identifier_gate": f"WITH {CHUNKS}, {QUERIES}, {HCHUNKS}, {HQUERIES}, {PROMPTS}, {NOTED}, {UNKNOWN} SELECT qid FROM unknown",
@@ -331,15 +331,16 @@ def _scheduling() -> dict[str, str]:
         "job_sync_diff": "SELECT * FROM " + _rows(change, "task_id, change"),
         "missed_runs": f"WITH {RUNS}, {DUE} SELECT task_id, due FROM due d WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.task_id = d.task_id AND r.started_at >= d.due AND r.started_at <= d.due + INTERVAL 10 MINUTE)",
         "overlap_runs": f"WITH {RUNS}, l AS (SELECT task_id, id, started_at, lag(id) OVER w AS previous_id, lag(started_at + to_microseconds(CAST(round(duration_s * 1000000) AS BIGINT))) OVER w AS e FROM real WINDOW w AS (PARTITION BY task_id ORDER BY started_at, id)) SELECT task_id, id, previous_id FROM l WHERE e > started_at",
-        "coalesced_runs": f"""WITH {RUNS}, {DUE}, u AS (SELECT task_id, due AS at, 1 AS kind FROM due UNION ALL SELECT task_id, started_at, 0 FROM real),
-          g AS (SELECT *, sum(1 - kind) OVER (PARTITION BY task_id ORDER BY at, kind DESC ROWS UNBOUNDED PRECEDING) AS gap FROM u) SELECT task_id, max(at) AS due, count(*) AS periods FROM g WHERE kind = 1 GROUP BY task_id, gap""",
+        "coalesced_runs": f"""WITH {RUNS}, {DUE}, u AS (SELECT task_id, due AS t, 1 AS kind FROM due UNION ALL SELECT task_id, started_at, 0 FROM real),
+          g AS (SELECT *, sum(1 - kind) OVER (PARTITION BY task_id ORDER BY t, kind DESC ROWS UNBOUNDED PRECEDING) AS gap FROM u) SELECT task_id, max(t) AS due, count(*) AS periods FROM g WHERE kind = 1 GROUP BY task_id, gap""",
         "last_status": f"WITH {RUNS}, {LAST} SELECT ref, status FROM last",
         "dependency_gate": f"WITH {RUNS}, {LAST}, t AS (SELECT task_id, CASE WHEN task_id = 'error' THEN 'never' ELSE 'u' || (max(id) % 7) END AS depends_on FROM runs GROUP BY task_id) SELECT task_id, depends_on, status, status IS DISTINCT FROM 'ok' AS blocked FROM t LEFT JOIN last ON ref = depends_on",
         "ran_since": f"WITH {RUNS}, m AS (SELECT task_id, max(started_at) AS m FROM runs GROUP BY task_id), a AS (SELECT task_id, m - INTERVAL 70 MINUTE AS since FROM m UNION ALL SELECT task_id, m + INTERVAL 1 SECOND FROM m) SELECT task_id, since, EXISTS (SELECT 1 FROM real r WHERE r.task_id = a.task_id AND r.started_at >= since) AS ran FROM a",
-        "gate_verdicts": "SELECT * FROM " + _rows([(by[4], "run"), ("rotate", "@rotate"), (by[6], "run"), (by[9], "skipped_adaptive"), ("rotate-2", "run"), (by[13], "skipped_tokens"), (by[14], "skipped_dependency"), (by[29], "run")], "task_id, verdict"),
+        "gate_verdicts": f"WITH {RUNS} SELECT task_id, CASE WHEN verdict = '@sync' THEN (SELECT CASE WHEN arg_max(status, id) = 'ok' THEN 'run' ELSE 'skipped_dependency' END FROM real WHERE task_id = 'click') ELSE verdict END AS verdict FROM "
+        + _rows([(by[4], "run"), ("rotate", "@sync"), (by[6], "run"), (by[9], "skipped_adaptive"), ("rotate-2", "run"), (by[13], "skipped_tokens"), (by[14], "skipped_dependency"), (by[29], "run")], "task_id, verdict"),
         "recent_runs": f"WITH {RUNS} SELECT id, task_id, status, duration_s FROM runs ORDER BY id DESC LIMIT 20",
         "run_summary": f"WITH {RUNS} SELECT task_id, status, count(*) AS runs, round(sum(duration_s), 6) AS total_s, max(duration_s) AS longest_s, min(started_at) AS first_at, max(started_at) AS last_at FROM runs GROUP BY task_id, status",
-        "repeated_hour": "SELECT * FROM " + _rows([(x, x == "2026-10-25 01:30:00") for x in v.INSTANTS], "at, repeated"),
+        "repeated_hour": "SELECT * FROM " + _rows([(x, x == "2026-10-25 01:30:00") for x in v.INSTANTS], '"at", repeated'),
         "fingerprint": f"WITH {RUNS}, {OUTPUTS} SELECT fp AS fingerprint, count(*) AS n FROM printed GROUP BY fp",
         "adaptive_state": f"WITH {RUNS}, {OUTPUTS} SELECT task_id, fp AS fingerprint, unchanged, CASE WHEN fp IS NOT NULL AND times > 1 THEN finished_at + 900 * (times - 1) ELSE 0 END::DOUBLE AS skip_until FROM states QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY id DESC) = 1",
         "adaptive_skips": f"WITH {RUNS}, {OUTPUTS} SELECT task_id, id, unchanged, CAST(900 * (times - 1) AS BIGINT) AS wait_s FROM states WHERE fp IS NOT NULL AND times > 1",
