@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, hmm, html_text, line_dedup, packing, pii, quality, secrets, simhash
+from . import bpe, embeddings, hmm, html_text, line_dedup, oracles, packing, pii, quality, secrets, simhash
 from .common import table
 
 
@@ -64,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
