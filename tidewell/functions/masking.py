@@ -28,7 +28,7 @@ FLAT = [
     (rf"(?i)([\"']{NAMES}[\"']\s*:\s*')[^'\n]+(')", rf"$1{MARK}$2"),
     (rf"(?i)\b({NAMES}\s*[=:]\s*\")[^\"\n]+(\")", rf"$1{MARK}$2"),
     (rf"(?i)\b({NAMES}\s*[=:]\s*')[^'\n]+(')", rf"$1{MARK}$2"),
-    (rf"(?i)\b({NAMES}\s*[=:]\s*)[^\s\"'$<\[{{]\S*", rf"$1{MARK}"),
+    (rf"(?i)\b({NAMES}\s*[=:]\s*)[^\s\"'$<\[{{\\][^\s\"'\\]*", rf"$1{MARK}"),
     (r"(?i)(--(?:password|passwd|token|secret|api-key)(?:=|\s+))[^\s\[-]\S*", rf"$1{MARK}"),
     (r"(\bsshpass\s+-p\s*)[^\s\[]\S*", rf"$1{MARK}"),
     (r"(\bmysql\b[^\n|;]*?\s-p)[^\s\[]\S*", rf"$1{MARK}"),
