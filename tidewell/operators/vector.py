@@ -1,12 +1,23 @@
-"""Exact nearest neighbours of a batch of queries, with filters before the cut."""
+"""Exact nearest neighbours of a batch of queries, with filters before the cut.
+
+The queries are the small side: their number is checked, and within the limit they travel with the
+task as one matrix, against which each Arrow batch of chunks is multiplied.  A batch keeps the best k per query and
+all that tie with the last of them; the cut over all batches follows.  Beyond the limit the queries go in blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, l2
-from .topk import best, small
+from .topk import BROADCAST_QUERIES, best
+
+ROWS = 4096
 
 
 def id_prefix(prefix: str) -> Column:
@@ -14,20 +25,55 @@ def id_prefix(prefix: str) -> Column:
     return F.col("id").ilike(prefix + "%")
 
 
-def _pairs(queries: DataFrame, chunks: DataFrame, allowed: Column | None) -> DataFrame:
+def _l2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (x @ q.T), 0))
+
+
+def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Zero where a norm is zero."""
+    norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
+    return np.where(norms == 0, 0.0, (x @ q.T) / np.where(norms == 0, 1.0, norms))
+
+
+def _scan(ids: np.ndarray, q: np.ndarray, k: int, measure, sign: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                part = pdf.iloc[at : at + ROWS]
+                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError(f"vectors of {x.shape[1]} and {q.shape[1]} numbers")
+                values = np.round(measure(x, q), 6) + 0.0
+                last = np.partition(sign * values, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
+                r, c = np.nonzero(sign * values <= last[None])
+                yield pd.DataFrame({"qid": ids[c], "rowid": part["rowid"].to_numpy()[r], "value": values[r, c]})
+
+    return run
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int, allowed: Column | None, measure, sign: int) -> DataFrame:
     rows = chunks.where(F.col("embedding").isNotNull())
-    rows = rows if allowed is None else rows.where(allowed)
-    # Each chunk meets each query: the stated queries are the small side, which is checked before it is broadcast.
-    return rows.join(small(queries.select("qid", F.col("embedding").alias("q"))), F.lit(True))
+    rows = (rows if allowed is None else rows.where(allowed)).select("rowid", "embedding")
+    asked = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
+    blocks = -(-asked.count() // BROADCAST_QUERIES)
+    found = []
+    for b in range(blocks):
+        part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)).orderBy("qid").collect()
+        if part:
+            ids, q = np.array([r["qid"] for r in part], np.int64), np.array([r["embedding"] for r in part], np.float64)
+            found.append(rows.mapInPandas(_scan(ids, q, k, measure, sign), "qid long, rowid long, value double"))
+    if not found:
+        return chunks.sparkSession.createDataFrame([], "qid long, rowid long, value double")
+    return reduce(DataFrame.unionByName, found)
 
 
 def search_l2(queries: DataFrame, chunks: DataFrame, k: int = 5, allowed: Column | None = None) -> DataFrame:
-    """(qid, rank, rowid, distance): the ``k`` chunks nearest to each query; chunks without a vector never occur."""
-    found = _pairs(queries, chunks, allowed).select("qid", "rowid", F.round(l2(F.col("embedding"), F.col("q")), 6).alias("distance"))
+    """(qid, rank, rowid, distance): the ``k`` chunks nearest to each query, to 6 places, ties by rowid; chunks without a vector never occur."""
+    found = _nearest(queries, chunks, k, allowed, _l2, 1).withColumnRenamed("value", "distance")
     return best(found, k, F.col("distance"), F.col("rowid")).select("qid", "rank", "rowid", "distance")
 
 
 def search_cosine(queries: DataFrame, chunks: DataFrame, k: int = 5, allowed: Column | None = None) -> DataFrame:
-    """(qid, rank, rowid, similarity), the most similar first."""
-    found = _pairs(queries, chunks, allowed).select("qid", "rowid", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
+    """(qid, rank, rowid, similarity), the most similar first; zero vectors have similarity 0."""
+    found = _nearest(queries, chunks, k, allowed, _cosine, -1).withColumnRenamed("value", "similarity")
     return best(found, k, F.desc("similarity"), F.col("rowid")).select("qid", "rank", "rowid", "similarity")
