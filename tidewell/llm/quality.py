@@ -27,7 +27,7 @@ MIN_ROWS, SPREADS, SCALE = 50, 6, 256
 RATIOS = [
     ("symbols", "n_symbols", "n_words", 64),
     ("capitals", "n_upper", "word_chars", 64),
-    ("repeats", "n_repeat_words", "n_words", 64),
+    ("repeats", "n_repeat_words", "n_words", 96),
     ("dup_lines", "n_dup_lines", "n_lines", 96),
     ("word_length", "word_chars", "n_words", 768),
 ]
