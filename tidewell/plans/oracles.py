@@ -95,7 +95,7 @@ def _hybrid(vectors: bool = True, temporal_only: bool = False, dated: bool = Fal
       CASE WHEN regexp_matches(text, '{TEMPORAL}') THEN 0.3::DOUBLE ELSE 0.15::DOUBLE END AS w FROM {source} p JOIN {chunks} c USING (rowid) JOIN aq USING (qid))""")
     ctes.append("final AS (SELECT *, round(rrf + (1.0::DOUBLE / 61) * (w * recency + 0.05::DOUBLE * importance), 9) AS final FROM scored)")
     extra = ", session_date_match" if dated else ""
-    cols = f"qid, @, rowid, vec_rank, fts_rank, round(rrf, 8) AS rrf_score, round(recency, 8) AS recency_score, importance::DOUBLE AS importance_score, round(final, 8) AS final_score{extra}"
+    cols = f"qid, @, rowid, vec_rank, fts_rank, round(rrf, 8) AS rrf_score, round(recency, 8) AS recency_score, importance::DOUBLE AS importance_score, final AS final_score{extra}"
     return "WITH " + ",\n".join(ctes) + " " + _top("final", 10, "session_date_match DESC, final DESC, coalesce(vec_rank, 20 + fts_rank), rowid", cols)
 
 

@@ -72,7 +72,7 @@ def rrf_fusion(s, d):
 
 
 def _hybrid_cols():
-    return ["qid", "rank", "rowid", "vec_rank", "fts_rank", F.round("rrf_score", 8).alias("rrf_score"), F.round("recency_score", 8).alias("recency_score"), "importance_score", F.round("final_score", 8).alias("final_score")]
+    return ["qid", "rank", "rowid", "vec_rank", "fts_rank", F.round("rrf_score", 8).alias("rrf_score"), F.round("recency_score", 8).alias("recency_score"), "importance_score", "final_score"]
 
 
 def hybrid_priors(s, d):
