@@ -106,8 +106,8 @@ RANKS = f"""{CHUNKS}, {QUERIES}, {_index()}, {FTS10}, {GOLD},
 
 STORE = """store AS (SELECT c.rowid, c.id, c.source, c.type, c.content, c.mtime, sha256(c.content) AS content_hash, 1.0::DOUBLE AS created_at, e.embedding
   FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.rowid WHERE c.rowid < 500)"""
-BATCH = """batch AS (SELECT id, source, type, content, rowid AS batch_seq FROM chunks WHERE rowid >= 400 AND rowid < 600
-  UNION ALL SELECT id, source, type, content || ' v2', rowid + 1000 FROM chunks WHERE rowid >= 400 AND rowid < 600 AND rowid % 2 = 0)"""
+BATCH = """batch AS (SELECT id, source, type, content, rowid AS batch_seq FROM chunks WHERE rowid >= 150 AND rowid < 600
+  UNION ALL SELECT id, source, type, content || ' v2', rowid + 1000 FROM chunks WHERE rowid >= 150 AND rowid < 600 AND rowid % 2 = 0)"""
 
 
 def _upsert(store: str, batch: str) -> str:

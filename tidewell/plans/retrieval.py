@@ -147,8 +147,8 @@ def _store(s, d):
 
 
 def _batch(s, d):
-    """Documents 400 to 599 twice: the second version has an end mark and comes last; no vectors."""
-    c = v.chunks(s, d).where("rowid >= 400 and rowid < 600")
+    """Documents 150 to 599 twice: the second version has an end mark and comes last; no vectors."""
+    c = v.chunks(s, d).where("rowid >= 150 and rowid < 600")
     first = c.withColumn("batch_seq", F.col("rowid"))
     second = c.where("rowid % 2 = 0").withColumn("content", F.concat("content", F.lit(" v2"))).withColumn("batch_seq", F.col("rowid") + 1000)
     out = first.unionByName(second)
