@@ -185,27 +185,37 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     return _cells(routed).groupBy("leaf", "cell", "i", "j").applyInPandas(_meet, "u long, v long")
 
 
+def _classify(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as a table with fingerprint and row number, and per fingerprint its component and the component's root."""
+    ship(docs.sparkSession)
+    marked = materialise(docs.withColumns({"__sim_fp": _fingerprints(F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
+    nodes = materialise(marked.groupBy(F.col("__sim_fp").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-nodes")
+    found = connected_components(linked_fingerprints(nodes.select("fp")), "simhash")
+    rooted = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
+    rooted = materialise(rooted.select(F.col("fp").alias("__sim_fp"), "least", F.coalesce("component", "fp").alias("__sim_root")), "simhash-roots")
+    least = rooted.groupBy("__sim_root").agg(F.min("least").alias("__sim_component"))
+    return marked, materialise(rooted.join(least, "__sim_root").select("__sim_fp", "__sim_component", "__sim_root"), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: all its columns plus ``__sim_fp`` (fingerprint), ``__sim_rid`` (a row number) and ``__sim_component``.
+    """One row per row of ``docs``: all its columns plus ``__sim_fp`` (fingerprint), ``__sim_rid`` (a row number), ``__sim_component`` and ``__sim_root``.
 
     ``__sim_component`` is the smallest id reachable over links (null if all those ids are null); rows whose ids repeat
     stay separate rows.  Null and wordless texts have fingerprint zero and link like any other.  Other columns pass
     through unread; ``docs`` may be empty.
     """
-    ship(docs.sparkSession)
-    marked = materialise(docs.withColumns({"__sim_fp": _fingerprints(F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
-    nodes = materialise(marked.groupBy(F.col("__sim_fp").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-nodes")
-    found = connected_components(linked_fingerprints(nodes.select("fp")), "simhash")
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    rooted = materialise(rooted.select(F.col("fp").alias("__sim_fp"), "least", F.coalesce("component", "fp").alias("root")), "simhash-roots")
-    least = rooted.groupBy("root").agg(F.min("least").alias("__sim_component"))
-    classes = materialise(rooted.join(least, "root").select("__sim_fp", "__sim_component", "root"), "simhash-classes")
-    return marked.join(classes.withColumnRenamed("root", "__sim_root"), "__sim_fp")
+    marked, classes = _classify(docs, id_col, text_col)
+    return marked.join(classes, "__sim_fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null ids last) stays."""
-    found = near_duplicates(docs, id_col, text_col)
+    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null ids last) stays.
+
+    Which row stays is settled without the texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list
+    grows with the documents, so it is never broadcast.
+    """
+    marked, classes = _classify(docs, id_col, text_col)
     first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__sim_rid").alias("rid"))
-    stays = materialise(found.groupBy("__sim_root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("__sim_rid")), "simhash-stays")
-    return found.join(stays, "__sim_rid", "left_semi").select(*docs.columns)
+    narrow = marked.select(id_col, "__sim_fp", "__sim_rid").join(classes, "__sim_fp")
+    stays = materialise(narrow.groupBy("__sim_root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("__sim_rid")), "simhash-stays")
+    return marked.join(stays.hint("merge"), "__sim_rid", "left_semi").select(*docs.columns)
