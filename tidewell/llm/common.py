@@ -39,7 +39,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidewell_path = path
     return back
