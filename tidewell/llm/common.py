@@ -8,6 +8,7 @@ that setting is unset (tests on one machine) a temporary folder takes its place.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -54,6 +55,12 @@ def discard(df: DataFrame | None) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that their Python can import it."""
     app = spark.sparkContext.applicationId
