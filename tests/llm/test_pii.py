@@ -99,6 +99,39 @@ def test_windows_cover_all_marks():
             assert any(a <= m.start() < a + pii.WINDOW for a in starts)
 
 
+LONG = ["jonathan.livingston [at] mathematics [dot] stanford [dot] edu", "maximilian.schwarzenberg-holm [at] uni [dot] de"]
+
+
+@pytest.mark.parametrize("address", LONG)
+@pytest.mark.parametrize("before", ["Call +1 (212) 555-0100 today or write to ", "In a sentence on its own stands ", "5 " + "x" * 43 + " ", ""])
+def test_long_spans_are_whole_in_a_window(address, before):
+    t = before + address + " for more of the same words without any mark at all, and then some words more than that"
+    a, b = len(before), len(before) + len(address)
+    assert any(s <= a and b <= s + pii.WINDOW and (s < a or s == 0) for s in pii.windows(t))
+
+
+def test_spans_at_an_edge_are_read_again(monkeypatch):
+    # A stand-in for the network: every run of digits is one span, here one that is longer than a window.
+    def tagged(x, p):
+        e = np.zeros((*x.shape, pii.TAGS))
+        digit = x == 3
+        first = digit & ~np.pad(digit, ((0, 0), (1, 0)))[:, :-1]
+        e[..., 1], e[..., 2] = 9.0 * first, 9.0 * (digit & ~first)
+        return e
+
+    monkeypatch.setattr(pii, "emissions", tagged)
+    monkeypatch.setattr(pii, "plausible", lambda kind, s: True)
+    text = "word " * 60 + "7" * 250 + " word" * 60
+    assert pii.added_spans([text], [[]], {"trans": np.zeros((pii.TAGS, pii.TAGS))})[0] == [("email", 300, 550)]
+
+
+@pytest.mark.parametrize("address", LONG)
+def test_long_written_out_addresses_are_found(weights, address):
+    t = "Call +1 (212) 555-0100 today or write to " + address + " for more"
+    a = t.index(address)
+    assert ("email", a, a + len(address)) in pii.added_spans([t], [pii.base_spans(t)], weights)[0]
+
+
 def test_reconciled_spans_against_all_choices():
     from itertools import combinations
 

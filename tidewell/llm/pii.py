@@ -5,7 +5,10 @@ all windows of a text are reconciled by the choice of non-overlapping spans with
 plausibility check (digit counts, Luhn, address parts) and not touch a span of the patterns, which always stay.
 
 A labelled span always holds a digit, an ``@`` or a written-out one such as ``[at]``, so windows are laid where such marks
-are: a stretch of text without one has the label "outside" by definition and is not sent through the network.
+(and written-out dots) are: a stretch of text without one has the label "outside" by definition and is not sent through the network.
+Windows reach ``MARGIN`` characters beyond a mark on both sides and overlap by as much, so every span of up to ``MARGIN`` characters
+is whole in one of them.  Where a decoded span touches a window's edge, that place is read again in a window of ``WIDE`` characters,
+which holds any span of up to ``(WIDE - CELL) // 2`` = 288 characters there whole; an address has 254 at most.
 The network is trained in numpy, on the driver, from labelled spans: ``N_BATCHES`` batches of examples made by rule
 from a seed, or examples given by the caller.
 """
@@ -30,7 +33,9 @@ from .common import ship
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)
 HIDDEN, BATCH, N_BATCHES, RATE = 24, 64, 260, 0.01
-WINDOW, STRIDE, MARGIN, GAP = 96, 48, 28, 24
+WINDOW, STRIDE, MARGIN, GAP = 192, 96, 80, 24
+#: Characters of a labelled example; of a window around a place where a span touched an edge, and of the cells that such places are gathered by.
+EXAMPLE, WIDE, CELL = 96, 672, 96
 #: Windows decoded at once.
 CHUNK = 512
 
@@ -39,7 +44,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MARK = re.compile(r"[0-9@]|[\[({<]\s?[aA][tT]\s?[\])}>]")
+MARK = re.compile(r"[0-9@]|[\[({<]\s?(?:[aA][tT]|[dD][oO][tT])\s?[\])}>]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -162,11 +167,11 @@ def labelled_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{d(3)},{d(3)},{d(3)}",
         lambda: f"{''.join(r.choice('0123456789abcdef') for _ in range(8))}-{d(4)}-4{d(3)}-{d(4)}-{d(12)}",
     ]
-    xs, ys = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    xs, ys = np.zeros((n, EXAMPLE), np.int64), np.zeros((n, EXAMPLE), np.int64)
     for k in range(n):
         text, tags = "", []
         skip = r.randint(0, 20)
-        while len(text) < WINDOW + skip:
+        while len(text) < EXAMPLE + skip:
             p = r.random()
             if p < 0.17:
                 kind, s = r.choice(positive)()
@@ -179,7 +184,7 @@ def labelled_examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             g = glue()
             text += g
             tags += [0] * len(g)
-        end = WINDOW + skip if r.random() < 0.8 else skip + r.randint(20, WINDOW)
+        end = EXAMPLE + skip if r.random() < 0.8 else skip + r.randint(20, EXAMPLE)
         cut = slice(skip, end)
         got, tag = symbols(text[cut]), tags[cut]
         xs[k, : len(got)], ys[k, : len(tag)] = got, tag
@@ -338,7 +343,7 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 
 def windows(text: str) -> list[int]:
-    """Starts of the windows over a text's regions; neighbours overlap by half."""
+    """Starts of the windows over a text's regions; neighbours overlap by half, which is more than MARGIN."""
     out = []
     for a, b in regions(text):
         last = max(a, b - WINDOW)
@@ -391,11 +396,12 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], p: dic
     """Per text the network's spans that are plausible and touch none of its base spans."""
     found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
     todo: list[tuple[int, int]] = []
+    touched: set[tuple[int, int]] = set()
 
-    def flush() -> None:
-        x = np.zeros((len(todo), WINDOW), np.int64)
+    def flush(width: int) -> None:
+        x = np.zeros((len(todo), width), np.int64)
         for r, (k, a) in enumerate(todo):
-            got = symbols(texts[k][a : a + WINDOW])
+            got = symbols(texts[k][a : a + width])
             x[r, : len(got)] = got
         e = emissions(x, p)
         tags = best_paths(e, p["trans"])
@@ -405,10 +411,12 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], p: dic
             begins = np.flatnonzero(row % 2 == 1)
             for b in begins.tolist():
                 end = b + 1
-                while end < WINDOW and row[end] == row[b] + 1:
+                while end < width and row[end] == row[b] + 1:
                     end += 1
                 stop = min(a + end, len(texts[k]))
-                if (b == 0 and a > 0) or (end == WINDOW and stop < len(texts[k])):
+                if (b == 0 and a > 0) or (end == width and stop < len(texts[k])):
+                    if width < WIDE:
+                        touched.add((k, (a if b == 0 else stop) // CELL))
                     continue
                 at = np.arange(b, end)
                 gain = float((e[r, at, row[at]] - e[r, at, 0]).sum())
@@ -419,9 +427,15 @@ def added_spans(texts: list[str], base: list[list[tuple[str, int, int]]], p: dic
         for a in windows(text):
             todo.append((k, a))
             if len(todo) == CHUNK:
-                flush()
+                flush(WINDOW)
     if todo:
-        flush()
+        flush(WINDOW)
+    for k, cell in sorted(touched):
+        todo.append((k, max(0, cell * CELL - (WIDE - CELL) // 2)))
+        if len(todo) == CHUNK // 4:
+            flush(WIDE)
+    if todo:
+        flush(WIDE)
     out = []
     for text, spans, fixed in zip(texts, found, base):
         trimmed = []
