@@ -55,6 +55,16 @@ def test_templates_go_and_paragraphs_of_the_article_stay(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_one_page_are_no_template(spark):
+    html = "<body><div><p>story told once</p></div></body>", "<article><h1>T</h1><section><ul><li>item</ul></section><p>end</p></article>"
+    rows = [(i, f"https://copy.example/{i}", html[i % 2]) for i in range(20)]
+    rows += [(100 + i, f"https://copy.example/x{i}", f"<div>Site bar</div><p>other {i}</p>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["__h_text"] for r in h.extract(df).collect()}
+    assert all(got[i] == ("story told once", "T\n\nitem\n\nend")[i % 2] for i in range(20))
+    assert all(got[100 + i] == f"other {i}" for i in range(6))
+
+
 def test_hosts(spark):
     urls = ["HTTP://A.example:80/x", "https://u:p@b.example?x", "c.example/x", None, "ftp://d.example"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")

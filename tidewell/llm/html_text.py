@@ -1,7 +1,7 @@
 """Main text of web pages: site templates go by counting element subtrees per host.
 
 First pass: each page's block elements are hashed with all that they contain, and Spark counts per host the
-pages that hold each hash.  Subtrees on more than ``RATIO`` of a host's pages (and ``MIN_PAGES`` or more)
+different pages (by a hash of the whole page) that hold each hash.  Subtrees on more than ``RATIO`` of a host's pages (and ``MIN_PAGES`` or more)
 are the host's template.  Second pass: pages are read again without those subtrees, without elements that by
 tag, role, class or id are no main text, and with the article only where there is one.  Paragraphs
 and headings inside an article always stay, however often they recur.
@@ -198,9 +198,11 @@ def _main_text(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
 
 def templates(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     """Per host: ``__h_host`` and ``__h_template``, the hashes of its recurring subtrees, fewer than (its subtrees per page) / RATIO."""
-    hosts = pages.select(host(F.col(url_col)).alias("h"), F.col(html_col).alias("x"))
-    often = hosts.select(F.xxhash64("h").alias("k"), F.explode(_subtrees("x")).alias("t")).groupBy("k", "t").count().where(F.col("count") >= MIN_PAGES)
-    totals = materialise(hosts.groupBy("h").agg(F.count(F.lit(1)).alias("pages")).withColumn("k", F.xxhash64("h")), "html-hosts")
+    page = F.struct(F.xxhash64(html_col).alias("a"), F.hash(html_col).alias("b")).alias("page")
+    hosts = pages.select(host(F.col(url_col)).alias("h"), page, F.col(html_col).alias("x"))
+    each = hosts.select(F.xxhash64("h").alias("k"), "page", F.explode(_subtrees("x")).alias("t")).distinct()
+    often = each.groupBy("k", "t").count().where(F.col("count") >= MIN_PAGES)
+    totals = materialise(hosts.select("h", "page").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("pages")).withColumn("k", F.xxhash64("h")), "html-hosts")
     if totals.count() <= BROADCAST_HOSTS:
         totals = F.broadcast(totals)
     found = often.join(totals, "k").where(F.col("count") > RATIO * F.col("pages"))
@@ -210,7 +212,8 @@ def templates(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep_cols: list[str] | None = None) -> DataFrame:
     """The columns of ``pages`` (or ``keep_cols``) and ``__h_text``, the main text of each page.
 
-    Null and empty pages have empty text.  Pages without a host share one empty host.  Repeated pages count once each.
+    Null and empty pages have empty text.  Pages without a host share one empty host.  Equal pages of a host count as one
+    when templates are sought, so a page stored many times is no template of itself.
     """
     ship(pages.sparkSession)
     cols = pages.columns if keep_cols is None else keep_cols
