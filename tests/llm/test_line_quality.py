@@ -41,6 +41,18 @@ def test_lines_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(fixtures.empty(spark)).count() == 0
 
 
+def test_copies_of_one_text_are_no_boilerplate_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    clean = "a clean text that was stored often\nwith a second line"
+    rows = [(i, clean, "s") for i in range(8)] + [(100 + i, f"page {i}\nsite footer", "s") for i in range(6)] + [(200, None, "s"), (201, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_boilerplate(spark, df, "").collect()}
+    assert all(got[i] == clean for i in range(8))
+    assert all(got[100 + i] == f"page {i}" for i in range(6))
+    assert got[200] is None and got[201] == ""
+
+
 def plain_measure(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -25,11 +25,18 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """Per host with boilerplate: ``__ld_host`` and ``__ld_lines``, the keys of its boilerplate lines; a null host counts as one host."""
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int, copies_once: bool = False) -> DataFrame:
+    """Per host with boilerplate: ``__ld_host`` and ``__ld_lines``, the keys of its boilerplate lines; a null host counts as one host.
+
+    With ``copies_once`` lines and pages are counted over a host's different texts; texts are known by the same kind of hash as lines.
+    """
     pages = docs.select(F.col(host_col).alias("h"), F.col(text_col).alias("t"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: ~x.rlike(BLANK))
-    each = pages.select("h", F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
+    text = [_key(F.col("t")).alias("page")] if copies_once else []
+    each = pages.select("h", *text, F.explode(F.array_distinct(F.transform(lines, _key))).alias("k"))
+    pages = pages.select("h", *text)
+    if copies_once:
+        each, pages = each.distinct(), pages.distinct()
     often = each.groupBy("h", "k").count().where(F.col("count") >= min_pages)
     totals = materialise(pages.groupBy("h").agg(F.count(F.lit(1)).alias("pages")), "lines-hosts")
     if totals.count() <= BROADCAST_HOSTS:
@@ -39,13 +46,14 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float, min
     return materialise(found.groupBy(F.col("h").alias("__ld_host")).agg(F.collect_list("k").alias("__ld_lines")), "lines-found")
 
 
-def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text_col``, plus ``__ld_n_lines`` and ``__ld_n_dropped``.
 
     Null text stays null with zero lines; blank lines are never boilerplate; a text that is all boilerplate
-    becomes empty, its row stays.  Repeated rows each count as a page.  Other columns pass through unread.
+    becomes empty, its row stays.  Repeated rows each count as a page, so a text stored often enough on one host loses all its
+    lines; with ``copies_once`` equal texts of a host count as one page.  Other columns pass through unread.
     """
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages)
+    found = boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once)
     if found.count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
     joined = docs.join(found, docs[host_col].eqNullSafe(found["__ld_host"]), "left")
