@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 from itertools import product
 from zlib import crc32
@@ -48,7 +49,20 @@ def test_expected_counts_against_all_paths():
                 if t:
                     move[path[t - 1], q] += p / whole
     got = hmm.expected(np.array(sum(SEQS, [])), np.array([len(s) for s in SEQS]), m)
-    assert np.allclose(got, np.concatenate([start, move.ravel(), emit.ravel()]))
+    log = sum(math.log(sum(p for _, p in all_paths(s, m))) for s in SEQS)
+    assert np.allclose(got, np.concatenate([start, move.ravel(), emit.ravel(), [log]]))
+
+
+@pytest.mark.parametrize("steps", [1, 2, 3, 5, 64])
+def test_chunks_change_nothing(monkeypatch, steps):
+    r = np.random.default_rng(4)
+    m, sizes = small(), np.array([1, 9, 2, 10, 40, 3, 17, 1])
+    seq = r.integers(0, 5, sizes.sum())
+    whole, log = hmm.expected(seq, sizes, m), hmm.forward(seq, sizes, m)
+    monkeypatch.setattr(hmm, "STEPS", steps)
+    assert np.allclose(hmm.forward(seq, sizes, m), log)
+    assert np.allclose(hmm.expected(seq, sizes, m), whole)
+    assert abs(whole[:3].sum() - len(sizes)) < 1e-9 and abs(whole[12:-1].sum() - sizes.sum()) < 1e-9
 
 
 def test_slices_hold_every_sequence_once(monkeypatch):
@@ -110,3 +124,25 @@ def test_word_probabilities_sum_to_one():
     for cs in bucket.values():
         total = sum(c - 1 for c in cs) + len(cs) + 1
         assert abs(sum(c / total for c in cs) + 1 / total - 1) < 1e-12
+
+
+def test_likelihood_gains_with_rounds_and_beats_the_base_on_held_out_texts(spark, monkeypatch):
+    r = random.Random(2)
+    topics = [[fixtures.word(r) + str(k) for _ in range(40)] for k in range(4)]
+    rows = [(i, " ".join(r.choice(topics[i % 4]) for _ in range(r.randint(20, 120)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(hmm, "TOLERANCE", -1.0)
+    sums = []
+    for rounds in (1, 3):
+        monkeypatch.setattr(hmm, "ROUNDS", rounds)
+        held = hmm.score(docs).where("held_out").groupBy().sum("base_score", "score").first()
+        sums.append(held)
+    assert sums[0][1] > sums[0][0] and sums[1][1] >= sums[0][1] - 1e-6 * abs(sums[0][1])
+
+
+def test_number_of_frequent_words_follows_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "LEAST_TOP", 3)
+    counts = spark.createDataFrame([(k, k, 1000 - 10 * k) for k in range(60)], "key1 long, key2 long, c long")
+    few, many = hmm._frequent(counts, 100), hmm._frequent(counts, 1600)
+    assert 0 < len(few) <= 10 < len(many) <= 40
+    assert [x["key1"] for x in many] == list(range(len(many)))

@@ -1,20 +1,27 @@
 """Hidden Markov language model: exact sequence likelihood by the scaled forward recursion.
 
-Words fall into classes: the end mark, each of the ``TOP`` most frequent training words, and
-``BUCKETS`` of the other words by their last three bytes.  Hidden states move by a transition matrix and emit classes;
-a class emits its words in proportion to their training counts plus one, with one place for unknown
-words.  So the parameters that every task needs are ``STATES`` x (1 + TOP + BUCKETS) numbers, however large the
-vocabulary grows.
+Words fall into classes: the end mark, ``BUCKETS`` classes of words by their last three bytes, and a class of its own for
+each of the most frequent training words, whose number grows with the square root of the training tokens (``LEAST_TOP`` to
+``MOST_TOP``).  Hidden states move by a transition matrix and emit classes; a class emits its words in proportion to their
+training counts plus one, with one place for unknown words.
 
 Texts are turned into blocks of about ``BLOCK_TOKENS`` tokens with a word list each, where a word is known by 96 bits of
-hashes; counts travel to the words of a block by a join, and never as a broadcast of the vocabulary.  Baum-Welch starts from a model of a bounded sample of training
-texts (``SAMPLE_TEXTS`` of up to ``SAMPLE_TOKENS`` tokens) and then runs ``ITERATIONS`` over the whole training part; expected counts are added up over
-partitions as whole multiples of 2**-20, so the sum doesn't depend on the order.
+hashes.  Words are counted, and their counts sent back to the blocks by a join, in ``SLICES`` parts by hash, one after the other;
+each part's shuffle files go before the next one starts.
+
+Baum-Welch starts from a model of a bounded sample of training text (``SAMPLE_PIECES`` pieces of up to ``SAMPLE_TOKENS``
+tokens) and then runs over the whole training part until a round gains less than ``TOLERANCE`` of the log likelihood, ``ROUNDS``
+rounds at most; expected counts are added up over partitions as whole multiples of a unit, so the sum doesn't depend on the order.
+
+Sequences are cut into chunks of ``STEPS`` tokens that are swept side by side: a chunk's effect on the state weights is a matrix,
+found from each state as a start, and the products of these matrices give each chunk the weights that it starts (and, backwards,
+ends) with.  That is the same recursion, exact, without a step of Python for each token of a very long text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -24,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, ship
+from .common import discard, materialise, ship
 
-STATES, TOP, BUCKETS = 8, 1024, 256
-BLOCK_TOKENS, SLICE_TOKENS, SAMPLE_TEXTS, SAMPLE_TOKENS, SAMPLE_ROUNDS, ITERATIONS = 500_000, 150_000, 400, 2000, 12, 1
+STATES, BUCKETS, LEAST_TOP, MOST_TOP = 8, 256, 1024, 60_000
+BLOCK_TOKENS, SLICE_TOKENS, STEPS, SLICES = 500_000, 150_000, 128, 4
+SAMPLE_PIECES, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 400, 2000, 12, 3, 0.002
 FOLDS, HELD_OUT = 7, 2
-UNIT = 1 << 20
-BLOCKS = "block long, ids array<long>, held array<boolean>, sizes array<int>, lids binary, own binary, key1 array<long>, key2 array<long>, train array<int>"
+#: Words of a block are rows of its SLICES parts (``lid`` is a word's number in the block); part -1 has the texts.
+BLOCKS = "block long, part int, ids array<long>, held array<boolean>, sizes array<int>, lids binary, own binary, lid array<int>, key1 array<long>, key2 array<long>, train array<int>"
 KNOWN = "ids array<long>, held array<boolean>, sizes array<int>, lids binary, classes binary, counts binary"
 
 
@@ -49,18 +57,25 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per block of texts: their word numbers one after the other, the words so numbered and their counts in training texts."""
+    """Per block of texts: their word numbers one after the other, and the words so numbered with their counts in training texts."""
     import uuid
 
     fresh = lambda: ([], [], [], [], {}, 0)
     ids, held, sizes, parts, number, total = fresh()
 
-    def row() -> pd.DataFrame:
+    def rows() -> pd.DataFrame:
         lids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         train = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(lids[train], minlength=len(number)) if len(number) else np.zeros(0, np.int64)
         key1, key2 = keys(list(number))
-        return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "ids": [ids], "held": [held], "sizes": [sizes], "lids": [packed(lids)], "own": [packed(np.stack([counts, key2 >> 32]).astype(np.int32))], "key1": [key1], "key2": [key2], "train": [counts]})
+        slot = key1.view(np.uint64) % SLICES
+        block = uuid.uuid4().int >> 65
+        out = [[block, -1, ids, held, sizes, packed(lids), packed(np.stack([counts, key2 >> 32]).astype(np.int32)), None, None, None, None]]
+        for k in range(SLICES):
+            lid = np.flatnonzero(slot == k)
+            if len(lid):
+                out.append([block, k, None, None, None, None, None, lid, key1[lid], key2[lid], counts[lid]])
+        return pd.DataFrame(out, columns=["block", "part", "ids", "held", "sizes", "lids", "own", "lid", "key1", "key2", "train"])
 
     for pdf in batches:
         for i, h, text in zip(pdf["id"], pdf["held"], pdf["text"]):
@@ -71,10 +86,10 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes.append(len(words))
             total += len(words) + 1
             if total >= BLOCK_TOKENS:
-                yield row()
+                yield rows()
                 ids, held, sizes, parts, number, total = fresh()
     if ids:
-        yield row()
+        yield rows()
 
 
 def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,35 +100,84 @@ def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_of(word: bytes) -> int:
     """The class of a word that is not among the most frequent ones."""
-    return 1 + TOP + crc32(word[-3:]) % BUCKETS
+    return 1 + crc32(word[-3:]) % BUCKETS
 
 
-def steps(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sequences lying one after the other: their order by length, longest first, their starts in it, and how many are longer than t, for each t."""
-    order = np.argsort(-sizes, kind="stable")
-    starts = (np.cumsum(sizes) - sizes)[order]
-    active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
-    return order, starts, active
-
-
-def forward(classes: np.ndarray, sizes: np.ndarray, model: dict, keep: bool = False):
-    """Natural log likelihood of each sequence; with ``keep`` also the scaled forward vectors and scales of each place."""
-    order, starts, active = steps(sizes)
-    emit = model["emit"].T[classes]
-    move, out = model["move"], np.zeros(len(sizes))
-    alphas, scales = (np.empty_like(emit), np.empty(len(classes))) if keep else (None, None)
-    alpha = None
-    for t, n in enumerate(active.tolist()):
-        at = starts[:n] + t
-        alpha = (model["start"] if t == 0 else alpha[:n] @ move) * emit[at]
+class Cut(NamedTuple):
+    """Sequences, lying one after the other, in chunks: each chunk's place, size, sequence and number within it; each sequence's first chunk and chunk count."""
+
+    at: np.ndarray
+    size: np.ndarray
+    seq: np.ndarray
+    nth: np.ndarray
+    head: np.ndarray
+    n: np.ndarray
+
+
+def cut(sizes: np.ndarray) -> Cut:
+    n = -(-sizes // STEPS)
+    seq = np.repeat(np.arange(len(sizes)), n)
+    head = np.cumsum(n) - n
+    nth = np.arange(len(seq)) - head[seq]
+    return Cut((np.cumsum(sizes) - sizes)[seq] + nth * STEPS, np.minimum(STEPS, sizes[seq] - nth * STEPS), seq, nth, head, n)
+
+
+def _order(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Chunks by size, longest first, and how many are longer than t, for each t."""
+    return np.argsort(-size, kind="stable"), (len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")).tolist()
+
+
+def _sweep(pre: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarray, model: dict, alphas: np.ndarray | None = None, scales: np.ndarray | None = None):
+    """Run through chunks side by side; ``pre`` has the state weights before the first emission.
+
+    Returns the state weights at each chunk's end, adding up to one, and the logs of the sums of their scales; fills ``alphas`` and ``scales`` by place.
+    """
+    order, active = _order(size)
+    emit, move = model["emit"].T, model["move"]
+    ends, logs = np.array(pre[order]), np.zeros(len(size))
+    place = at[order]
+    for t, n in enumerate(active):
+        here = place[:n] + t
+        alpha = (ends if t == 0 else ends[:n] @ move) * emit[classes[here]]
         scale = alpha.sum(1)
-        alpha = alpha / scale[:, None]
-        out[:n] += np.log(scale)
-        if keep:
-            alphas[at], scales[at] = alpha, scale
-    back = np.empty_like(out)
-    back[order] = out
-    return (back, alphas, scales, emit) if keep else back
+        alpha /= scale[:, None]
+        ends[:n] = alpha
+        logs[:n] += np.log(scale)
+        if alphas is not None:
+            alphas[here], scales[here] = alpha, scale
+    back_ends, back_logs = np.empty_like(ends), np.empty_like(logs)
+    back_ends[order], back_logs[order] = ends, logs
+    return back_ends, back_logs
+
+
+def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per chunk the weights before its first emission and its matrix (unused for first chunks); the sequences of several chunks, most chunks first."""
+    k = len(model["start"])
+    pre = np.tile(model["start"], (len(c.at), 1))
+    through = np.zeros((len(c.at), k, k)) if (c.nth > 0).any() else np.zeros((0, k, k))
+    several = np.flatnonzero(c.n > 1)
+    several = several[np.argsort(-c.n[several], kind="stable")]
+    if len(several):
+        later = np.flatnonzero(c.nth > 0)
+        ends, logs = _sweep(np.tile(model["move"], (len(later), 1)), np.repeat(c.at[later], k), np.repeat(c.size[later], k), classes, model)
+        logs = logs.reshape(-1, k)
+        through[later] = np.exp(logs - logs.max(1, keepdims=True))[:, :, None] * ends.reshape(-1, k, k)
+        heads = c.head[several]
+        a = _sweep(pre[heads], c.at[heads], c.size[heads], classes, model)[0]
+        for j in range(1, int(c.n.max())):
+            here = c.head[several[c.n[several] > j]] + j
+            a = a[: len(here)]
+            pre[here] = a @ model["move"]
+            a = np.einsum("ns,nst->nt", a, through[here])
+            a /= a.sum(1, keepdims=True)
+    return pre, through, several
+
+
+def forward(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
+    """Natural log likelihood of each sequence; sequences have a token or more."""
+    c = cut(sizes)
+    _, logs = _sweep(_starts(classes, c, model)[0], c.at, c.size, classes, model)
+    return np.bincount(c.seq, weights=logs, minlength=len(sizes))
 
 
 def slices(classes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -128,60 +192,78 @@ def slices(classes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def expected(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
-    """Expected counts of starts, moves and emissions, one after the other."""
-    k, c = model["emit"].shape
-    start, move, emits = np.zeros(k), np.zeros((k, k)), np.zeros((k, c))
+    """Expected counts of starts, moves and emissions, one after the other, and last the log likelihood."""
+    k, n_classes = model["emit"].shape
+    start, move, emits, log = np.zeros(k), np.zeros((k, k)), np.zeros((k, n_classes)), 0.0
     if len(classes):
-        _, alphas, scales, emit = forward(classes, sizes, model, keep=True)
-        _, starts, active = steps(sizes)
-        gammas = alphas
-        beta = np.ones((0, k))
+        c = cut(sizes)
+        pre, through, several = _starts(classes, c, model)
+        alphas, scales = np.empty((len(classes), k)), np.empty(len(classes))
+        ends, logs = _sweep(pre, c.at, c.size, classes, model, alphas, scales)
+        log = logs.sum()
+        last = np.ones((len(c.at), k))
+        for j in range(int(c.n.max()) - 1, 0, -1):
+            here = c.head[several[c.n[several] > j]] + j
+            b = np.einsum("nst,nt->ns", through[here], last[here])
+            last[here - 1] = b / (ends[here - 1] * b).sum(1, keepdims=True)
+        order, active = _order(c.size)
+        place, last = c.at[order], last[order]
+        emit, beta = model["emit"].T, np.ones((0, k))
         for t in range(len(active) - 1, -1, -1):
-            n = int(active[t])
-            at = starts[:n] + t
-            later = len(beta)
+            n, later = active[t], len(beta)
+            here = place[:n] + t
             if later:
-                ahead = beta * (emit[at[:later] + 1] / scales[at[:later] + 1][:, None])
-                move += alphas[at[:later]].T @ ahead
-                beta = np.concatenate([ahead @ model["move"].T, np.ones((n - later, k))])
+                nxt = here[:later] + 1
+                ahead = beta * (emit[classes[nxt]] / scales[nxt][:, None])
+                move += alphas[here[:later]].T @ ahead
+                beta = np.concatenate([ahead @ model["move"].T, last[later:n]])
             else:
-                beta = np.ones((n, k))
-            gammas[at] = alphas[at] * beta
+                beta = last[:n]
             if t == 0:
-                start += gammas[at].sum(0)
+                joins = c.nth[order] > 0
+                at = place[joins]
+                move += ends[order[joins] - 1].T @ (beta[joins] * (emit[classes[at]] / scales[at][:, None]))
+            alphas[here] *= beta
+        start = alphas[c.at[c.nth == 0]].sum(0)
         move *= model["move"]
         for s in range(k):
-            emits[s] = np.bincount(classes, weights=gammas[:, s], minlength=c)
-    return np.concatenate([start, move.ravel(), emits.ravel()])
+            emits[s] = np.bincount(classes, weights=alphas[:, s], minlength=n_classes)
+    return np.concatenate([start, move.ravel(), emits.ravel(), [log]])
 
 
-def estimate(counts: np.ndarray, k: int = STATES, c: int = 1 + TOP + BUCKETS) -> dict:
+def estimate(counts: np.ndarray, k: int) -> dict:
     """The model of expected counts, smoothed so that nothing is impossible."""
     norm = lambda x: x / x.sum(-1, keepdims=True)
-    move, emits = counts[k : k + k * k].reshape(k, k), counts[k + k * k :].reshape(k, c)
+    move, emits = counts[k : k + k * k].reshape(k, k), counts[k + k * k : -1].reshape(k, -1)
     whole = emits.sum(0) + 0.1
     return {"start": norm(counts[:k] + 1.0), "move": norm(move + 0.5), "emit": norm(emits + whole / whole.sum() * 50 + 1e-3)}
 
 
-def first_model(classes: np.ndarray, sizes: np.ndarray, seed: int = 5) -> dict:
+def first_model(classes: np.ndarray, sizes: np.ndarray, n_classes: int, seed: int = 5) -> dict:
     """Baum-Welch on a small sample from a random start with sticky states."""
     rng = np.random.default_rng(seed)
-    k, c = STATES, 1 + TOP + BUCKETS
-    seen = np.bincount(classes, minlength=c) + 0.5
-    model = {"start": np.full(k, 1 / k), "move": np.full((k, k), 0.1 / (k - 1)), "emit": seen * (0.5 + rng.random((k, c)))}
+    k = STATES
+    seen = np.bincount(classes, minlength=n_classes) + 0.5
+    model = {"start": np.full(k, 1 / k), "move": np.full((k, k), 0.1 / (k - 1)), "emit": seen * (0.5 + rng.random((k, n_classes)))}
     np.fill_diagonal(model["move"], 0.9)
     model["emit"] /= model["emit"].sum(1, keepdims=True)
     for _ in range(SAMPLE_ROUNDS if len(classes) else 0):
-        model = estimate(expected(classes, sizes, model))
+        model = estimate(sum(expected(c, n, model) for _, c, n in slices(classes, sizes)), k)
     return model
 
 
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks with the training count and the class of each of their words."""
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            counts, classes = _words_of(row)
-            yield pd.DataFrame({"ids": [row.ids], "held": [row.held], "sizes": [row.sizes], "lids": [row.lids], "classes": [packed(classes.astype(np.uint16))], "counts": [packed(counts)]})
+def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block with the training count and the class of each of its words.
+
+    A word's own count and class hold, but for those that the block's other rows list: words that other blocks have too or that are frequent.
+    """
+    row = pdf[pdf["part"] < 0].iloc[0]
+    counts, classes = unpacked(row["own"], np.int32).reshape(2, -1).astype(np.int64)
+    for lid, c, top in pdf.loc[pdf["part"] >= 0, ["lid", "c", "top"]].itertuples(index=False):
+        lid, top = np.asarray(lid, np.int64), np.asarray(top, np.int64)
+        counts[lid] = c
+        classes[lid[top > 0]] = top[top > 0]
+    return pd.DataFrame({"ids": [row["ids"]], "held": [row["held"]], "sizes": [row["sizes"]], "lids": [row["lids"]], "classes": [packed(classes.astype(np.uint16))], "counts": [packed(counts)]})
 
 
 def _with_end(lids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,16 +276,6 @@ def _with_end(lids: np.ndarray, sizes: np.ndarray, classes: np.ndarray) -> tuple
     return out, sizes + 1
 
 
-def _words_of(row) -> tuple[np.ndarray, np.ndarray]:
-    """Training counts and classes of a block's words: the block's own, but for words that other blocks have too or that are frequent."""
-    counts, classes = unpacked(row.own, np.int32).reshape(2, -1).astype(np.int64)
-    if row.lid is not None:
-        lid, top = np.asarray(row.lid, np.int64), np.asarray(row.top, np.int64)
-        counts[lid] = row.c
-        classes[lid[top > 0]] = top[top > 0]
-    return counts, classes
-
-
 def _sequences(row, training_only: bool):
     lids, sizes = unpacked(row.lids, np.uint32), np.array(row.sizes, np.int64)
     if training_only:
@@ -212,7 +284,7 @@ def _sequences(row, training_only: bool):
     return _with_end(lids, sizes, unpacked(row.classes, np.uint16).astype(np.int64))
 
 
-def _expect(model: dict):
+def _expect(model: dict, unit: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for pdf in batches:
@@ -222,14 +294,14 @@ def _expect(model: dict):
                     total = got if total is None else total + got
         if total is not None:
             some = np.flatnonzero(total)
-            yield pd.DataFrame({"at": some, "n": np.rint(total[some] * UNIT).astype(np.int64)})
+            yield pd.DataFrame({"at": some, "n": np.rint(total[some] * unit).astype(np.int64)})
 
     return run
 
 
-def _score(model: dict, top_totals: np.ndarray, n_train: int, n_types: int, end_count: int):
+def _score(model: dict, totals: np.ndarray, n_train: int, n_types: int, end_count: int):
     # Per class the tokens and words that share it; the end mark and the frequent words have a class each.
-    bottom = np.log10(np.where(np.arange(len(top_totals)) <= TOP, 1.0, top_totals))
+    bottom = np.log10(totals)
     base_bottom = np.log10(n_train + n_types + 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -242,7 +314,8 @@ def _score(model: dict, top_totals: np.ndarray, n_train: int, n_types: int, end_
                 for some, part, lengths in slices(seq, with_end):
                     hidden[some] = forward(part, lengths, model) / np.log(10.0)
                 log_counts = np.log10(counts + 1.0)
-                per = np.stack([log_counts, np.where(classes <= TOP, 0.0, log_counts - bottom[classes]), counts > 0]) if len(counts) else np.zeros((3, 0))
+                within = np.where(classes > BUCKETS, 0.0, log_counts - bottom[np.minimum(classes, BUCKETS)])
+                per = np.stack([log_counts, within, counts > 0])
                 sums = np.zeros((3, len(sizes)))
                 whose = np.repeat(np.arange(len(sizes)), sizes)
                 for r in range(3):
@@ -256,6 +329,20 @@ def _score(model: dict, top_totals: np.ndarray, n_train: int, n_types: int, end_
     return run
 
 
+def _frequent(counted: DataFrame, n_train: int) -> list:
+    """The most frequent words (key1, key2, c), as many whole steps of frequency as the model has room for; a step is a 64th of a power of two."""
+    room = min(max(LEAST_TOP, int(n_train**0.5)), MOST_TOP)
+    low = F.expr("greatest(length(bin(c)) - 7, 0)")
+    steps = counted.withColumn("low", low).select(F.expr("shiftleft(shiftright(c, low), low)").alias("step"))
+    least, total = None, 0
+    for r in sorted(steps.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        total += r["count"]
+        if total > room:
+            break
+        least = r["step"]
+    return [] if least is None else sorted(counted.where(F.col("c") >= least).collect(), key=lambda r: (-r["c"], r["key1"], r["key2"]))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -266,65 +353,90 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship(spark)
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc % FOLDS == HELD_OUT).alias("held"), F.col(text_col).alias("text"))
-    blocks = materialise(rows.mapInPandas(_blocks, BLOCKS), "hmm-blocks")
-    zipped = blocks.select("block", F.posexplode(F.arrays_zip("key1", "key2", "train")).alias("lid", "w"))
-    words = zipped.select("block", "lid", F.col("w.key1").alias("key1"), F.col("w.key2").alias("key2"), F.col("w.train").alias("n"))
-    counted = materialise(words.where("n > 0").groupBy("key1", "key2").agg(F.sum("n").alias("c")), "hmm-counts")
-    bucket = F.shiftright("key2", 32).cast("int").alias("bucket")
-    top_rows = counted.orderBy(F.desc("c"), "key1", "key2").limit(TOP).select("key1", "key2", "c", bucket).collect()
-    totals = np.zeros(1 + TOP + BUCKETS)
-    types = np.zeros(1 + TOP + BUCKETS)
-    for r in counted.groupBy(bucket).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        totals[r["bucket"]], types[r["bucket"]] = r["c"], r["v"]
-    end_count = int(blocks.agg(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0)
-    n_train, n_types = int(totals.sum()) + end_count, int(types.sum()) + (end_count > 0)
-    for r in top_rows:
-        totals[r["bucket"]] -= r["c"]
-        types[r["bucket"]] -= 1
-    totals += types + 1
-
-    # A word of one block has the block's own count; counts of the others come by a join, but for the frequent ones, which are few and in every block.
-    release(spark)
-    both = ["key1", "key2"]
-    listed = F.broadcast(spark.createDataFrame([(r["key1"], r["key2"], k + 1, r["c"]) for k, r in enumerate(top_rows)], "key1 long, key2 long, top int, c long"))
-    rest = words.join(listed, both, "left_anti").join(counted, both).where("c <> n").select("block", "lid", "c", F.lit(0).alias("top"))
-    known = rest.unionByName(words.join(listed, both).select("block", "lid", "c", "top"))
-    per_block = known.groupBy("block").agg(F.collect_list(F.struct("lid", "c", "top")).alias("w")).select("block", "w.lid", "w.c", "w.top")
-    # Written on their own, so that the shuffle files of the counts can go before the blocks are sent.
-    per_block = materialise(per_block, "hmm-words")
-    del words, zipped, rest, known
-    release(spark)
-    joined = blocks.drop("key1", "key2", "train").join(per_block, "block", "left")
-    known_blocks = materialise(joined.mapInPandas(_resolve, KNOWN), "hmm-known")
-    for done in (blocks, per_block, counted):
+    blocks = materialise(rows.mapInPandas(_blocks, BLOCKS), "hmm-blocks", by="part")
+    texts, both = blocks.where("part = -1"), ["key1", "key2"]
+
+    def words(k: int) -> DataFrame:
+        w = blocks.where(F.col("part") == k).select("block", F.explode(F.arrays_zip("lid", "key1", "key2", "train")).alias("w"))
+        return w.select("block", "w.lid", "w.key1", "w.key2", F.col("w.train").alias("n"))
+
+    counted = [materialise(words(k).where("n > 0").groupBy(*both).agg(F.sum("n").alias("c")), "hmm-counts") for k in range(SLICES)]
+    every = counted[0]
+    for c in counted[1:]:
+        every = every.unionByName(c)
+    totals, types = np.ones(1 + BUCKETS), np.zeros(1 + BUCKETS)
+    for r in every.groupBy(F.shiftright("key2", 32).cast("int").alias("bucket")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        totals[r["bucket"]], types[r["bucket"]] = r["c"] + 1, r["v"]
+    end_count = int(texts.agg(F.sum(F.expr("size(filter(held, x -> not x))"))).first()[0] or 0)
+    n_train, n_types = int(totals.sum()) - len(totals) + end_count, int(types.sum()) + (end_count > 0)
+    top = _frequent(every, n_train)
+    for r in top:
+        totals[r["key2"] >> 32] -= r["c"]
+        types[r["key2"] >> 32] -= 1
+    totals += types
+    totals[0] = 1.0
+    n_classes = 1 + BUCKETS + len(top)
+
+    # A word of one block has the block's own count; counts of the others come by a join, but for the frequent ones, which are at most MOST_TOP and in every block.
+    listed = F.broadcast(spark.createDataFrame([(r["key1"], r["key2"], 1 + BUCKETS + k, r["c"]) for k, r in enumerate(top)], "key1 long, key2 long, top int, c long"))
+    found = []
+    for k in range(SLICES):
+        rest = words(k).join(listed, both, "left_anti").join(counted[k], both).where("c <> n").select("block", "lid", "c", F.lit(0).alias("top"))
+        known = rest.unionByName(words(k).join(listed, both).select("block", "lid", "c", "top"))
+        per_block = known.groupBy("block").agg(F.collect_list(F.struct("lid", "c", "top")).alias("w")).select("block", "w.lid", "w.c", "w.top")
+        found.append(materialise(per_block, "hmm-words"))
+        discard(counted[k])
+        discard(blocks, f"part={k}")
+    meet = texts.select("block", "part", "ids", "held", "sizes", "lids", "own")
+    for f in found:
+        meet = meet.unionByName(f.withColumn("part", F.lit(0)), allowMissingColumns=True)
+    known_blocks = materialise(meet.groupBy("block").applyInPandas(_resolve, KNOWN), "hmm-known")
+    for done in (blocks, *found):
         discard(done)
-    del joined, blocks, per_block, counted
-    release(spark)
 
-    model = first_model(*_sample(known_blocks))
-    for _ in range(ITERATIONS):
-        sums = known_blocks.select("held", "sizes", "lids", "classes").mapInPandas(_expect(model), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(STATES + STATES**2 + STATES * (1 + TOP + BUCKETS))
+    unit = 1 << max(0, min(20, 58 - n_train.bit_length()))
+    model = first_model(*_sample(known_blocks), n_classes)
+    before = None
+    for _ in range(ROUNDS):
+        sums = known_blocks.select("held", "sizes", "lids", "classes").mapInPandas(_expect(model, unit), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(STATES + STATES**2 + STATES * n_classes + 1)
         for r in sums:
-            counts[r["at"]] = r["n"] / UNIT
-        if sums:
-            model = estimate(counts)
+            counts[r["at"]] = r["n"] / unit
+        if not sums:
+            break
+        model = estimate(counts, STATES)
+        if before is not None and counts[-1] - before < TOLERANCE * abs(before):
+            break
+        before = counts[-1]
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return known_blocks.mapInPandas(_score(model, totals, n_train, n_types, end_count), out)
 
 
-def _short_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each block up to SAMPLE_TEXTS training sequences of up to SAMPLE_TOKENS tokens, those with the smallest checksums."""
-    for pdf in batches:
-        for row in pdf.itertuples(index=False):
-            seq, sizes = _sequences(row, True)
-            ends = np.cumsum(sizes)
-            short = [seq[e - n : e].astype(np.int32).tobytes() for e, n in zip(ends.tolist(), sizes.tolist()) if n <= SAMPLE_TOKENS]
-            some = sorted((crc32(x), x) for x in short)[:SAMPLE_TEXTS]
-            yield pd.DataFrame({"key": [x[0] for x in some], "seq": [x[1] for x in some]})
+def _pieces(least: int):
+    """Training sequences, the longer ones in pieces of up to SAMPLE_TOKENS tokens: those whose hash is up to ``least``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                seq, sizes = _sequences(row, True)
+                ends = np.cumsum(sizes)
+                out = {}
+                for e, n in zip(ends.tolist(), sizes.tolist()):
+                    for a in range(e - n, e, SAMPLE_TOKENS):
+                        x = seq[a : min(e, a + SAMPLE_TOKENS)].astype(np.int32).tobytes()
+                        key = xxhash.xxh64_intdigest(x) >> 1
+                        if key <= least:
+                            out[x] = key
+                yield pd.DataFrame({"key": list(out.values()), "seq": list(out)})
+
+    return run
 
 
 def _sample(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = blocks.select("held", "sizes", "lids", "classes").mapInPandas(_short_texts, "key long, seq binary").orderBy("key", "seq").limit(SAMPLE_TEXTS).collect()
-    seqs = [np.frombuffer(bytes(r["seq"]), np.int32).astype(np.int64) for r in rows]
+    """About SAMPLE_PIECES different pieces of training sequences: twice that many pass a threshold on their hashes, those with the smallest hashes are taken."""
+    counted = F.expr(f"aggregate(zip_with(sizes, held, (n, h) -> if(h, 0L, cast(ceil((n + 1) / {SAMPLE_TOKENS}) as bigint))), 0L, (a, x) -> a + x)")
+    total = blocks.agg(F.sum(counted)).first()[0] or 0
+    least = int(min(1.0, 2 * SAMPLE_PIECES / max(total, 1)) * ((1 << 63) - 1))
+    rows = blocks.select("held", "sizes", "lids", "classes").mapInPandas(_pieces(least), "key long, seq binary").distinct().collect()
+    seqs = [np.frombuffer(bytes(r["seq"]), np.int32).astype(np.int64) for r in sorted(rows, key=lambda r: (r["key"], bytes(r["seq"])))[:SAMPLE_PIECES]]
     return (np.concatenate(seqs) if seqs else np.zeros(0, np.int64)), np.array([len(s) for s in seqs], np.int64)
