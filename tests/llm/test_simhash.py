@@ -44,18 +44,92 @@ def test_against_brute_force(spark):
     df = fixtures.docs(spark)
     got = simhash.near_duplicates(df)
     assert set(df.columns) < set(got.columns)
-    found = sorted(((r[0], r[1] % (1 << 64), r[2]) for r in got.select("doc_id", "__sim_fp", "__sim_component").collect()), key=str)
+    found = sorted(((r[0], int.from_bytes(r[1], "big"), r[2]) for r in got.select("doc_id", "__sim_fp", "__sim_component").collect()), key=str)
     assert found == plain_components([(r[0], r[1]) for r in fixtures.rows()])
 
 
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
 def test_keeps_one_of_each_group_and_empty_table(spark):
-    rows = fixtures.rows()
     kept = simhash.keep_one(fixtures.docs(spark))
     assert kept.columns == fixtures.docs(spark).columns
-    groups = {c if c is not None else "none" for _, _, c in plain_components([(r[0], r[1]) for r in rows])}
-    assert kept.count() == len(groups)
+    groups = {}
+    for k, r in enumerate(fixtures.rows()):
+        near = [g for g, others in groups.items() if any(jaccard(r[1], o[1]) >= 0.8 for o in others)]
+        merged = [r] + [o for g in near for o in groups.pop(g)]
+        groups[k] = merged
+    least = sorted((min(((x[0] is None, x[0] or 0) for x in g)) for g in groups.values()), key=str)
+    assert sorted(((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect()), key=str) == least
     assert simhash.keep_one(fixtures.empty(spark)).count() == 0
     assert simhash.near_duplicates(fixtures.empty(spark)).count() == 0
+    assert simhash.near_duplicates(fixtures.empty(spark), kind=simhash.WIDE).count() == 0
+
+
+def edited(words, share, r):
+    """The words with so many of them replaced that about ``share`` of the five-word shingles stay."""
+    out = list(words)
+    for k in r.sample(range(len(out)), max(1, round(len(out) * (1 - share) / 5))):
+        out[k] = fixtures.word(r) + "x"
+    return out
+
+
+def test_wide_fingerprints_follow_the_similarity_of_shingle_sets():
+    """Of pairs at 0.85 or more nearly all link, at 0.8 to 0.85 most, at 0.6 or less hardly any; unrelated texts never."""
+    r = random.Random(5)
+    found = {}
+    for k in range(600):
+        words = [fixtures.word(r) + str(r.randint(0, 9)) for _ in range(r.randint(80, 400))]
+        a, b = " ".join(words), " ".join(edited(words, r.uniform(0.6, 1.0), r))
+        x, y = (np.frombuffer(simhash.wide_fingerprint(t), np.uint8) for t in (a, b))
+        j = jaccard(a, b)
+        found.setdefault("high" if j >= 0.85 else "at" if j >= 0.8 else "low" if j <= 0.6 else "", []).append(np.bitwise_count(x ^ y).sum() <= simhash.WIDE.radius)
+    assert np.mean(found["high"]) > 0.97 and np.mean(found["at"]) > 0.8 and np.mean(found["low"]) < 0.1
+    assert simhash.wide_fingerprint(None) == simhash.wide_fingerprint(" ") == bytes(32)
+    assert simhash.wide_fingerprint("A b") == simhash.wide_fingerprint("a  B")
+
+
+def test_wide_bits_are_majorities(monkeypatch):
+    """The counting of bits eight at a time against one at a time, over more shingles than one batch."""
+    r = random.Random(3)
+    text = " ".join(fixtures.word(r) + str(i) for i in range(9000))
+    words = text.split()
+    each = [np.uint64(xxhash.xxh64_intdigest(w, 42)) for w in words]
+    counts = np.zeros(256, int)
+    with np.errstate(over="ignore"):
+        for i in range(len(words) - 4):
+            h = np.zeros(1, np.uint64)
+            for k in range(5):
+                h = simhash._mixed(h + np.uint64(0x9E3779B97F4A7C15)) ^ each[i + k]
+            for k in range(4):
+                m = int(simhash._mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1))[0])
+                counts[64 * k : 64 * k + 64] += np.unpackbits(np.frombuffer(m.to_bytes(8, "little"), np.uint8))
+    assert np.packbits(2 * counts > len(words) - 4).tobytes() == simhash.wide_fingerprint(text)
+
+
+def test_near_copies_of_texts_are_found_through_the_trees(spark, monkeypatch):
+    """Groups of near copies and a hot group against brute force over all pairs of fingerprints."""
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 60)
+    monkeypatch.setattr(simhash, "LEAF_SHARE", 1)
+    monkeypatch.setattr(simhash, "LEAF_CAP", 50)
+    monkeypatch.setattr(simhash, "GUEST_CAP", 70)
+    r = random.Random(8)
+    rows = []
+    for g in range(60):
+        words = [fixtures.word(r) + str(r.randint(0, 9)) for _ in range(150)]
+        for _ in range(100 if g == 0 else r.randint(1, 5)):
+            rows.append((len(rows), " ".join(edited(words, r.uniform(0.85, 1.0), r))))
+    bits = np.array([np.frombuffer(simhash.wide_fingerprint(t), np.uint64) for _, t in rows])
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if np.bitwise_count(bits[a] ^ bits[b]).sum() <= simhash.WIDE.radius]
+    true = labels(len(rows), links)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), kind=simhash.WIDE)
+    found = dict(got.select("doc_id", "__sim_component").collect())
+    assert [found[i] for i in range(len(rows))] == true
 
 
 def test_xxhash_matches_the_engines(spark):
@@ -105,10 +179,8 @@ def test_trees_lose_no_link(spark, monkeypatch, leaves):
     real = simhash.grow_tree
     monkeypatch.setattr(simhash, "GUEST_CAP", 50)
     monkeypatch.setattr(simhash, "grow_tree", lambda p, total, radius, leaf_rows: real(p, total, radius, leaf_rows=leaves))
-    df = spark.createDataFrame([(int(x.astype(np.int64)),) for x in fps], "fp long")
-    got = simhash.linked_fingerprints(df).distinct().collect()
-    where = {int(x.astype(np.int64)): k for k, x in enumerate(fps)}
-    pairs = [(where[r["u"]], where[r["v"]]) for r in got]
+    df = spark.createDataFrame([(k, int(x).to_bytes(8, "big")) for k, x in enumerate(fps)], "node long, bits binary")
+    pairs = [tuple(x) for x in simhash.linked_fingerprints(df, simhash.NARROW).distinct().collect()]
     true = all_links(fps)
     assert {(min(p), max(p)) for p in pairs} <= true
     assert labels(len(fps), pairs) == labels(len(fps), true)

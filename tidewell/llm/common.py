@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,26 @@ def ship(spark: SparkSession) -> None:
             _shipped[app] = zipped
 
 
+def forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Those links that join two groups so far apart; ``label`` holds the groups and is updated."""
+    out = []
+    while len(i):
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            break
+        # One link per smaller group at a time: hook the larger label to the smaller one.
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        _, first = np.unique(high, return_index=True)
+        to = np.arange(len(label))
+        to[high[first]] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        out += list(zip(i[first].tolist(), j[first].tolist()))
+        label[:] = to[label]
+    return out
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """Components of an undirected graph given by ``edges(u, v)``: rows (node, component).
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, ship
+from .common import connected_components, forest, materialise, ship
 
 THRESHOLD, TILE, BLOCK, PAIRS = 0.98, 1024, 256, 50_000
 BROADCAST_LABELS = 100_000
@@ -51,26 +51,6 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float):
             yield x[found], y[found]
 
 
-def forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Those links that join two groups so far apart; ``label`` holds the groups and is updated."""
-    out = []
-    while len(i):
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            break
-        # One link per smaller group at a time: hook the larger label to the smaller one.
-        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-        _, first = np.unique(high, return_index=True)
-        to = np.arange(len(label))
-        to[high[first]] = low[first]
-        while (to[to] != to).any():
-            to = to[to]
-        out += list(zip(i[first].tolist(), j[first].tolist()))
-        label[:] = to[label]
-    return out
-
-
 def _meet(threshold: float):
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = pdf["i"].iloc[0], pdf["j"].iloc[0]

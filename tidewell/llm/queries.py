@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("__sim_fp"), 16, "0")).alias("fingerprint"), F.col("__sim_component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.hex("__sim_fp")).alias("fingerprint"), F.col("__sim_component").alias("component_id"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,64 +1,129 @@
-"""SimHash near-duplicates, linked exactly through vantage-point trees over Hamming distance.
+"""SimHash near-duplicates, linked through vantage-point trees over Hamming distance.
 
-A fingerprint has 64 bits.  Two fingerprints at 4 or fewer differing bits agree to within 2
-bits in at least one 32-bit half, so one vantage-point tree per half, searched with radius
-2, sees every link, and the full distance then decides.  Working on halves matters: random
-64-bit fingerprints all lie about 32 bits apart with a deviation of 4, so that a radius of
-4 hardly prunes, while radius 2 against a deviation of 2.8 does.
+A ``Kind`` says how texts become fingerprints and when two of them link.  ``NARROW`` has 64 bits over shingles of four words and
+links at 4 or fewer differing bits.  ``WIDE`` has 256 bits over the set of a text's shingles of five words and links at 45 or fewer: differing
+bits follow the angle between the shingle sets, so that 39 are expected at a Jaccard similarity of 0.8 and 128 for unrelated texts.
+
+A fingerprint is cut into words.  If two fingerprints link, some word of theirs is likely to differ by ``reach`` bits at most, so
+there is one vantage-point tree per word, searched with that radius, and the full distance then decides.  NARROW has two words
+and reach 2, which misses nothing (4 bits can't put 3 into both halves).  WIDE has sixteen words and reach 1, which misses
+nothing up to 31 differing bits and about 1 pair in 200 at 39.  Searching words matters: distances between whole random fingerprints
+all lie so near to half the bits that a radius hardly prunes.
 
 The trees are grown on the driver from a bounded sample of fingerprints and only steer where
 rows go.  Every distinct fingerprint is a resident of one leaf of each tree, and a guest of
 each leaf whose triangle bounds leave room for a link to a resident; a leaf's rows meet in
 one task.  Guests meet residents only; a leaf with more than ``LEAF_CAP`` residents (or ``GUEST_CAP``
 guests) is cut into chunks, and each pair of resident chunks and each resident with each guest chunk meet in a task of their own.
+Inside a leaf only words that agree in one of ``reach`` + 1 parts are compared (words within reach agree in one).
 
 Leaves hold about ``LEAF_SHARE`` times the square root of the number n of fingerprints: random words visit
-leaves in numbers that grow with the square root of n / leaf, so that rows sent grow as n**1.25 and comparisons as n**1.75.
+leaves in numbers that grow with about the square root of n / leaf, so that rows sent grow as n**1.25 until leaves reach
+LEAF_CAP (at some 70 million different fingerprints); beyond that copies for chunks add up to n**0.5 more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, materialise, ship
+from .common import connected_components, discard, forest, materialise, ship
+
+SEED, LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 42, 1024, 32, 262_144, 524_288, 32768
+#: Rows and columns compared at once inside a leaf.
+BLOCK_ROWS, BLOCK_COLS = 512, 4096
+
 
-SHINGLE, RADIUS, SEED = 4, 4, 42
-LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 1024, 8, 8192, 131_072, 32768
+class Kind(NamedTuple):
+    """Fingerprints (8 * ``longs`` bytes, highest bit first), cut into words of ``bits`` bits, linked at ``radius`` or fewer differing bits."""
 
+    fingerprint: Callable[[str | None], bytes]
+    longs: int
+    bits: int
+    reach: int
+    radius: int
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint of a text as a signed 64-bit integer; zero for a null text or one without words."""
+
+def fingerprint(text: str | None, shingle: int = 4) -> bytes:
+    """64 bits over shingles with repeats; zero for a null text or one without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
+        return bytes(8)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
-    stops = (ends[min(SHINGLE, len(words)) - 1 :] - 1).tolist()
+    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     counts, seen = np.zeros(64, np.int64), 0
     for at in range(0, n, 65536):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + 65536], stops[at : at + 65536])], ">u8")
         counts += np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
         seen += len(h)
-    return int(np.packbits(2 * counts > seen).view(">u8")[0].astype(np.int64))
+    return np.packbits(2 * counts > seen).tobytes()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers, scattered."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+#: For each byte, its bits one to a byte: sums of up to 255 of them count eight bits at once.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, longs: int = 4) -> bytes:
+    """256 bits over the set of shingles; fewer words are one shingle; zero for a null text or one without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(8 * longs)
+    number: dict[bytes, int] = {}
+    ids = np.array([number.setdefault(w, len(number)) for w in words])
+    each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)[ids]
+    n = max(1, len(words) - shingle + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        h = _mixed(h + np.uint64(0x9E3779B97F4A7C15)) ^ each[k : k + n]
+    h = np.unique(h)
+    counts = np.zeros(64 * longs, np.int64)
+    for at in range(0, len(h), 255 * 32):
+        some = h[at : at + 255 * 32]
+        spread = np.stack([_mixed(some + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(longs)], axis=1)
+        lanes = _LANES[spread.view(np.uint8)]
+        for a in range(0, len(some), 255):
+            counts += lanes[a : a + 255].sum(0).view(np.uint8)
+    return np.packbits(2 * counts > len(h)).tobytes()
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in texts:
-        yield pd.Series([fingerprint(x) for x in s], dtype="int64")
+NARROW = Kind(fingerprint, 1, 32, 2, 4)
+WIDE = Kind(wide_fingerprint, 4, 16, 1, 45)
+
+
+def fingerprint_column(kind: Kind, text: Column) -> Column:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in texts:
+            yield pd.Series([kind.fingerprint(x) for x in s], dtype="object")
+
+    run.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, T.BinaryType())(text)
+
+
+def unpack(raw: pd.Series, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints as rows of 64-bit numbers, and as rows of words."""
+    flat = b"".join(map(bytes, raw))
+    return np.frombuffer(flat, np.uint64).reshape(-1, kind.longs), np.frombuffer(flat, f"u{kind.bits // 8}").reshape(-1, 64 * kind.longs // kind.bits)
 
 
 def grow_tree(points: np.ndarray, total: int, radius: int, leaf_rows: int = LEAF_ROWS) -> list[tuple]:
-    """A vantage-point tree over 32-bit words: nodes (vantage, threshold, inner, outer); a leaf has vantage None.
+    """A vantage-point tree over words: nodes (vantage, threshold, inner, outer); a leaf has vantage None.
 
     ``points`` stand for ``total`` rows; growth ends where a node stands for ``leaf_rows`` or fewer,
     or where no threshold splits its points.
@@ -96,7 +161,7 @@ def leaves(words: np.ndarray, nodes: list[tuple], radius: int) -> tuple[np.ndarr
         if vantage is None:
             out.append((idx, np.full(len(idx), node), home))
             continue
-        d = np.bitwise_count(words[idx] ^ np.uint32(vantage)).astype(np.int64)
+        d = np.bitwise_count(words[idx] ^ words.dtype.type(vantage)).astype(np.int64)
         inside = d <= t
         # A resident of the outer side visits the inner side if a resident there may lie within the radius; guests visit both sides so.
         go = np.where(home, inside | (d <= t + radius), d <= t + radius)
@@ -106,52 +171,60 @@ def leaves(words: np.ndarray, nodes: list[tuple], radius: int) -> tuple[np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int),) * 3
 
 
-def _route(trees: list[list[tuple]], radius: int):
+def _route(trees: list[list[tuple]], kind: Kind):
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy(np.int64)
+            node, raw = pdf["node"].to_numpy(np.int64), pdf["bits"].to_numpy()
+            words = unpack(pdf["bits"], kind)[1]
             for side, nodes in enumerate(trees):
-                words = ((fp.view(np.uint64) >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 for at in range(0, len(words), 2000):
-                    idx, leaf, home = leaves(words[at : at + 2000], nodes, radius)
-                    yield pd.DataFrame({"leaf": leaf * 2 + side, "fp": fp[at + idx], "home": home.astype(bool)})
+                    idx, leaf, home = leaves(words[at : at + 2000, side], nodes, kind.reach)
+                    yield pd.DataFrame({"leaf": leaf * len(trees) + side, "node": node[at + idx], "bits": raw[at + idx], "home": home.astype(bool)})
 
     return route
 
 
-def spanning_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """Links within ``a`` (or between ``a`` and ``b``) at ``radius`` or fewer bits, thinned to a spanning forest."""
-    points = a if b is None else np.concatenate([a, b])
-    label, links = np.arange(len(points)), []
-    for at in range(0, len(a), 256):
-        rows = a[at : at + 256]
-        against = a if b is None else b
-        near = np.bitwise_count(rows[:, None] ^ against[None, :]) <= radius
-        for i in np.flatnonzero(near.sum(1) > (b is None)):
-            js = np.flatnonzero(near[i]) + (0 if b is None else len(a))
-            mine = at + i
-            groups, first = np.unique(label[js], return_index=True)
-            for g, k in zip(groups, first):
-                if g != label[mine]:
-                    links.append((int(points[mine].astype(np.int64)), int(points[js[k]].astype(np.int64))))
-            label[np.isin(label, np.append(groups, label[mine]))] = min(groups[0], label[mine])
-    return links
-
-
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of one cell: residents of chunk ``i`` with those of chunk ``j`` (cell "rr"), or residents with guests ("rg"), or both ("all")."""
-    fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-    home, chunk = pdf["home"].to_numpy(bool), pdf["chunk"].to_numpy()
-    cell, i, j = pdf["cell"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
-    links: list[tuple[int, int]] = []
-    if cell != "rg":
-        if i == j:
-            links += spanning_links(fp[home], None, RADIUS)
-        else:
-            links += spanning_links(fp[home & (chunk == i)], fp[home & (chunk == j)], RADIUS)
-    if cell != "rr" and not home.all():
-        links += spanning_links(fp[home], fp[~home], RADIUS)
-    return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+def leaf_links(bits: np.ndarray, words: np.ndarray, home: np.ndarray, kind: Kind) -> list[tuple[int, int]]:
+    """Links of home rows with each other and with the rest whose words lie within reach, thinned to a spanning forest: index pairs."""
+    label, out = np.arange(len(words)), []
+    edges = [kind.bits * k // (kind.reach + 1) for k in range(kind.reach + 2)]
+    for low, high in zip(edges[:-1], edges[1:]):
+        key = (words >> words.dtype.type(low)) & words.dtype.type((1 << (high - low)) - 1)
+        order = np.lexsort((~home, key))
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            group = order[a:b]
+            n_home = int(home[group].sum())
+            for i in range(0, n_home if b - a > 1 else 0, BLOCK_ROWS):
+                rows = group[i : min(n_home, i + BLOCK_ROWS)]
+                for j in range(i, len(group), BLOCK_COLS):
+                    cols = group[j : j + BLOCK_COLS]
+                    near = np.bitwise_count(words[rows][:, None] ^ words[cols][None, :]) <= kind.reach
+                    near &= label[rows][:, None] != label[cols][None, :]
+                    x, y = np.nonzero(near)
+                    x, y = rows[x], cols[y]
+                    close = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= kind.radius
+                    if close.any():
+                        out += forest(x[close], y[close], label)
+    return out
+
+
+def _meet(kind: Kind, sides: int):
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of one cell: residents of chunk ``i`` with those of chunk ``j`` (cell "rr"), or residents with guests ("rg"), or both ("all").
+
+        Residents of one chunk meet each other again in its other cells, which costs less than to keep them apart.
+        """
+        node, side = pdf["node"].to_numpy(np.int64), int(pdf["leaf"].iloc[0]) % sides
+        bits, words = unpack(pdf["bits"], kind)
+        home, chunk = pdf["home"].to_numpy(bool), pdf["chunk"].to_numpy()
+        cell, i, j = pdf["cell"].iloc[0], pdf["i"].iloc[0], pdf["j"].iloc[0]
+        if cell == "rr" and i != j:
+            home = chunk == i
+        links = leaf_links(bits, np.ascontiguousarray(words[:, side]), home, kind)
+        return pd.DataFrame([(int(node[a]), int(node[b])) for a, b in links], columns=["u", "v"], dtype="int64")
+
+    return meet
 
 
 def _cells(routed: DataFrame) -> DataFrame:
@@ -163,59 +236,67 @@ def _cells(routed: DataFrame) -> DataFrame:
     if heavy.isEmpty():
         return routed.withColumns({"cell": F.lit("all"), "chunk": zero, "i": zero, "j": zero})
     marked = routed.join(heavy, "leaf", "left")
-    light = marked.where("gr is null").select("leaf", "fp", "home", F.lit("all").alias("cell"), zero.alias("chunk"), zero.alias("i"), zero.alias("j"))
-    many = marked.where("gr is not null").withColumn("chunk", F.pmod(F.xxhash64("fp", "leaf"), F.when(F.col("home"), F.col("gr")).otherwise(F.col("gg"))).cast("int"))
+    light = marked.where("gr is null").select("leaf", "node", "bits", "home", F.lit("all").alias("cell"), zero.alias("chunk"), zero.alias("i"), zero.alias("j"))
+    many = marked.where("gr is not null").withColumn("chunk", F.pmod(F.xxhash64("node", "leaf"), F.when(F.col("home"), F.col("gr")).otherwise(F.col("gg"))).cast("int"))
     upto = lambda g: F.explode(F.sequence(zero, F.col(g) - 1)).alias("k")
-    cols = ["leaf", "fp", "home", "chunk"]
-    rr = many.where("home").select(*cols, upto("gr")).select("leaf", "fp", "home", F.lit("rr").alias("cell"), "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
-    r_g = many.where("home").select(*cols, upto("gg")).select("leaf", "fp", "home", F.lit("rg").alias("cell"), "chunk", F.col("chunk").alias("i"), F.col("k").alias("j"))
-    g_r = many.where("not home").select(*cols, upto("gr")).select("leaf", "fp", "home", F.lit("rg").alias("cell"), "chunk", F.col("k").alias("i"), F.col("chunk").alias("j"))
+    cols = ["leaf", "node", "bits", "home"]
+    rr = many.where("home").select(*cols, "chunk", upto("gr")).select(*cols, F.lit("rr").alias("cell"), "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
+    r_g = many.where("home").select(*cols, "chunk", upto("gg")).select(*cols, F.lit("rg").alias("cell"), "chunk", F.col("chunk").alias("i"), F.col("k").alias("j"))
+    g_r = many.where("not home").select(*cols, "chunk", upto("gr")).select(*cols, F.lit("rg").alias("cell"), "chunk", F.col("k").alias("i"), F.col("chunk").alias("j"))
     return light.unionByName(rr).unionByName(r_g).unionByName(g_r)
 
 
-def linked_fingerprints(distinct: DataFrame) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints ``fp`` that span the same components as all links at 4 or fewer bits."""
+def linked_fingerprints(distinct: DataFrame, kind: Kind) -> DataFrame:
+    """Links (u, v) between the rows ``node, bits`` of distinct fingerprints that span the same components as all links found; a written table."""
     total = distinct.count()
-    take = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
-    sample = np.array([r[0] for r in take.collect()], np.int64).view(np.uint64)
-    halves = [((sample >> np.uint64(32 * side)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for side in (0, 1)]
+    least = min((1 << 63) - 1, (1 << 63) * SAMPLE // max(total, 1))
+    take = distinct.where(F.shiftrightunsigned(F.xxhash64("bits"), 1) <= least).select("bits").toPandas()["bits"]
+    sample = unpack(take.sort_values(), kind)[1]
     leaf_rows = max(LEAF_ROWS, int(LEAF_SHARE * total**0.5))
-    trees = [grow_tree(h, total, RADIUS // 2, leaf_rows) for h in halves]
-    routed = materialise(distinct.mapInPandas(_route(trees, RADIUS // 2), "leaf long, fp long, home boolean"), "vp-routed")
-    return _cells(routed).groupBy("leaf", "cell", "i", "j").applyInPandas(_meet, "u long, v long")
+    sides = 64 * kind.longs // kind.bits
+    trees = [grow_tree(np.ascontiguousarray(sample[:, side]), total, kind.reach, leaf_rows) for side in range(sides)]
+    routed = materialise(distinct.mapInPandas(_route(trees, kind), "leaf long, node long, bits binary, home boolean"), "vp-routed")
+    links = materialise(_cells(routed).groupBy("leaf", "cell", "i", "j").applyInPandas(_meet(kind, sides), "u long, v long"), "vp-links")
+    discard(routed)
+    return links
 
 
-def _classify(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as a table with fingerprint and row number, and per fingerprint its component and the component's root."""
+def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """``docs`` as a table with fingerprint and row number, and the distinct fingerprints: bits, root, least id, and the row that stays first."""
     ship(docs.sparkSession)
-    marked = materialise(docs.withColumns({"__sim_fp": _fingerprints(F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
-    nodes = materialise(marked.groupBy(F.col("__sim_fp").alias("fp")).agg(F.min(id_col).alias("least")), "simhash-nodes")
-    found = connected_components(linked_fingerprints(nodes.select("fp")), "simhash")
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left")
-    rooted = materialise(rooted.select(F.col("fp").alias("__sim_fp"), "least", F.coalesce("component", "fp").alias("__sim_root")), "simhash-roots")
-    least = rooted.groupBy("__sim_root").agg(F.min("least").alias("__sim_component"))
-    return marked, materialise(rooted.join(least, "__sim_root").select("__sim_fp", "__sim_component", "__sim_root"), "simhash-classes")
+    marked = materialise(docs.withColumns({"__sim_fp": fingerprint_column(kind, F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
+    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__sim_rid").alias("rid"))
+    nodes = marked.groupBy(F.col("__sim_fp").alias("bits")).agg(F.min(id_col).alias("least"), F.min(first).alias("first"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    links = linked_fingerprints(nodes.select("node", "bits"), kind)
+    found = connected_components(links, "simhash")
+    rooted = materialise(nodes.join(found, "node", "left").select("bits", "least", "first", F.coalesce("component", "node").alias("root")), "simhash-roots")
+    for done in (nodes, links, found):
+        discard(done)
+    return marked, rooted
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = NARROW) -> DataFrame:
     """One row per row of ``docs``: all its columns plus ``__sim_fp`` (fingerprint), ``__sim_rid`` (a row number), ``__sim_component`` and ``__sim_root``.
 
     ``__sim_component`` is the smallest id reachable over links (null if all those ids are null); rows whose ids repeat
     stay separate rows.  Null and wordless texts have fingerprint zero and link like any other.  Other columns pass
     through unread; ``docs`` may be empty.
     """
-    marked, classes = _classify(docs, id_col, text_col)
+    marked, rooted = _classify(docs, id_col, text_col, kind)
+    least = rooted.groupBy("root").agg(F.min("least").alias("__sim_component"))
+    classes = materialise(rooted.join(least, "root").select(F.col("bits").alias("__sim_fp"), "__sim_component", F.col("root").alias("__sim_root")), "simhash-classes")
+    discard(rooted)
     return marked.join(classes, "__sim_fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = WIDE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null ids last) stays.
 
-    Which row stays is settled without the texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list
-    grows with the documents, so it is never broadcast.
+    Null, empty and wordless texts count as copies of each other, so one of them stays.  Which row stays is settled without the
+    texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list grows with the documents, so it is never broadcast.
     """
-    marked, classes = _classify(docs, id_col, text_col)
-    first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__sim_rid").alias("rid"))
-    narrow = marked.select(id_col, "__sim_fp", "__sim_rid").join(classes, "__sim_fp")
-    stays = materialise(narrow.groupBy("__sim_root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("__sim_rid")), "simhash-stays")
+    marked, rooted = _classify(docs, id_col, text_col, kind)
+    stays = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__sim_rid")), "simhash-stays")
+    discard(rooted)
     return marked.join(stays.hint("merge"), "__sim_rid", "left_semi").select(*docs.columns)
