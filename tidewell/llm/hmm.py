@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, ship
 
 STATES, BUCKETS, LEAST_TOP, MOST_TOP = 8, 256, 1024, 60_000
-BLOCK_TOKENS, SLICE_TOKENS, STEPS, SLICES = 500_000, 150_000, 128, 4
+BLOCK_TOKENS, SLICE_TOKENS, STEPS, SCALE_EVERY, SLICES = 500_000, 500_000, 1024, 8, 4
 SAMPLE_PIECES, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 400, 2000, 12, 3, 0.002
 FOLDS, HELD_OUT = 7, 2
 #: Words of a block are rows of its SLICES parts (``lid`` is a word's number in the block); part -1 has the texts.
@@ -60,7 +60,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Per block of texts: their word numbers one after the other, and the words so numbered with their counts in training texts."""
     import uuid
 
-    fresh = lambda: ([], [], [], [], {}, 0)
+    fresh = lambda: ([], [], [], [], _Numbers(), 0)
     ids, held, sizes, parts, number, total = fresh()
 
     def rows() -> pd.DataFrame:
@@ -80,7 +80,7 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for i, h, text in zip(pdf["id"], pdf["held"], pdf["text"]):
             words = tokens(text)
-            parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.uint32))
+            parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
             ids.append(None if pd.isna(i) else int(i))
             held.append(bool(h))
             sizes.append(len(words))
@@ -92,10 +92,20 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows()
 
 
+class _Numbers(dict):
+    """Words, numbered as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers that stand for each word: its XXH64, and its class among the less frequent words beside its CRC-32."""
-    key1 = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-    return key1, np.array([bucket_of(w) << 32 | crc32(w) for w in words], np.int64)
+    """Two numbers that stand for each word: 64 bits of its XXH3, and 32 more beside its class among the less frequent words."""
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+    bucket: dict[bytes, int] = {}
+    classes = np.array([bucket.get(w[-3:]) or bucket.setdefault(w[-3:], bucket_of(w)) for w in words], np.int64)
+    return hashed[:, 0].view(np.int64), classes << 32 | (hashed[:, 1] >> np.uint64(32)).astype(np.int64)
 
 
 def bucket_of(word: bytes) -> int:
@@ -128,9 +138,9 @@ def _order(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
 
 
 def _sweep(pre: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarray, model: dict, alphas: np.ndarray | None = None, scales: np.ndarray | None = None):
-    """Run through chunks side by side; ``pre`` has the state weights before the first emission.
+    """Run through chunks side by side; ``pre`` has the state weights before the first emission.  Weights are scaled to a sum of one at every SCALE_EVERY-th place.
 
-    Returns the state weights at each chunk's end, adding up to one, and the logs of the sums of their scales; fills ``alphas`` and ``scales`` by place.
+    Returns the state weights at each chunk's end, scaled, the last scales and the logs of all scales; fills ``alphas`` and ``scales`` by place (``scales`` starts as ones).
     """
     order, active = _order(size)
     emit, move = model["emit"].T, model["move"]
@@ -139,15 +149,20 @@ def _sweep(pre: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarra
     for t, n in enumerate(active):
         here = place[:n] + t
         alpha = (ends if t == 0 else ends[:n] @ move) * emit[classes[here]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
+        if t % SCALE_EVERY == SCALE_EVERY - 1:
+            scale = alpha.sum(1)
+            alpha /= scale[:, None]
+            logs[:n] += np.log(scale)
+            if scales is not None:
+                scales[here] = scale
         ends[:n] = alpha
-        logs[:n] += np.log(scale)
         if alphas is not None:
-            alphas[here], scales[here] = alpha, scale
-    back_ends, back_logs = np.empty_like(ends), np.empty_like(logs)
-    back_ends[order], back_logs[order] = ends, logs
-    return back_ends, back_logs
+            alphas[here] = alpha
+    tails = ends.sum(1)
+    ends /= tails[:, None]
+    out = np.empty_like(ends), np.empty_like(tails), np.empty_like(logs)
+    out[0][order], out[1][order], out[2][order] = ends, tails, logs + np.log(tails)
+    return out
 
 
 def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +174,7 @@ def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.nd
     several = several[np.argsort(-c.n[several], kind="stable")]
     if len(several):
         later = np.flatnonzero(c.nth > 0)
-        ends, logs = _sweep(np.tile(model["move"], (len(later), 1)), np.repeat(c.at[later], k), np.repeat(c.size[later], k), classes, model)
+        ends, _, logs = _sweep(np.tile(model["move"], (len(later), 1)), np.repeat(c.at[later], k), np.repeat(c.size[later], k), classes, model)
         logs = logs.reshape(-1, k)
         through[later] = np.exp(logs - logs.max(1, keepdims=True))[:, :, None] * ends.reshape(-1, k, k)
         heads = c.head[several]
@@ -176,7 +191,7 @@ def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.nd
 def forward(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
     """Natural log likelihood of each sequence; sequences have a token or more."""
     c = cut(sizes)
-    _, logs = _sweep(_starts(classes, c, model)[0], c.at, c.size, classes, model)
+    logs = _sweep(_starts(classes, c, model)[0], c.at, c.size, classes, model)[2]
     return np.bincount(c.seq, weights=logs, minlength=len(sizes))
 
 
@@ -198,14 +213,14 @@ def expected(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
     if len(classes):
         c = cut(sizes)
         pre, through, several = _starts(classes, c, model)
-        alphas, scales = np.empty((len(classes), k)), np.empty(len(classes))
-        ends, logs = _sweep(pre, c.at, c.size, classes, model, alphas, scales)
+        alphas, scales = np.empty((len(classes), k)), np.ones(len(classes))
+        ends, tails, logs = _sweep(pre, c.at, c.size, classes, model, alphas, scales)
         log = logs.sum()
-        last = np.ones((len(c.at), k))
+        last = np.repeat(1 / tails[:, None], k, axis=1)
         for j in range(int(c.n.max()) - 1, 0, -1):
             here = c.head[several[c.n[several] > j]] + j
             b = np.einsum("nst,nt->ns", through[here], last[here])
-            last[here - 1] = b / (ends[here - 1] * b).sum(1, keepdims=True)
+            last[here - 1] = b / ((ends[here - 1] * b).sum(1) * tails[here - 1])[:, None]
         order, active = _order(c.size)
         place, last = c.at[order], last[order]
         emit, beta = model["emit"].T, np.ones((0, k))
@@ -214,7 +229,9 @@ def expected(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
             here = place[:n] + t
             if later:
                 nxt = here[:later] + 1
-                ahead = beta * (emit[classes[nxt]] / scales[nxt][:, None])
+                ahead = beta * emit[classes[nxt]]
+                if (t + 1) % SCALE_EVERY == SCALE_EVERY - 1:
+                    ahead /= scales[nxt][:, None]
                 move += alphas[here[:later]].T @ ahead
                 beta = np.concatenate([ahead @ model["move"].T, last[later:n]])
             else:
@@ -381,8 +398,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     listed = F.broadcast(spark.createDataFrame([(r["key1"], r["key2"], 1 + BUCKETS + k, r["c"]) for k, r in enumerate(top)], "key1 long, key2 long, top int, c long"))
     found = []
     for k in range(SLICES):
-        rest = words(k).join(listed, both, "left_anti").join(counted[k], both).where("c <> n").select("block", "lid", "c", F.lit(0).alias("top"))
-        known = rest.unionByName(words(k).join(listed, both).select("block", "lid", "c", "top"))
+        # Frequent words have their count; they go through the join under keys of their own, which spread them and match nothing.
+        asked = words(k).join(listed, both, "left").withColumn("key1", F.when(F.col("top").isNull(), F.col("key1")).otherwise(F.xxhash64("block", "lid")))
+        known = asked.join(counted[k].withColumnRenamed("c", "sent"), both, "left").where("top is not null or sent <> n")
+        known = known.select("block", "lid", F.coalesce("c", "sent").alias("c"), F.coalesce("top", F.lit(0)).alias("top"))
         per_block = known.groupBy("block").agg(F.collect_list(F.struct("lid", "c", "top")).alias("w")).select("block", "w.lid", "w.c", "w.top")
         found.append(materialise(per_block, "hmm-words"))
         discard(counted[k])
