@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -77,24 +78,24 @@ def clear(v):
 def plain_verdicts(rows, min_rows):
     def quantiles(values):
         values = sorted(values)
-        return len(values), [values[-(-len(values) * t // 10) - 1] for t in (1, 5, 9)]
+        return len(values), lambda p: values[-(-len(values) * p // 100) - 1]
 
     measured = []
     for r in rows:
         m = dict(zip(quality.COUNTS, plain_measure(r[1])))
         failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
-        measured.append((r[0], r[2], r[3], {n: m[a] * 256 // m[b] if m[b] else None for n, a, b, _ in quality.RATIOS}, failed))
+        measured.append((r[0], r[2], r[3], {n: clear(m[a] * 256 // m[b]) if m[b] else None for n, a, b, _ in quality.RATIOS}, failed, m))
     out = []
-    for i, lang, source, v, failed in measured:
+    for i, lang, source, v, failed, m in measured:
         kept = not failed
-        for name, _, _, margin in quality.RATIOS:
+        for name, a, b, p in quality.RATIOS:
             groups = [[x[3][name] for x in measured if not x[4] and x[3][name] is not None and same(x)] for same in (lambda x: x[1:3] == (lang, source), lambda x: x[1] == lang, lambda x: True)]
             if failed or not groups[0] or v[name] is None:
                 continue
-            n, (q1, q5, q9) = next((q for q in (quantiles(map(clear, g)) for g in groups) if q[0] >= min_rows), quantiles(map(clear, groups[2])))
-            kept &= v[name] <= q5 + 6 * (q5 - q1) + margin
+            q = next((q for n, q in map(quantiles, groups) if n >= min_rows), quantiles(groups[2])[1])
+            kept &= m[a] - 2 * m[a] ** 0.5 <= (q(p) + 4 * (q(p) - q(50))) * m[b] / 256
             if name == "word_length":
-                kept &= v[name] >= q5 - 6 * (q9 - q5) - margin
+                kept &= m[a] + 2 * m[a] ** 0.5 >= (q(15) + 4 * (q(15) - q(50))) * m[b] / 256
         out.append((i, failed, kept))
     return sorted(out, key=str)
 
@@ -111,3 +112,16 @@ def test_verdicts_against_brute_force(spark, monkeypatch, min_rows):
     assert found == plain_verdicts(rows, min_rows)
     assert (900, False, False) in found and (901, False, False) in found
     assert quality.judge(fixtures.empty(spark)).count() == 0
+
+
+def test_limits_follow_the_group(spark, monkeypatch):
+    """The same text is junk among plain prose and ordinary where the group is like it; other groups don't matter."""
+    monkeypatch.setattr(quality, "MIN_ROWS", 40)
+    r = random.Random(6)
+    plain = lambda: " ".join(fixtures.word(r) for _ in range(120))
+    marked = lambda: " ".join(fixtures.word(r) + (" |" if r.random() < 0.3 else "") for _ in range(120))
+    rows = [(i, plain(), "en", "prose") for i in range(60)] + [(100 + i, marked(), "en", "tables") for i in range(60)]
+    rows += [(500, marked(), "en", "prose"), (501, marked(), "en", "tables"), (502, plain(), "en", "tables"), (503, plain(), "en", "prose")]
+    rows += [(504, plain() + " &", "en", "prose")]
+    kept = dict(quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "__q_kept").collect())
+    assert (kept[500], kept[501], kept[502], kept[503], kept[504]) == (False, True, True, True, True)

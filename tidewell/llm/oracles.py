@@ -32,11 +32,14 @@ _FLAGS = ("f_hex", "f_cred", "f_benign", "f_assign", "f_quoted", "f_path")
 
 def _quality() -> str:
     ratios = " UNION ALL ".join(f"SELECT doc_id, lang, source, {_quote(n)} AS ratio, {a} * {quality.SCALE} // {b} AS v FROM m WHERE NOT base_failed AND {b} > 0" for n, a, b, _ in quality.RATIOS)
-    pick = lambda t: f"list_sort(list(lower_edge))[(count(*) * {t} + 9) // 10]"
-    quants = lambda keys: f"SELECT {keys}ratio, count(*) AS n, {pick(1)} AS q1, {pick(5)} AS q5, {pick(9)} AS q9 FROM h GROUP BY {keys}ratio"
-    from_level = lambda c: f"CASE WHEN s.n >= {quality.MIN_ROWS} THEN s.{c} WHEN l.n >= {quality.MIN_ROWS} THEN l.{c} ELSE w.{c} END AS {c}"
-    limits = ", ".join(f"max(q5 + {quality.SPREADS} * (q5 - q1) + {margin}) FILTER (ratio = {_quote(n)}) AS max_{n}" for n, _, _, margin in quality.RATIOS)
-    fine = " AND ".join(f"coalesce({a} * {quality.SCALE} // nullif({b}, 0) <= max_{n}, TRUE)" for n, a, b, _ in quality.RATIOS)
+    names = [f"q{p}" for p in quality.PERCENTS]
+    pick = ", ".join(f"list_sort(list(lower_edge))[(count(*) * {p} + 99) // 100] AS q{p}" for p in quality.PERCENTS)
+    quants = lambda keys: f"SELECT {keys}ratio, count(*) AS n, {pick} FROM h GROUP BY {keys}ratio"
+    from_level = ", ".join(f"CASE WHEN s.n >= {quality.MIN_ROWS} THEN s.{c} WHEN l.n >= {quality.MIN_ROWS} THEN l.{c} ELSE w.{c} END AS {c}" for c in names)
+    beyond = lambda p: f"max(q{p} + {quality.SPREADS} * (q{p} - q50))"
+    limits = ", ".join(f"{beyond(p)} FILTER (ratio = {_quote(n)}) AS max_{n}" for n, _, _, p in quality.RATIOS)
+    limits += f", {beyond(quality.LOWER_PERCENT)} FILTER (ratio = {_quote(quality.LOWER)}) AS min_{quality.LOWER}"
+    fine = quality.fine_sql("").replace(".0D", ".0::DOUBLE")
     return f"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
       w AS (SELECT doc_id, lang, source, text, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '{BLANK}')) AS lines FROM t),
       e AS (SELECT doc_id, unnest(words) AS w1, generate_subscripts(words, 1) AS i, len(words) AS k FROM w),
@@ -48,9 +51,9 @@ def _quality() -> str:
       m AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m0),
       v AS ({ratios}), h AS (SELECT *, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS lower_edge FROM v),
       s AS ({quants('lang, source, ')}), l AS ({quants('lang, ')}), a AS ({quants('')}),
-      q AS (SELECT s.lang, s.source, s.ratio, {from_level('q1')}, {from_level('q5')}, {from_level('q9')} FROM s JOIN l ON l.lang IS NOT DISTINCT FROM s.lang AND l.ratio = s.ratio JOIN a w ON w.ratio = s.ratio),
-      lim AS (SELECT lang, source, {limits}, max(q5 - {quality.SPREADS} * (q9 - q5) - {quality.RATIOS[-1][3]}) FILTER (ratio = 'word_length') AS min_word_length FROM q GROUP BY lang, source)
-      SELECT doc_id, {', '.join(quality.COUNTS)}, base_failed, NOT base_failed AND {fine} AND coalesce(word_chars * {quality.SCALE} // nullif(n_words, 0) >= min_word_length, TRUE) AS kept
+      q AS (SELECT s.lang, s.source, s.ratio, {from_level} FROM s JOIN l ON l.lang IS NOT DISTINCT FROM s.lang AND l.ratio = s.ratio JOIN a w ON w.ratio = s.ratio),
+      lim AS (SELECT lang, source, {limits} FROM q GROUP BY lang, source)
+      SELECT doc_id, {', '.join(quality.COUNTS)}, base_failed, NOT base_failed AND {fine} AS kept
       FROM m LEFT JOIN lim ON lim.lang IS NOT DISTINCT FROM m.lang AND lim.source IS NOT DISTINCT FROM m.source"""
 
 

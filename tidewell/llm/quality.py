@@ -4,10 +4,10 @@ Each text gets a few counts; their ratios, as whole 256ths, go into histograms w
 logarithmic resolution (the low bits beyond the seven leading ones are cleared, so a value is
 known to 1 part in 64).  Such histograms merge by adding counts: over partitions, and from
 (language, source) groups into languages and into the whole, which stand in for groups
-of fewer than ``MIN_ROWS`` texts.  A group's upper limit for a ratio is its median plus
-``SPREADS`` times the distance from its lowest tenth to the median plus a margin; the lower half of a
-group sets its limits, so junk in the upper half doesn't raise them.  The limits
-are then joined to the rows.
+of fewer than ``MIN_ROWS`` texts.  A ratio's upper limit is the group's own upper quantile (named with the ratio) plus
+``SPREADS`` times its distance from the median; the lower limit, where there is one, mirrors it.  No limit is a constant: where a group's texts
+hold more symbols, capitals or repeats, its limits rise with them.  The upper quantile says what share of a group's texts may be junk without
+moving the limit.  The limits are then joined to the rows; a text is above a limit only if it is so beyond counting noise (its count less ``NOISE`` of its roots).
 """
 
 from __future__ import annotations
@@ -20,17 +20,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, ship
+from .common import discard, materialise, ship
 
-MIN_ROWS, SPREADS, SCALE = 50, 6, 256
-#: Ratios: name, numerator, denominator, margin above (or below) the spread, in whole 256ths.
+MIN_ROWS, SPREADS, NOISE, SCALE = 200, 4, 2, 256
+#: Ratios: name, numerator, denominator, upper quantile in percent.
 RATIOS = [
-    ("symbols", "n_symbols", "n_words", 64),
-    ("capitals", "n_upper", "word_chars", 64),
-    ("repeats", "n_repeat_words", "n_words", 96),
-    ("dup_lines", "n_dup_lines", "n_lines", 96),
-    ("word_length", "word_chars", "n_words", 768),
+    ("symbols", "n_symbols", "n_words", 85),
+    ("capitals", "n_upper", "word_chars", 95),
+    ("repeats", "n_repeat_words", "n_words", 99),
+    ("dup_lines", "n_dup_lines", "n_lines", 99),
+    ("word_length", "word_chars", "n_words", 85),
 ]
+#: The ratio that has a lower limit too, and its lower quantile in percent.
+LOWER, LOWER_PERCENT = "word_length", 15
+PERCENTS = sorted({50, LOWER_PERCENT, *(r[3] for r in RATIOS)})
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Groups up to which the limits go to every executor; beyond it rows and limits are joined by a shuffle that AQE may split.
 BROADCAST_GROUPS = 100_000
@@ -76,28 +79,37 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def _quantiles(hist: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and outer tenths of merged histograms, with their row count."""
+    """Quantiles PERCENTS of merged histograms, with their row count."""
     merged = hist.groupBy(*keys, "ratio", "at").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "ratio")
     ranked = merged.select("*", F.sum("n").over(group.orderBy("at")).alias("upto"), F.sum("n").over(group).alias("rows"))
-    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("rows") * tenths, F.col("at")))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(5).alias("q5"), at(9).alias("q9"))
+    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("rows") * p, F.col("at"))).alias(f"q{p}")
+    return ranked.groupBy(*keys, "ratio").agg(F.max("rows").alias("rows"), *[at(p) for p in PERCENTS])
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """Per (lang, source): the upper limit ``max_<ratio>`` of each ratio and ``min_word_length``, in 256ths."""
+    """Per (lang, source): the upper limit ``max_<ratio>`` of each ratio and the lower one of LOWER, in 256ths."""
     hist = materialise(sketches(measured), "quality-sketch")
-    names = ["rows", "q1", "q5", "q9"]
+    names = ["rows", *(f"q{p}" for p in PERCENTS)]
     as_ = lambda df, tag: df.select(*[c for c in df.columns if c not in names], *[F.col(c).alias(f"{tag}_{c}") for c in names])
     own, lang, whole = as_(_quantiles(hist, ["__q_lang", "__q_source"]), "s"), as_(_quantiles(hist, ["__q_lang"]), "l"), as_(_quantiles(hist, []), "w")
     lang = lang.withColumnsRenamed({"__q_lang": "l_lang", "ratio": "l_ratio"})
     both = own.join(lang, F.col("__q_lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio"))).join(whole, "ratio")
     pick = lambda c: F.when(F.col("s_rows") >= MIN_ROWS, F.col(f"s_{c}")).when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
     both = both.select("__q_lang", "__q_source", "ratio", *[pick(c).alias(c) for c in names[1:]])
-    upper = lambda margin: F.col("q5") + SPREADS * (F.col("q5") - F.col("q1")) + margin
-    cols = [F.max(F.when(F.col("ratio") == name, upper(margin))).alias(f"max_{name}") for name, _, _, margin in RATIOS]
-    cols.append(F.max(F.when(F.col("ratio") == "word_length", F.col("q5") - SPREADS * (F.col("q9") - F.col("q5")) - RATIOS[-1][3])).alias("min_word_length"))
-    return materialise(both.groupBy("__q_lang", "__q_source").agg(*cols), "quality-limits")
+    beyond = lambda p: F.col(f"q{p}") + SPREADS * (F.col(f"q{p}") - F.col("q50"))
+    cols = [F.max(F.when(F.col("ratio") == name, beyond(p))).alias(f"max_{name}") for name, _, _, p in RATIOS]
+    cols.append(F.max(F.when(F.col("ratio") == LOWER, beyond(LOWER_PERCENT))).alias(f"min_{LOWER}"))
+    out = materialise(both.groupBy("__q_lang", "__q_source").agg(*cols), "quality-limits")
+    discard(hist)
+    return out
+
+
+def fine_sql(prefix: str, root: str = "sqrt") -> str:
+    """SQL that is true for texts within the limits (null where a limit or a ratio is missing); ``prefix`` stands before a count's name."""
+    tests = [f"{prefix}{a} - {NOISE} * {root}({prefix}{a}) <= max_{name} * {prefix}{b} / {SCALE}.0D" for name, a, b, _ in RATIOS]
+    name, a, b, _ = next(r for r in RATIOS if r[0] == LOWER)
+    return " and ".join(f"coalesce({t}, true)" for t in [*tests, f"{prefix}{a} + {NOISE} * {root}({prefix}{a}) >= min_{name} * {prefix}{b} / {SCALE}.0D"])
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep_cols: list[str] | None = None) -> DataFrame:
@@ -115,7 +127,5 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     if lims.count() <= BROADCAST_GROUPS:
         lims = F.broadcast(lims)
     joined = measured.join(lims, F.col("__q_lang").eqNullSafe(F.col("__q_l")) & F.col("__q_source").eqNullSafe(F.col("__q_s")), "left")
-    value = lambda a, b: f"__q.{a} * {SCALE} div nullif(__q.{b}, 0)"
-    fine = " and ".join(f"{value(a, b)} <= max_{name}" for name, a, b, _ in RATIOS) + f" and {value('word_chars', 'n_words')} >= min_word_length"
-    verdict = F.when(F.col("__q_base_failed"), F.lit(False)).otherwise(F.coalesce(F.expr(fine), F.lit(True)))
+    verdict = F.when(F.col("__q_base_failed"), F.lit(False)).otherwise(F.expr(fine_sql("__q.")))
     return joined.select(*cols, "__q", "__q_base_failed", verdict.alias("__q_kept"))
