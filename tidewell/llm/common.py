@@ -55,14 +55,14 @@ def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
-def materialise(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, tag: str, by: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder (a subfolder for each value of ``by``) and read it back, which cuts its lineage.
 
-    The shuffle files of the write go with it.
+    The shuffle files of the write go with it.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{tag}-{uuid.uuid4().hex}"
-    out = df.write.option("compression", "zstd")
+    out = df.write.options(compression="zstd", **options)
     with freeing_shuffles(spark):
         (out.partitionBy(by) if by else out).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -370,7 +370,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ship(spark)
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (crc % FOLDS == HELD_OUT).alias("held"), F.col(text_col).alias("text"))
-    blocks = materialise(rows.mapInPandas(_blocks, BLOCKS), "hmm-blocks", by="part")
+    blocks = materialise(rows.mapInPandas(_blocks, BLOCKS), "hmm-blocks", by="part", **{"parquet.enable.dictionary": "false"})
     texts, both = blocks.where("part = -1"), ["key1", "key2"]
 
     def words(k: int) -> DataFrame:
