@@ -18,16 +18,17 @@ def _secrets() -> str:
         "distinct": lambda x: f"len(list_distinct(string_split({x}, '')))",
     }
     feats = secrets.feature_sql(**duck, path="coalesce(source, '')")
-    cand = _quote(secrets.CANDIDATE)
+    cand, lead = _quote(secrets.CANDIDATE), f"regexp_extract(m, {_quote(secrets.LEAD)})"
     return f"""WITH d AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), {cand}) AS cs, regexp_split_to_array(coalesce(text, ''), {cand}) AS gaps FROM documents),
-      c AS (SELECT *, unnest(cs) AS cand, generate_subscripts(cs, 1) AS i FROM d),
-      n AS (SELECT doc_id, source, i - 1 AS ord, cand, right(gaps[i], {secrets.LEFT}) AS lhs, left(gaps[i + 1], {secrets.RIGHT}) AS rhs FROM c WHERE regexp_matches(cand, '[0-9]') AND regexp_matches(cand, '[A-Za-z]')),
+      c AS (SELECT *, unnest(cs) AS m, generate_subscripts(cs, 1) AS i FROM d),
+      b AS (SELECT *, CASE WHEN length(m) - length({lead}) >= 6 THEN {lead} ELSE '' END AS lead FROM c),
+      n AS (SELECT doc_id, source, i - 1 AS ord, substr(m, length(lead) + 1) AS cand, right(gaps[i] || lead, {secrets.LEFT}) AS lhs, left(gaps[i + 1], {secrets.RIGHT}) AS rhs FROM b WHERE lead <> '' OR regexp_matches(m, {_quote('(?s)' + secrets.LIKELY)})),
       f AS (SELECT *, {', '.join(f'CAST({v} AS INTEGER) AS {k}' if k in _FLAGS else f'{v} AS {k}' for k, v in feats.items())} FROM n),
       v AS (SELECT *, {secrets.forest_sql(secrets.forest())} AS vote FROM f)
       SELECT doc_id, source, ord, substr(cand, 1, 4) || '...' AS preview, sha256(cand) AS cand_sha256, {', '.join(secrets.FEATURES)}, vote, vote >= {secrets.THRESHOLD} AS is_secret FROM v"""
 
 
-_FLAGS = ("f_hex", "f_cred", "f_benign", "f_assign", "f_quoted", "f_path")
+_FLAGS = ("f_hex", "f_cred", "f_benign", "f_assign", "f_quoted", "f_path", "f_block", "f_prefix")
 
 
 def _quality() -> str:

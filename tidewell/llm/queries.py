@@ -12,7 +12,7 @@ from .common import table
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(table(spark, sf_dir, "documents"), keep_cols=["doc_id", "source"])
     preview = F.concat(F.substring("__s_cand", 1, 4), F.lit("..."))
-    return rows.select("doc_id", "source", F.col("__s_ord").alias("ord"), preview.alias("preview"), F.sha2("__s_cand", 256).alias("cand_sha256"), *secrets.FEATURES, F.col("__s_vote").alias("vote"), F.col("__s_secret").alias("is_secret"))
+    return rows.select("doc_id", "source", F.col("__s_ord").alias("ord"), preview.alias("preview"), F.sha2("__s_cand", 256).alias("cand_sha256"), *[F.col(f"__s_{f}").alias(f) for f in secrets.FEATURES], F.col("__s_vote").alias("vote"), F.col("__s_secret").alias("is_secret"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
