@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import packing, secrets
+from tidewell.llm import bpe, packing, secrets
 
 from . import fixtures
 
@@ -86,51 +86,101 @@ def test_plan_has_no_python(spark):
         assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
-def test_packing_holds_all_texts(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
-    rows = fixtures.rows()
-    got = packing.pack_documents(fixtures.docs(spark)).collect()
-    words = sorted((r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) + 1) for r in rows if r[0] is not None)
+def check_sequences(got, capacities):
+    """Members follow each other without gaps and each sequence has the least capacity that holds it."""
     per = {}
     for r in got:
-        per.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+        at = 0
+        for m in r["members"]:
+            assert m["offset"] == at
+            at += m["length"]
+            per.setdefault(m["doc_id"], []).append((m["piece"], m["start"], m["length"]))
+        assert r["used"] == at and r["capacity"] == min(c for c in capacities if c >= at)
+    return per
+
+
+@pytest.mark.parametrize("vocabulary", [None, bpe.VOCABULARY])
+def test_packing_holds_all_texts(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 20)
+    rows = fixtures.rows()
+    got = packing.pack_documents(fixtures.docs(spark).withColumn("rid", F.lit(1)), vocabulary=vocabulary).collect()
+    per = check_sequences(got, packing.CAPACITIES)
+    coder = bpe.load()
+    size = lambda t: len(coder.encode(t or "")) + 1 if vocabulary else len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) + 1
     total = {}
-    for i, n in words:
-        total[i] = total.get(i, 0) + n
-    assert {i: sum(p[2] for p in ps) for i, ps in per.items() if i is not None} == total
-    assert max(len(ps) for ps in per.values()) > 1
-    bins = {}
+    for r in rows:
+        total[r[0]] = total.get(r[0], 0) + size(r[1])
+    assert {i: sum(p[2] for p in ps) for i, ps in per.items()} == total
+    assert max(len(ps) for i, ps in per.items() if i == 106) > 1
+    parts = {}
     for r in got:
-        bins.setdefault(r["bin_id"], []).append(r)
-    for members in bins.values():
-        members.sort(key=lambda r: r["bin_offset"])
-        at = 0
-        for r in members:
-            assert r["bin_offset"] == at
-            at += r["length"]
-        smallest = min(c for c in packing.CAPACITIES if c >= at)
-        assert {r["capacity"] for r in members} == {smallest}
-    assert packing.pack_documents(fixtures.empty(spark)).count() == 0
-
-
-def plain_pack(lengths, capacities):
-    bins, at, rest = [], {}, sum(lengths)
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
-        open_ = [(b[0] - b[1], k) for k, b in enumerate(bins) if b[0] - b[1] >= n]
-        if open_:
-            k = min(open_)[1]
-        else:
-            k = len(bins)
-            bins.append([min((c for c in capacities if c >= n), key=lambda c: (packing.cost(c) / min(c, rest), c)), 0])
-        at[i] = (k, bins[k][1])
-        bins[k][1] += n
-        rest -= n
-    return [(*at[i], min(c for c in capacities if c >= bins[at[i][0]][1])) for i in range(len(lengths))]
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_best_fit_against_brute_force(seed):
-    r = random.Random(seed)
-    lengths = [r.choice([1, r.randint(1, 100), r.randint(1, 4096), 4096]) for _ in range(200)]
-    assert packing.pack(lengths) == plain_pack(lengths, packing.CAPACITIES)
+        for k, m in enumerate(r["members"]):
+            part = r["ids"][m["offset"] : m["offset"] + m["length"]] if vocabulary else r["texts"][k]
+            parts.setdefault(m["doc_id"], []).append((m["piece"], part))
+    for i, text, *_ in rows:
+        if [r[0] for r in rows].count(i) == 1:
+            made = [p for _, p in sorted(parts[i])]
+            if vocabulary:
+                assert sum(made, []) == [*coder.encode(text or ""), coder.end]
+            else:
+                assert "".join(made) == (text or "")
+    assert packing.pack_documents(fixtures.empty(spark), vocabulary=vocabulary).count() == 0
+
+
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 500)
+    same = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    got = packing.pack_documents(same).select((F.col("bin_id") / (1 << 24)).cast("int").alias("shard"), "used").groupBy("shard").sum("used").collect()
+    assert len(got) == 40 and sum(r[1] for r in got) == 20_000 and max(r[1] for r in got) < 700
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 5, 8, 9])
+def test_word_pieces(n):
+    text = "  " + " \n".join(f"w{k}" for k in range(n)) + " "
+    got = packing.word_pieces(text, 4)
+    assert "".join(p for _, p in got) == text and sum(k for k, _ in got) == n + 1
+    assert all(k == 4 for k, _ in got[:-1]) and [len(p.split()) for _, p in got[:-1]] == [4] * (len(got) - 1)
+
+
+def splits(items):
+    if not items:
+        yield []
+        return
+    for rest in splits(items[1:]):
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+        yield [[items[0]], *rest]
+
+
+def total_cost(got, lengths):
+    used = {}
+    for (b, _, c), n in zip(got, lengths):
+        used.setdefault(b, [0, c])[0] += n
+    assert all(u <= c for u, c in used.values())
+    return sum(packing.cost(c) for _, c in used.values())
+
+
+def test_total_cost_against_the_optimum():
+    """Small shards against the cheapest of all ways to part the pieces into sequences."""
+    r = random.Random(0)
+    over, exact = [], 0
+    for _ in range(60):
+        lengths = [r.choice([r.randint(1, 300), r.randint(1, 1200), r.randint(1, 4096)]) for _ in range(r.randint(1, 7))]
+        best = min(sum(packing.cost(packing.least_fit(sum(b), packing.CAPACITIES)) for b in p) for p in splits(lengths) if max(map(sum, p)) <= 4096)
+        mine = total_cost(packing.pack(lengths), lengths)
+        over.append(mine / best - 1)
+        exact += mine <= best + 1e-9
+    assert sum(over) / len(over) < 0.03 and max(over) < 0.35 and exact >= 40
+
+
+def test_capacities_are_chosen_together():
+    """The plan costs no more than any that opens one size throughout, and less than each of them on a mixture."""
+    r = random.Random(3)
+    lengths = [r.choice([r.randint(1, 40), r.randint(200, 700), r.randint(1500, 4096)]) for _ in range(400)]
+    mine = total_cost(packing.pack(lengths), lengths)
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    ones = []
+    for size in packing.CAPACITIES:
+        _, used = packing._plan(sorted(lengths), order, packing.CAPACITIES, size)
+        ones.append(sum(packing.cost(packing.least_fit(u, packing.CAPACITIES)) for u in used))
+    assert mine <= min(ones)

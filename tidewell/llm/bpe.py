@@ -56,6 +56,9 @@ class Bpe:
             self.shorter[i] = next((ranks[t[:k]] for k in range(len(t) - 1, 0, -1) if ranks.get(t[:k]) in self.parts), None)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.memory = _Memory(self)
+        self.lists = _Lists(self)
+        #: The id after the last rank, free for an end mark.
+        self.end = max(self.bytes, default=-1) + 1
 
     def _merge(self, token: bytes, below: int) -> list[bytes]:
         """Plain merging with ranks under ``below``."""
@@ -133,7 +136,7 @@ class Bpe:
             yield list(map(self.memory.__getitem__, some))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pattern.findall(text) for i in self.piece(p)]
+        return [i for p in self.pattern.findall(text) for i in self.lists[p]]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -167,6 +170,22 @@ class _Memory(dict):
         return made
 
 
+class _Lists(dict):
+    """Ids of pieces seen before."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, text: str) -> list[int]:
+        made = self.bpe.piece(text)
+        if len(text) <= CACHED_CHARS:
+            if len(self) >= CACHED_PIECES:
+                self.clear()
+            self[text] = made
+        return made
+
+
 @lru_cache(maxsize=2)
 def load(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> Bpe:
     with open(path, "rb") as lines:
@@ -192,9 +211,15 @@ def _series_udf(run, kind):
     return F.pandas_udf(run, kind)
 
 
+def _new(df: DataFrame, name: str) -> None:
+    if name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name} already; give another name")
+
+
 def encode(docs: DataFrame, text_col: str = "text", to: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """``docs`` with the array of token ids of each whole text as column ``to``; null and empty texts have no ids."""
+    """``docs`` with the array of token ids of each whole text as column ``to``, which must be a new one; null and empty texts have no ids."""
     ship(docs.sparkSession)
+    _new(docs, to)
 
     def run(s):
         bpe = load(path)
@@ -205,8 +230,9 @@ def encode(docs: DataFrame, text_col: str = "text", to: str = "ids", path: str =
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", to: str = "decoded", path: str = VOCABULARY) -> DataFrame:
-    """``rows`` with the bytes of each array of ids as column ``to``; null arrays decode to no bytes."""
+    """``rows`` with the bytes of each array of ids as column ``to``, which must be a new one; null arrays decode to no bytes."""
     ship(rows.sparkSession)
+    _new(rows, to)
 
     def run(s):
         bpe = load(path)
