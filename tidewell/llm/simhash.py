@@ -38,7 +38,7 @@ from .common import connected_components, discard, forest, materialise, ship
 
 SEED, LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 42, 1024, 32, 262_144, 524_288, 32768
 #: Rows and columns compared at once inside a leaf.
-BLOCK_ROWS, BLOCK_COLS = 512, 4096
+BLOCK_ROWS, BLOCK_COLS = 256, 1024
 
 
 class Kind(NamedTuple):
