@@ -19,11 +19,15 @@ ENV_FILE_VARIABLE = "TIDEWELL_ENV_FILE"
 # Token shapes, and the credential names of assignments and of record fields.
 TOKEN_SHAPES = r"\b(?:sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{16,}|github_pat_[A-Za-z0-9_]{20,}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})"
 NAMES = r"[A-Za-z0-9_-]*(?:passwords?|passwd|passphrases?|secrets?|tokens?|api[_-]?keys?|private[_-]?keys?|access[_-]?keys?|credentials?|authorization|auth|db_pass|sshpass|pgpassword|pwd)"
+#: Names whose numeric values are masked too; "tokens" are counted often, so they are not among them.
+SECRET_NAMES = r"[A-Za-z0-9_-]*(?:passwords?|passwd|passphrases?|secrets?|api[_-]?keys?|private[_-]?keys?|access[_-]?keys?|pwd)"
 REFERENCE = r"\s*(?:\$[A-Za-z_][A-Za-z0-9_]*|\$\{[^}]*\}|<[^>]*>|None|none|null)?\s*"
 
 #: Applied one after the other; (pattern, replacement).  Without look-around, so that other engines can run them too.
 FLAT = [
     (TOKEN_SHAPES, MARK),
+    (rf"(?i)([\"']{SECRET_NAMES}[\"']\s*:\s*)-?[0-9][0-9.]*", rf'$1"{MARK}"'),
+    (r"(?i)\b([A-Za-z0-9_-]*passphrases?\s*[=:]\s*)[^\s\"'$<\[{\\][^\"'\n]*", rf"$1{MARK}"),
     (rf"(?i)([\"']{NAMES}[\"']\s*:\s*\")[^\"\n]+(\")", rf"$1{MARK}$2"),
     (rf"(?i)([\"']{NAMES}[\"']\s*:\s*')[^'\n]+(')", rf"$1{MARK}$2"),
     (rf"(?i)\b({NAMES}\s*[=:]\s*\")[^\"\n]+(\")", rf"$1{MARK}$2"),

@@ -1,82 +1,190 @@
-"""Two BM25 rankings over a batch of queries: the full-text index's and the in-memory one's."""
+"""Two BM25 rankings over a batch of queries: the full-text index's and the in-memory one's.
+
+The queries are the small side.  A block of them travels with the task as a matrix of weights by phrase and query; each
+batch of chunks is counted into a matrix by chunk and phrase, and their product has all scores.  So no row is made for a
+(query, chunk) pair but the best ones: a batch keeps the best ``k`` per query and all that may tie with the last of them, and the cut over
+all batches follows.  Document frequencies come from a first pass of the same counting.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_terms, okapi_tokens, query_words
-from .index import postings, statistics, term_frequencies
-from .topk import best, small
+from .topk import best
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OKAPI_K1, OKAPI_B = 1.5, 0.75
+#: Queries whose weights travel together; chunks counted into one matrix.
+BLOCK_QUERIES, ROWS = 512, 512
+
+
+class Formula(NamedTuple):
+    """A ranking: its tokens, its constants, and a term's weight by the number of chunks and of those that hold it."""
+
+    tokenise: Callable[[Column], Column]
+    k1: float
+    b: float
+    idf: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _ratio(n_docs, df):
+    return (n_docs - df + 0.5) / (df + 0.5)
+
+
+FTS = Formula(fts_terms, K1, B, lambda n, df: np.where(np.log(_ratio(n, df)) <= 0, LEAST_IDF, np.log(_ratio(n, df))))
+OKAPI = Formula(okapi_tokens, OKAPI_K1, OKAPI_B, lambda n, df: np.log(_ratio(n, df) + 1))
+
+
+class Phrases:
+    """The phrases of a block of queries, and how to count them in lists of terms."""
+
+    def __init__(self, rows: list):
+        """``rows`` are (qid, terms, times)."""
+        self.qids = sorted({r[0] for r in rows})
+        place = {q: k for k, q in enumerate(self.qids)}
+        number: dict[tuple, int] = {}
+        self.uses = np.array([(number.setdefault(tuple(terms), len(number)), place[q], times) for q, terms, times in rows], np.int64).reshape(-1, 3)
+        self.n = len(number)
+        self.terms: dict[str, int] = {}
+        self.alone = []
+        self.several: list[tuple[int, list[int]]] = []
+        for phrase, k in number.items():
+            ids = [self.terms.setdefault(t, len(self.terms)) for t in phrase]
+            if len(ids) == 1:
+                self.alone.append((ids[0], k))
+            else:
+                self.several.append((k, ids))
+        self.phrase_of = np.full(len(self.terms) + 1, -1, np.int64)
+        for t, k in self.alone:
+            self.phrase_of[t] = k
+
+    def weights(self, idf: np.ndarray) -> np.ndarray:
+        """By phrase and query."""
+        out = np.zeros((self.n, len(self.qids)))
+        phrase, query, times = self.uses.T
+        np.add.at(out, (phrase, query), times * idf[phrase])
+        return out
+
+    def count(self, lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list, phrase, occurrences), one row for each phrase in a list of terms."""
+        get = self.terms.get
+        flat = np.array([get(t, -1) for x in lists for t in x], np.int64)
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        found = self.phrase_of[flat]
+        keys = [(row * self.n + found)[found >= 0]]
+        if self.several:
+            order = np.argsort(flat, kind="stable")
+            ordered = flat[order]
+            for k, ids in self.several:
+                at = order[slice(*np.searchsorted(ordered, [ids[0], ids[0] + 1]))]
+                at = at[at + len(ids) <= len(flat)]
+                for j, t in enumerate(ids[1:], 1):
+                    at = at[flat[at + j] == t]
+                at = at[row[at] == row[at + len(ids) - 1]]
+                keys.append(row[at] * self.n + k)
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        return key // self.n, key % self.n, times
+
+
+def _frequencies(phrases: Phrases):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, docs, tokens = np.zeros(phrases.n, np.int64), 0, 0
+        for pdf in batches:
+            lists = pdf["terms"].tolist()
+            df += np.bincount(phrases.count(lists)[1], minlength=phrases.n)
+            docs, tokens = docs + len(lists), tokens + sum(map(len, lists))
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"phrase": np.append(at, [-1, -2]), "n": np.append(df[at], [docs, tokens])})
+
+    return run
+
+
+def _scan(phrases: Phrases, weights: np.ndarray, formula: Formula, avgdl: float, k: int | None):
+    qids, k1, b = np.array(phrases.qids, np.int64), formula.k1, formula.b
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), ROWS):
+                lists, rowid = pdf["terms"].iloc[at : at + ROWS].tolist(), pdf["rowid"].iloc[at : at + ROWS].to_numpy()
+                row, phrase, f = phrases.count(lists)
+                used, col = np.unique(phrase, return_inverse=True)
+                length = np.array([len(x) for x in lists])[row]
+                held = np.zeros((len(lists), len(used)))
+                held[row, col] = f * (k1 + 1) / (f + k1 * (1 - b + b * length / avgdl))
+                scores = held @ weights[used]
+                if k is not None and len(lists) > k:
+                    # Ties are settled on 6 places, over all batches.
+                    least = np.partition(scores, len(lists) - k, axis=0)[len(lists) - k]
+                    r, c = np.nonzero((scores > 0) & (scores >= least[None] - 2e-6))
+                else:
+                    r, c = np.nonzero(scores > 0)
+                yield pd.DataFrame({"qid": qids[c], "rowid": rowid[r], "score": scores[r, c]})
+
+    return run
+
+
+def tokenised(chunks: DataFrame, formula: Formula) -> DataFrame:
+    """(rowid, terms): the stored terms of an index, or those of the content."""
+    if formula is FTS and "terms" in chunks.columns:
+        return chunks.select("rowid", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+    return chunks.select("rowid", formula.tokenise(F.coalesce("content", F.lit(""))).alias("terms"))
+
+
+def _scores(phrases: DataFrame, chunks: DataFrame, formula: Formula, k: int | None, allowed: Column | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """(qid, rowid, score) above zero of ``phrases(qid, terms, times)``, the best ``k`` and possible ties of each batch, or all.
+
+    Statistics are those of ``whole`` (by default ``chunks``), also where ``allowed`` restricts the chunks.
+    """
+    spark = chunks.sparkSession
+    blocks = -(-phrases.select("qid").distinct().count() // BLOCK_QUERIES)
+    found = []
+    for n in range(blocks):
+        mine = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
+        rows = [(r["qid"], r["terms"], r["times"]) for r in mine.orderBy("qid", F.array_join("terms", " ")).collect()]
+        if not rows:
+            continue
+        block = Phrases(rows)
+        sums = tokenised(chunks if whole is None else whole, formula).mapInPandas(_frequencies(block), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect()
+        counts = {r["phrase"]: r["n"] for r in sums}
+        n_docs, avgdl = counts.get(-1, 0), counts.get(-2, 0) / max(counts.get(-1, 0), 1) or 1.0
+        df = np.array([counts.get(p, 0) for p in range(block.n)], np.float64)
+        weights = block.weights(np.where(df > 0, formula.idf(n_docs, df), 0.0))
+        rows_of = chunks if allowed is None else chunks.where(allowed)
+        found.append(tokenised(rows_of, formula).mapInPandas(_scan(block, weights, formula, avgdl, k), "qid long, rowid long, score double"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "qid long, rowid long, score double")
 
 
 def query_phrases(queries: DataFrame, words=query_words) -> DataFrame:
-    """(qid, phrase, terms, times): a word of the query is a phrase of its terms (``a_b`` has two); repeats count."""
-    each = queries.select("qid", F.explode(words(F.col("text"))).alias("word")).withColumn("terms", fts_terms(F.col("word")))
-    return each.where(F.size("terms") > 0).groupBy("qid", F.array_join("terms", " ").alias("phrase")).agg(F.first("terms").alias("terms"), F.count(F.lit(1)).alias("times"))
-
-
-def phrase_frequencies(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(phrase, rowid, f): how often a phrase of two terms or more occurs, by lining up the positions of its terms."""
-    wanted = phrases.where(F.size("terms") > 1).select("phrase", "terms").distinct()
-    parts = wanted.select("phrase", F.size("terms").alias("n"), F.posexplode("terms").alias("offset", "term"))
-    hits = postings(chunks).join(small(parts), "term")
-    starts = hits.groupBy("phrase", "rowid", (F.col("pos") - F.col("offset")).alias("at")).agg(F.countDistinct("offset").alias("got"), F.first("n").alias("n"))
-    return starts.where("got = n").groupBy("phrase", "rowid").agg(F.count(F.lit(1)).alias("f"))
+    """(qid, terms, times): a word of the query is a phrase of its terms (``a_b`` has two); repeats count."""
+    each = queries.select("qid", F.explode(words(F.col("text"))).alias("word")).select("qid", fts_terms(F.col("word")).alias("terms"))
+    return each.where(F.size("terms") > 0).groupBy("qid", "terms").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _scalar(stats: DataFrame) -> tuple[int, float]:
-    row = stats.first()
-    return row["n_docs"], row["avgdl"] or 0.0
-
-
-def fts_scores(queries: DataFrame, chunks: DataFrame, words=query_words, allowed: Column | None = None) -> DataFrame:
-    """(qid, rowid, score) of every chunk that holds a phrase; lower is better.
-
-    Statistics are those of the whole index, also where ``allowed`` restricts the chunks.
-    """
-    n_docs, avgdl = _scalar(statistics(chunks))
-    tf = term_frequencies(chunks)
-    phrases = query_phrases(queries, words)
-    multiple = not phrases.where(F.size("terms") > 1).isEmpty()
-    lengths = tf.select("rowid", "term", F.col("tf").alias("f"), "dl").withColumnRenamed("term", "phrase")
-    if multiple:
-        dl = chunks.select("rowid", F.size(fts_terms(F.col("content"))).alias("dl"))
-        lengths = lengths.unionByName(phrase_frequencies(phrases, chunks).join(dl, "rowid").select("rowid", "phrase", "f", "dl"))
-    wanted = small(phrases.select("phrase").distinct())
-    hits = lengths.join(wanted, "phrase", "left_semi")
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = phrases.join(df, "phrase").select("qid", "phrase", "times", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf"))
-    if allowed is not None:
-        hits = hits.join(chunks.where(allowed).select("rowid"), "rowid", "left_semi")
-    norm = F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl))
-    term = F.col("times") * F.col("idf") * (F.col("f") * (K1 + 1) / norm)
-    return hits.join(small(weights), "phrase").groupBy("qid", "rowid").agg((-F.sum(term)).alias("score"))
+def fts_scores(queries: DataFrame, chunks: DataFrame, words=query_words, allowed: Column | None = None, k: int | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """(qid, rowid, score) of every chunk that holds a phrase (with ``k``, of those that may be among the best); lower is better."""
+    return _scores(query_phrases(queries, words), chunks, FTS, k, allowed, whole).withColumn("score", -F.col("score"))
 
 
 def search_fts(queries: DataFrame, chunks: DataFrame, k: int = 5, words=query_words, allowed: Column | None = None) -> DataFrame:
     """(qid, rank, rowid, score): the best ``k`` per query; scores equal to 6 places go by rowid."""
-    found = fts_scores(queries, chunks, words, allowed).withColumn("score", F.round("score", 6))
+    found = fts_scores(queries, chunks, words, allowed, k).withColumn("score", F.round("score", 6))
     return best(found, k, F.col("score"), F.col("rowid")).select("qid", "rank", "rowid", "score")
 
 
-def okapi_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def okapi_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
     """(qid, rowid, score) above zero, higher is better; accents count, repeated query terms count again."""
-    n_docs, avgdl = _scalar(statistics(chunks, okapi_tokens))
-    tf = term_frequencies(chunks, okapi_tokens)
-    terms = queries.select("qid", F.explode(okapi_tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    hits = tf.join(small(terms.select("term").distinct()), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    weights = terms.join(df, "term").select("qid", "term", "times", F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1).alias("idf"))
-    norm = F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.lit(avgdl or 1.0))
-    term = F.col("times") * F.col("idf") * (F.col("tf") * (OKAPI_K1 + 1) / norm)
-    return hits.join(small(weights), "term").groupBy("qid", "rowid").agg(F.sum(term).alias("score")).where("score > 0")
+    terms = queries.select("qid", F.explode(okapi_tokens(F.col("text"))).alias("term")).groupBy("qid", F.array("term").alias("terms")).agg(F.count(F.lit(1)).alias("times"))
+    return _scores(terms, chunks, OKAPI, k)
 
 
 def search_okapi(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    found = okapi_scores(queries, chunks).withColumn("score", F.round("score", 6))
+    found = okapi_scores(queries, chunks, k).withColumn("score", F.round("score", 6))
     return best(found, k, F.desc("score"), F.col("rowid")).select("qid", "rank", "rowid", "score")

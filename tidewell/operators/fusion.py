@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import header_date, requested_date
-from .bm25 import okapi_scores, search_fts
+from .bm25 import fts_scores, okapi_scores, search_fts
 from .topk import best
 from .vector import search_cosine, search_l2
 
@@ -82,9 +82,8 @@ def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5,
 
 def _restricted(queries: DataFrame, chunks: DataFrame, hits: DataFrame, pool: int, rrf_k: int, vectors: bool) -> DataFrame:
     """The fusion of both searches over each query's own set of chunks; statistics stay those of the whole index."""
-    from .bm25 import fts_scores
-
-    fts = fts_scores(queries, chunks).join(hits, ["qid", "rowid"], "left_semi").withColumn("score", F.round("score", 6))
+    own_chunks = chunks.join(hits.select("rowid").distinct(), "rowid", "left_semi")
+    fts = fts_scores(queries, own_chunks, whole=chunks).join(hits, ["qid", "rowid"], "left_semi").withColumn("score", F.round("score", 6))
     fts = best(fts, pool, F.col("score"), F.col("rowid"))
     vec = None
     if vectors:
@@ -97,7 +96,7 @@ def _restricted(queries: DataFrame, chunks: DataFrame, hits: DataFrame, pool: in
 
 def search_weighted(queries: DataFrame, chunks: DataFrame, top_k: int = 10, min_score: float = 0.0, bm25_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
     """In-memory hybrid: the best 2k of each side, each divided by its maximum, added with weights; scores returned are the normalised ones."""
-    words = best(okapi_scores(queries, chunks).withColumn("s", F.round("score", 6)), 2 * top_k, F.desc("s"), F.col("rowid")).select("qid", "rowid", F.col("s").alias("bm25"))
+    words = best(okapi_scores(queries, chunks, 2 * top_k).withColumn("s", F.round("score", 6)), 2 * top_k, F.desc("s"), F.col("rowid")).select("qid", "rowid", F.col("s").alias("bm25"))
     near = search_cosine(queries.where("embedding is not null"), chunks, 2 * top_k).where("similarity > 0").select("qid", "rowid", F.col("similarity").alias("vec"))
     both = words.join(near, ["qid", "rowid"], "full_outer")
     per_query = Window.partitionBy("qid")

@@ -1,8 +1,12 @@
-"""The full-text index as relations: postings, term frequencies, statistics."""
+"""The full-text index as relations: terms, postings, term frequencies, statistics; and as stored tables.
+
+``write_index`` keeps two tables under a path: ``terms``, each chunk's terms, so that searches tokenise nothing; and ``postings``, sorted by term,
+so that Parquet's statistics lead a look-up of a few terms to the row groups that hold them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_terms, okapi_tokens
@@ -33,4 +37,25 @@ def index_summary(chunks: DataFrame) -> DataFrame:
     return statistics(chunks).withColumn("one", F.lit(1)).join(per_term.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-__all__ = ["fts_terms", "index_summary", "okapi_tokens", "postings", "statistics", "term_frequencies"]
+def write_index(chunks: DataFrame, path: str, files: int | None = None) -> None:
+    """Store the index of ``chunks(rowid, content)`` under ``path``; ``files`` is the number of postings files (default: the session's shuffle partitions)."""
+    terms = chunks.select("rowid", fts_terms(F.coalesce("content", F.lit(""))).alias("terms"))
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    each = chunks.sparkSession.read.parquet(f"{path}/terms").select("rowid", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    held = each.groupBy("term", "rowid").agg(F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    ranged = held.repartitionByRange("term", "rowid") if files is None else held.repartitionByRange(files, "term", "rowid")
+    ranged.sortWithinPartitions("term", "rowid").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def open_index(chunks: DataFrame, path: str) -> DataFrame:
+    """``chunks`` with the stored ``terms``, which searches then use; chunks that the index lacks have none."""
+    stored = chunks.sparkSession.read.parquet(f"{path}/terms")
+    return chunks.drop("terms").join(stored, "rowid", "left")
+
+
+def lookup(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(term, rowid, dl, positions) of some terms; the filter reaches the scan."""
+    return spark.read.parquet(f"{path}/postings").where(F.col("term").isin(sorted(set(terms))))
+
+
+__all__ = ["fts_terms", "index_summary", "lookup", "okapi_tokens", "open_index", "postings", "statistics", "term_frequencies", "write_index"]

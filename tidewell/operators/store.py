@@ -10,6 +10,10 @@ from ..functions.vectors import Embedder, embed_udf, finite
 from ..schema import REQUIRED
 
 
+#: Rows numbered in one task; rowids whose hashes are hashed together.
+SLAB_ROWS, LEDGER_BLOCK = 1_000_000, 4096
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -30,6 +34,22 @@ def keep_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
+def consecutive(rows: DataFrame, order: str, after: int, slab: int = SLAB_ROWS) -> DataFrame:
+    """``rows`` with ``rowid`` from ``after`` + 1 on, in the order of the distinct numbers ``order``.
+
+    Rows are numbered within slabs of about ``slab``, whose bounds are quantiles and whose offsets are the exact counts of the slabs before.
+    """
+    n = rows.count()
+    bounds = sorted(set(rows.approxQuantile(order, [k * slab / n for k in range(1, -(-n // slab))], 0.001))) if n > slab else []
+    cut = rows.withColumn("__slab", sum((F.col(order) > b).cast("int") for b in bounds) if len(bounds) < 64 else F.expr(f"size(filter(array({','.join(map(repr, bounds))}), b -> {order} > b))")) if bounds else rows.withColumn("__slab", F.lit(0))
+    offsets, total = {}, after
+    for r in cut.groupBy("__slab").count().orderBy("__slab").collect() if bounds else []:
+        offsets[r["__slab"]], total = total, total + r["count"]
+    start = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv])[F.col("__slab")] if offsets else F.lit(after)
+    place = F.row_number().over(Window.partitionBy("__slab").orderBy(order))
+    return cut.withColumn("rowid", (start + place).cast("long")).drop("__slab")
+
+
 def upsert(store: DataFrame, batch: DataFrame, dim: int | None = None, redact: bool = True) -> DataFrame:
     """``store`` after ``batch`` (with ``batch_seq``): the last row of an id wins, keeps the stored rowid and created_at; without a vector the old one goes."""
     rows = keep_last(checked(batch, dim), "id", "batch_seq")
@@ -39,8 +59,7 @@ def upsert(store: DataFrame, batch: DataFrame, dim: int | None = None, redact: b
     new = rows.drop("rowid").join(old, "id", "left")
     # New rowids go on from the largest one in order of arrival; only rows that are new to the store are numbered.
     top = store.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]
-    added = new.where("__rowid is null")
-    numbered = added.withColumn("rowid", F.lit(top) + F.row_number().over(Window.orderBy("batch_seq")))
+    numbered = consecutive(new.where("__rowid is null"), "batch_seq", top)
     kept = new.where("__rowid is not null").withColumn("rowid", F.col("__rowid"))
     merged = kept.unionByName(numbered.select(*kept.columns)).withColumn("created_at", F.coalesce("__created", "created_at"))
     return store.join(rows.select("id"), "id", "left_anti").unionByName(merged.select(*store.columns))
@@ -87,9 +106,12 @@ def ledger_upsert(ledger: DataFrame, source: str, type_: str, hash_: str, chunk_
 
 
 def source_ledger(store: DataFrame, now: float) -> DataFrame:
-    """One ledger row per source: the hash of its chunks' hashes in order of rowid."""
-    parts = store.groupBy("source").agg(F.count(F.lit(1)).alias("chunk_count"), F.min("type").alias("type"), F.array_sort(F.collect_list(F.struct("rowid", "content_hash"))).alias("h"))
-    return parts.select("source", "type", F.lit(float(now)).alias("last_indexed"), F.sha2(F.array_join(F.col("h.content_hash"), ""), 256).alias("content_hash"), "chunk_count")
+    """One ledger row per source: the hash over hashes of blocks of ``LEDGER_BLOCK`` rowids, each over its chunks' hashes in order of rowid."""
+    joined = lambda key: F.sha2(F.array_join(F.array_sort(F.collect_list(F.struct(key, "h")))["h"], ""), 256)
+    rows = store.select("source", "type", "rowid", F.col("content_hash").alias("h"), F.expr(f"rowid div {LEDGER_BLOCK}").alias("block"))
+    blocks = rows.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("type").alias("type"), joined("rowid").alias("h"))
+    parts = blocks.groupBy("source").agg(F.sum("n").alias("chunk_count"), F.min("type").alias("type"), joined("block").alias("content_hash"))
+    return parts.select("source", "type", F.lit(float(now)).alias("last_indexed"), "content_hash", "chunk_count")
 
 
 def is_indexed(ledger: DataFrame, asked: DataFrame) -> DataFrame:

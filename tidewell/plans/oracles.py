@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.masking import FLAT
 from ..functions.text import STOP_WORDS
 from ..operators import tasks as grammar
+from ..operators.store import LEDGER_BLOCK
 from . import views as v
 
 NOW = f"{v.NOW:.1f}::DOUBLE"
@@ -18,7 +19,7 @@ def _q(s: str) -> str:
 
 CHUNKS = f"""chunks AS (SELECT doc_id AS rowid, 'd' || doc_id AS id, source, lang AS type, text AS content,
   CASE WHEN doc_id % 7 = 0 THEN NULL ELSE {NOW} - (doc_id % 400) * 86400.0 END AS mtime FROM documents)"""
-QUERIES = "queries AS (SELECT item_id AS qid, substr(text, 1, 60) AS text, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM benchmark)"
+QUERIES = "queries AS (SELECT item_id AS qid, text, CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM benchmark)"
 
 
 def _index(chunks: str = "chunks", queries: str = "queries", words: str | None = None, pre: str = "") -> str:
@@ -46,7 +47,7 @@ OKAPI = """otoks AS (SELECT rowid, regexp_extract_all(lower(content), '[a-zàâ
   okapi AS (SELECT qid, otf.rowid, round(sum(times * idf * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * len(t) / avgdl))), 6) AS score
     FROM oqt JOIN odf USING (term) JOIN otf USING (term) JOIN otoks ON otoks.rowid = otf.rowid, ostat GROUP BY qid, otf.rowid HAVING sum(times * idf) > 0)"""
 VECTORS = "vectors AS (SELECT vec_id AS rowid, 'v' || label || '_' || vec_id AS id, 's' || (vec_id % 5) AS source, CAST(label AS VARCHAR) AS type, embedding::DOUBLE[] AS e FROM embeddings)"
-VQ = "vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 25 = 0)"
+VQ = "vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0)"
 L2 = "round(sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))), 6)"
 COS = "round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 6)"
 
@@ -105,9 +106,10 @@ RANKS = f"""{CHUNKS}, {QUERIES}, {_index()}, {FTS10}, {GOLD},
   ranks AS (SELECT q.qid, kind, first_rank FROM queries q LEFT JOIN (SELECT qid, min(rank) AS first_rank FROM top JOIN gold USING (qid, rowid) GROUP BY qid) USING (qid) WHERE q.qid IN (SELECT qid FROM gold))"""
 
 STORE = """store AS (SELECT c.rowid, c.id, c.source, c.type, c.content, c.mtime, sha256(c.content) AS content_hash, 1.0::DOUBLE AS created_at, e.embedding
-  FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.rowid WHERE c.rowid < 500)"""
-BATCH = """batch AS (SELECT id, source, type, content, rowid AS batch_seq FROM chunks WHERE rowid >= 150 AND rowid < 600
-  UNION ALL SELECT id, source, type, content || ' v2', rowid + 1000 FROM chunks WHERE rowid >= 150 AND rowid < 600 AND rowid % 2 = 0)"""
+  FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.rowid)"""
+BATCH = """batch AS (SELECT id, source, type, content, rowid * 3 AS batch_seq FROM chunks
+  UNION ALL SELECT id, source, type, content || ' v2', rowid * 3 + 1 FROM chunks WHERE rowid % 2 = 0
+  UNION ALL SELECT id || '+', source, type, content, rowid * 3 + 2 FROM chunks WHERE rowid % 7 = 0)"""
 
 
 def _upsert(store: str, batch: str) -> str:
@@ -118,9 +120,10 @@ def _upsert(store: str, batch: str) -> str:
   UNION ALL SELECT rowid, id, source, type, length(content), content_hash, created_at, embedding IS NOT NULL FROM {store} WHERE id NOT IN (SELECT id FROM last)"""
 
 
-LEDGER = f"ledger AS (SELECT source, min(type) AS type, {NOW} AS last_indexed, sha256(string_agg(content_hash, '' ORDER BY rowid)) AS content_hash, count(*) AS chunk_count FROM store GROUP BY source)"
+LEDGER = f"""blocks AS (SELECT source, rowid // {LEDGER_BLOCK} AS block, min(type) AS type, count(*) AS n, sha256(string_agg(content_hash, '' ORDER BY rowid)) AS h FROM store GROUP BY ALL),
+  ledger AS (SELECT source, min(type) AS type, {NOW} AS last_indexed, sha256(string_agg(h, '' ORDER BY block)) AS content_hash, CAST(sum(n) AS BIGINT) AS chunk_count FROM blocks GROUP BY source)"""
 
-FACTS = """f0 AS (SELECT doc_id AS n, source, CASE WHEN doc_id % 15 = 0 THEN doc_id + 1 ELSE doc_id END AS shown FROM documents WHERE doc_id % 5 = 0),
+FACTS = """f0 AS (SELECT doc_id AS n, source, CASE WHEN doc_id % 15 = 0 THEN doc_id + 1 ELSE doc_id END AS shown FROM documents),
   facts AS (SELECT 'f' || n AS id, n, f0.source, replace(substr(text, 1, 5), chr(10), ' ') AS subject, replace(substr(text, 11, 30), chr(10), ' ') AS object,
     'd' || (n + CASE WHEN n % 35 = 0 THEN 10000000 ELSE 0 END) AS chunk_id, CASE WHEN n % 20 = 0 THEN 'd' || (n + 5) END AS superseded_by FROM f0 JOIN documents ON doc_id = shown),
   prov AS (SELECT id AS fact_id, source, CASE WHEN n % 3 = 0 THEN 'old ' || id END AS evidence, 'linked' AS status, 1.0::DOUBLE AS updated_at, CASE WHEN n % 4 = 0 THEN 5.0::DOUBLE END AS absent_since FROM facts WHERE n % 3 = 0 OR n % 4 = 0)"""
@@ -222,9 +225,9 @@ def oracle_sql() -> dict[str, str]:
         "misses": f"WITH {RANKS} SELECT qid, first_rank FROM ranks WHERE first_rank IS NULL OR first_rank > 3",
         "truth_validation": f"WITH {GOLD}, more AS (SELECT * FROM gold UNION ALL SELECT 0, 99999999) SELECT item_id AS qid, 'no gold document' AS problem FROM benchmark WHERE item_id NOT IN (SELECT qid FROM more) UNION ALL SELECT qid, 'not in the corpus: ' || rowid FROM more WHERE rowid NOT IN (SELECT doc_id FROM documents)",
         "store_upsert_keep_last": f"WITH {CHUNKS}, {STORE}, {BATCH}, {_upsert('store', 'batch')}",
-        "store_replace_source": f"WITH {CHUNKS}, {STORE}, {BATCH}, left_store AS (SELECT * FROM store WHERE source <> 'src3'), new AS (SELECT * FROM batch WHERE source = 'src3' AND batch_seq < 1000), {_upsert('left_store', 'new')}",
+        "store_replace_source": f"WITH {CHUNKS}, {STORE}, {BATCH}, left_store AS (SELECT * FROM store WHERE source <> 'src3'), new AS (SELECT * FROM batch WHERE source = 'src3' AND batch_seq % 3 = 0), {_upsert('left_store', 'new')}",
         "store_delete_source": f"WITH {CHUNKS}, {STORE} SELECT rowid, id, source, type, length(content) AS n_chars, content_hash, created_at, embedding IS NOT NULL AS has_vector FROM store WHERE source <> 'src3'",
-        "vectors_by_hash": f"WITH {CHUNKS}, {STORE} SELECT sha256(substr(content, 1, 3)) AS content_hash, round(arg_max(embedding, rowid)[1]::DOUBLE, 6) AS first_value FROM store WHERE embedding IS NOT NULL GROUP BY 1",
+        "vectors_by_hash": f"WITH {CHUNKS}, {STORE} SELECT content_hash, round(arg_max(embedding, rowid)[1]::DOUBLE, 6) AS first_value FROM store WHERE embedding IS NOT NULL GROUP BY 1",
         "embed_missing": f"WITH {CHUNKS}, {STORE}, {BATCH} SELECT sha256(content) IN (SELECT content_hash FROM store WHERE embedding IS NOT NULL) AS reused, count(*) AS n FROM batch GROUP BY 1",
         "source_ledger": f"WITH {CHUNKS}, {STORE}, {LEDGER} SELECT * FROM ledger",
         "is_indexed": f"WITH {CHUNKS}, {STORE}, {LEDGER}, asked AS (SELECT source, CASE WHEN chunk_count % 2 = 0 THEN content_hash ELSE 'other' END AS hash FROM ledger UNION ALL SELECT 'nowhere', 'x') SELECT asked.source, hash, coalesce(hash = content_hash, FALSE) AS indexed FROM asked LEFT JOIN ledger ON ledger.source = asked.source",
@@ -250,11 +253,11 @@ def oracle_sql() -> dict[str, str]:
         "fold_text": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",
         "identifier_gate": f"WITH {CHUNKS}, {QUERIES}, {HCHUNKS}, {HQUERIES}, {PROMPTS}, {NOTED}, {UNKNOWN} SELECT qid FROM unknown",
         "coverage": f"WITH {CHUNKS}, {QUERIES}, {_phrases('chunks', 'queries', _prompt_tokens('text'))}, top6 AS ({_top('scores', 6, 'score, rowid', 'qid, @, rowid')}) {_coverage('queries', 'top6', 'chunks')}",
-        "conversation_context": f"""SELECT conv_id, turn, CASE WHEN before IS NULL OR len(regexp_extract_all(substr(text, 1, 60), '\\S+')) > 12 THEN '' WHEN length({CONTEXT_TEXT}) <= 600 THEN {CONTEXT_TEXT}
+        "conversation_context": f"""SELECT conv_id, turn, CASE WHEN before IS NULL OR len(regexp_extract_all(text, '\\S+')) > 12 THEN '' WHEN length({CONTEXT_TEXT}) <= 600 THEN {CONTEXT_TEXT}
           ELSE substr({CONTEXT_TEXT}, 1, 300) || ' ... ' || right({CONTEXT_TEXT}, 300) END AS context FROM {EACH_BEFORE} WHERE role = 'user'""",
         "embed_text": f"""SELECT conv_id, turn, CASE WHEN room < 40 OR length(ctx) = 0 THEN head WHEN length(ctx) <= room THEN head || chr(10) || chr(10) || ctx
           ELSE head || chr(10) || chr(10) || left(ctx, (room - 5) // 2) || ' ... ' || right(ctx, (room - 5) // 2) END AS shown
-          FROM (SELECT conv_id, turn, role, substr(text, 1, 60) AS head, 348 - length(substr(text, 1, 60)) AS room, coalesce(before, '') AS ctx FROM {EACH_BEFORE}) WHERE role = 'user'""",
+          FROM (SELECT conv_id, turn, role, substr(text, 1, 350) AS head, 348 - length(substr(text, 1, 350)) AS room, coalesce(before, '') AS ctx FROM {EACH_BEFORE}) WHERE role = 'user'""",
         "mask_assignments": f"SELECT doc_id, md5(masked) AS masked_md5 FROM (SELECT doc_id, text, {_mask('text')} AS masked FROM documents) WHERE masked <> text",
         "masked_tail": f"SELECT doc_id, md5(right(masked, 2000)) AS tail_md5 FROM (SELECT doc_id, {_mask('right(text, 64000)')} AS masked FROM documents)",
         "rerank_overlap": base + f""", top20 AS ({_top('scores', 20, 'score, rowid', 'qid, @, rowid')}),

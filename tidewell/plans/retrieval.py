@@ -139,7 +139,7 @@ def truth_validation(s, d):
 
 
 def _store(s, d):
-    c = v.chunks(s, d).where("rowid < 500")
+    c = v.chunks(s, d)
     e = v.table(s, d, "embeddings").select(F.col("vec_id").alias("rowid"), "embedding")
     return c.join(e, "rowid", "left").select(
         "rowid", "id", "source", "type", "content", "mtime", store.content_hash(F.col("content")).alias("content_hash"), F.lit(None).cast("string").alias("metadata"), F.lit(1.0).alias("created_at"), "embedding"
@@ -147,11 +147,12 @@ def _store(s, d):
 
 
 def _batch(s, d):
-    """Documents 150 to 599 twice: the second version has an end mark and comes last; no vectors."""
-    c = v.chunks(s, d).where("rowid >= 150 and rowid < 600")
-    first = c.withColumn("batch_seq", F.col("rowid"))
-    second = c.where("rowid % 2 = 0").withColumn("content", F.concat("content", F.lit(" v2"))).withColumn("batch_seq", F.col("rowid") + 1000)
-    out = first.unionByName(second)
+    """A batch of every document: those with even ids come again later with an end mark, and those divisible by seven once more under a new id; no vectors."""
+    c = v.chunks(s, d)
+    first = c.withColumn("batch_seq", F.col("rowid") * 3)
+    second = c.where("rowid % 2 = 0").withColumn("content", F.concat("content", F.lit(" v2"))).withColumn("batch_seq", F.col("rowid") * 3 + 1)
+    added = c.where("rowid % 7 = 0").withColumn("id", F.concat("id", F.lit("+"))).withColumn("batch_seq", F.col("rowid") * 3 + 2)
+    out = first.unionByName(second).unionByName(added)
     return out.select("id", "source", "type", "content", "mtime", F.lit(None).cast("string").alias("content_hash"), F.lit(None).cast("string").alias("metadata"), F.lit(2.0).alias("created_at"), F.lit(None).cast("array<float>").alias("embedding"), "batch_seq")
 
 
@@ -164,7 +165,7 @@ def store_upsert_keep_last(s, d):
 
 
 def store_replace_source(s, d):
-    new = _batch(s, d).where("source = 'src3' and batch_seq < 1000")
+    new = _batch(s, d).where("source = 'src3' and batch_seq % 3 = 0")
     return _digest(store.replace_source(_store(s, d), "src3", new, 64, redact=False))
 
 
@@ -173,8 +174,7 @@ def store_delete_source(s, d):
 
 
 def vectors_by_hash(s, d):
-    c = _store(s, d).withColumn("content_hash", F.sha2(F.substring("content", 1, 3), 256))
-    got = store.vectors_by_hash(c)
+    got = store.vectors_by_hash(_store(s, d))
     return got.select("content_hash", F.round(got["embedding"][0].cast("double"), 6).alias("first_value"))
 
 
@@ -281,7 +281,7 @@ def conversation_context(s, d):
     c = v.table(s, d, "conversations")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     c = c.withColumn("before", before).where("role = 'user'")
-    return c.select("conv_id", "turn", text.conversation_context(F.substring("text", 1, 60), F.col("before")).alias("context"))
+    return c.select("conv_id", "turn", text.conversation_context(F.col("text"), F.col("before")).alias("context"))
 
 
 def embed_text(s, d):
@@ -289,7 +289,7 @@ def embed_text(s, d):
 
     c = v.table(s, d, "conversations")
     before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
-    return c.withColumn("before", before).where("role = 'user'").select("conv_id", "turn", text.embed_text(F.substring("text", 1, 60), F.col("before")).alias("shown"))
+    return c.withColumn("before", before).where("role = 'user'").select("conv_id", "turn", text.embed_text(F.col("text"), F.col("before")).alias("shown"))
 
 
 def ambient_select(s, d):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.topk import small
+
 #: The fixed "now" of all time-dependent queries: 2026-01-01 00:00:00 UTC.
 NOW = 1767225600.0
 
@@ -21,8 +23,8 @@ def chunks(spark, sf_dir) -> DataFrame:
 
 
 def queries(spark, sf_dir) -> DataFrame:
-    """benchmark items as queries: the first 60 characters of each."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 60).alias("text"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
+    """benchmark items as queries, whole."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))
 
 
 def vectors(spark, sf_dir) -> DataFrame:
@@ -31,8 +33,8 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def vector_queries(spark, sf_dir) -> DataFrame:
-    """Every 25th vector, as query."""
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    """The vectors whose id is divisible by 20, as queries."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def hybrid_chunks(spark, sf_dir) -> DataFrame:
@@ -56,7 +58,7 @@ def gold(spark, sf_dir) -> DataFrame:
     """(qid, rowid): documents that contain an item's whole text."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), "text")
-    return d.join(F.broadcast(q), F.contains(F.col("text"), F.col("item"))).select("qid", "rowid")
+    return d.join(small(q), F.contains(F.col("text"), F.col("item"))).select("qid", "rowid")
 
 
 def runs(spark, sf_dir) -> DataFrame:
@@ -70,9 +72,9 @@ def runs(spark, sf_dir) -> DataFrame:
 
 
 def facts(spark, sf_dir) -> DataFrame:
-    """A fact for every fifth document: its object is the second line-free word run of 30 characters, of the next document for every third fact."""
+    """A fact for every document: its object is the second line-free word run of 30 characters, of the next document for every fifteenth fact."""
     d = table(spark, sf_dir, "documents")
-    f = d.where("doc_id % 5 = 0").select((F.col("doc_id")).alias("n"), "source")
+    f = d.select(F.col("doc_id").alias("n"), "source")
     shown = F.when(F.col("n") % 15 == 0, F.col("n") + 1).otherwise(F.col("n"))
     f = f.withColumn("shown", shown)
     t = d.select(F.col("doc_id").alias("shown"), F.translate(F.substring("text", 11, 30), "\n", " ").alias("object"), F.translate(F.substring("text", 1, 5), "\n", " ").alias("subject"))

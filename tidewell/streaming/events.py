@@ -74,7 +74,8 @@ def run_to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
         if mode == "complete":
             df.withColumn("__batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/rows")
         else:
-            df.withColumn("__batch", F.lit(batch)).write.mode("append").parquet(f"{out}/rows")
+            # A folder per batch, so that a batch that is run again replaces its rows.
+            df.write.mode("overwrite").parquet(f"{out}/rows/__batch={batch}")
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
     writer.start().awaitTermination()
