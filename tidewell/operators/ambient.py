@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import AMBIENT_WORD, ascii_lower, basename, collapse, fold, identifiers, prompt_tokens
+from ..tables import materialise
 from .bm25 import search_fts
 from .fusion import rrf_scores
-from .topk import best, small
+from .strings import occurrences
+from .topk import best
 from .vector import search_l2
 
 FTS_LIMIT, VECTOR_LIMIT, MAX_PICKS, HEAD_CHARS, EXTRACT_CHARS, SNIPPET_TOKENS, OLD_DAYS = 6, 6, 2, 200, 170, 22, 90.0
@@ -24,9 +26,10 @@ JOURNAL = r"[0-9]{4}-[0-9][0-9]-[0-9][0-9](-weekly)?\.md$"
 def unknown_identifiers(prompts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid): prompts that name an identifier which no chunk contains."""
     asked = prompts.select("qid", F.explode(identifiers(F.col("text"))).alias("identifier"))
-    wanted = asked.select(ascii_lower(F.col("identifier")).alias("x")).distinct()
-    known = chunks.join(small(wanted), F.contains(ascii_lower(F.col("content")), F.col("x"))).select("x").distinct()
-    return asked.withColumn("x", ascii_lower(F.col("identifier"))).join(known, "x", "left_anti").select("qid").distinct()
+    asked = asked.select("qid", ascii_lower(F.col("identifier")).alias("needle"))
+    texts = chunks.select("rowid", ascii_lower(F.col("content")).alias("text")).withColumnRenamed("rowid", "key")
+    known = occurrences(texts, asked).select("needle").distinct()
+    return asked.join(known, "needle", "left_anti").select("qid").distinct()
 
 
 def coverage(prompts: DataFrame, hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -74,12 +77,12 @@ def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int
     ``chunks`` are already those of the wanted types.  ``given(session_id, rowid)`` never come again.  A batch takes all its prompts
     against the same ``given``; ``select_in_order`` follows the order within sessions.
     """
-    asked = prompts.where(F.size(prompt_tokens(F.col("text"))) >= 2).join(unknown_identifiers(prompts, chunks), "qid", "left_anti")
-    words = search_fts(asked, chunks, FTS_LIMIT, words=prompt_tokens).select("qid", "rowid", "rank")
+    asked = materialise(prompts.where(F.size(prompt_tokens(F.col("text"))) >= 2).join(unknown_identifiers(prompts, chunks), "qid", "left_anti"), "asked")
+    words = materialise(search_fts(asked, chunks, FTS_LIMIT, words=prompt_tokens).select("qid", "rowid", "rank"), "by-words")
     lists = words.select("qid", F.lit(0).alias("list_id"), "rank", F.col("rowid").alias("key"))
     near = None
     if "embedding" in prompts.columns:
-        near = search_l2(asked.where("embedding is not null"), chunks, VECTOR_LIMIT).select("qid", "rowid", "rank")
+        near = materialise(search_l2(asked.where("embedding is not null"), chunks, VECTOR_LIMIT).select("qid", "rowid", "rank"), "by-vectors")
         lists = lists.unionByName(near.select("qid", F.lit(1).alias("list_id"), "rank", F.col("rowid").alias("key")))
     fused = rrf_scores(lists).select("qid", F.col("key").alias("rowid"), F.round("score", 9).alias("score"), "place")
     ev = fused.join(coverage(asked, words, chunks), ["qid", "rowid"], "left").withColumn("covers", F.coalesce("covers", F.lit(0)))

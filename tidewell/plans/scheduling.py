@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, jobs, runs, tasks
 from ..streaming import events as streams
+from ..tables import shared_dir
 from . import views as v
 
 
@@ -122,15 +123,9 @@ def job_sync_diff(s, d):
     return jobs.sync(old, new)
 
 
-def _folder(s):
-    import tempfile
-
-    return (s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-stream-")).rstrip("/")
-
-
 def stream_due_windows(s, d):
     e = streams.read_events(s, f"{d}/events.parquet")
-    return streams.run_to_table(streams.due_windows(e), "complete", _folder(s)).select("window_start", "event_type", "n")
+    return streams.run_to_table(streams.due_windows(e), "complete", shared_dir(s)).select("window_start", "event_type", "n")
 
 
 def stream_adaptive(s, d):
@@ -138,7 +133,7 @@ def stream_adaptive(s, d):
     e = streams.read_events(s, f"{d}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("long")
     rows = e.select(F.col("event_type").alias("task_id"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"), (k % 2).cast("string").alias("fingerprint"))
-    out = streams.run_to_table(streams.streaks(rows), "update", _folder(s))
+    out = streams.run_to_table(streams.streaks(rows), "update", shared_dir(s))
     newest = out.groupBy("task_id").agg(F.max_by(F.struct("runs", "unchanged", "longest", "times"), "__batch").alias("s"))
     return newest.select("task_id", "s.*")
 
@@ -146,7 +141,7 @@ def stream_adaptive(s, d):
 def stream_dedup(s, d):
     """The first event of each user and type.  Which row of equals comes first is open, so only the keys are returned."""
     e = streams.read_events(s, f"{d}/events.parquet")
-    return streams.run_to_table(streams.once_per_session(e), "append", _folder(s)).select("user_id", "event_type")
+    return streams.run_to_table(streams.once_per_session(e), "append", shared_dir(s)).select("user_id", "event_type")
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and getattr(f, "__module__", "") == __name__}

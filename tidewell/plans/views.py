@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.topk import small
+from ..operators.strings import occurrences
 
 #: The fixed "now" of all time-dependent queries: 2026-01-01 00:00:00 UTC.
 NOW = 1767225600.0
@@ -56,9 +56,9 @@ def hybrid_queries(spark, sf_dir) -> DataFrame:
 
 def gold(spark, sf_dir) -> DataFrame:
     """(qid, rowid): documents that contain an item's whole text."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rowid"), "text")
-    return d.join(small(q), F.contains(F.col("text"), F.col("item"))).select("qid", "rowid")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("needle"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    return occurrences(d, q).join(q, "needle").select("qid", F.col("key").alias("rowid"))
 
 
 def runs(spark, sf_dir) -> DataFrame:
