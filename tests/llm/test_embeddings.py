@@ -50,6 +50,7 @@ def plain(rows, threshold):
 @pytest.mark.parametrize("tile", [16, 1024])
 def test_against_brute_force(spark, monkeypatch, tile):
     monkeypatch.setattr(embeddings, "TILE", tile)
+    monkeypatch.setattr(embeddings, "TILE_SHARE", 0)
     data = rows()
     df = spark.createDataFrame([(*r, "x", 1) for r in data], "vec_id long, embedding array<float>, label int, rid string, weight int")
     got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=str)

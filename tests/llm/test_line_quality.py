@@ -29,6 +29,7 @@ def plain_lines(rows, ratio, min_pages):
 @pytest.mark.parametrize("limit", [50_000, 0])
 def test_lines_against_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(line_dedup, "BROADCAST_HOSTS", limit)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", limit)
     df = fixtures.docs(spark)
     got = line_dedup.dedup_lines(df, ratio=0.1, min_pages=3)
     assert got.columns == [*df.columns, "__ld_n_lines", "__ld_n_dropped"]

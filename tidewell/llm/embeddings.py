@@ -1,7 +1,7 @@
 """Embedding near-duplicates by int8 tiles with error bounds.
 
 Equal vectors of a label are one representative with a weight.  A label's representatives are dealt into
-tiles of about ``TILE``; each pair of tiles meets in one task.  There the unit vectors are
+tiles (``TILE`` to ``MOST_TILE`` rows); each pair of tiles meets in one task.  Rows travel in the type that they are stored in.  There the unit vectors are
 rounded to whole multiples of a step of their own (-127..127) and multiplied as whole numbers, which is
 exact.  With x = x' + e and y = y' + f, x.y differs from x'.y' by at most |x'||f| + |e||y|, and only
 pairs whose product plus that bound reaches the threshold are computed again in double precision.
@@ -15,9 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, materialise, ship
+from .common import connected_components, discard, forest, materialise, ship
 
-THRESHOLD, TILE, BLOCK, PAIRS = 0.98, 1024, 256, 50_000
+THRESHOLD, BLOCK, PAIRS = 0.98, 256, 50_000
+#: Rows of a tile: TILE_SHARE times the square root of a label's rows, within these bounds; each row is sent once a tile of its label.
+TILE, MOST_TILE, TILE_SHARE = 2048, 16_384, 16
 BROADCAST_LABELS = 100_000
 
 
@@ -80,12 +82,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     non-finite components link with nothing: n_links 0, their own id as component, kept.  Equal vectors, also under equal ids, are rows of their own.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).cast("array<double>").alias("embedding"))
-    fine = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("embedding"))
+    fine = F.expr("label is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(double(x)) and abs(double(x)) < double('infinity')) and exists(embedding, x -> x <> 0)")
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     reps = rows.where("fine").groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("least"))
     reps = materialise(reps.withColumns({"rid": F.monotonically_increasing_id(), "dim": F.size("embedding")}), "emb-reps")
-    heavy = materialise(reps.groupBy("label", "dim").count().where(F.col("count") > TILE).select("label", "dim", F.ceil(F.col("count") / TILE).cast("int").alias("g")), "emb-heavy")
+    tile = F.greatest(F.lit(TILE), F.least(F.lit(MOST_TILE), F.sqrt("count") * TILE_SHARE))
+    heavy = materialise(reps.groupBy("label", "dim").count().where(F.col("count") > TILE).select("label", "dim", F.ceil(F.col("count") / tile).cast("int").alias("g")), "emb-heavy")
     if heavy.count() <= BROADCAST_LABELS:
         heavy = F.broadcast(heavy)
     dealt = reps.join(heavy, ["label", "dim"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
@@ -96,6 +99,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     found = connected_components(met.where("other is not null").select(F.col("rid").alias("u"), F.col("other").alias("v")), "emb")
     full = reps.join(links, "rid", "left").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     full = materialise(full.select("label", "embedding", "least", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rid").alias("root")), "emb-full")
+    for done in (heavy, met, reps, found):
+        discard(done)
     least = full.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialise(full.join(least, "root").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id"), "emb-classes")
     joined = rows.join(classes, F.col("fine") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 RATIO, MIN_PAGES = 0.02, 5
-#: Hosts up to which their arrays go to every executor; beyond it pages and arrays are joined by a shuffle that AQE may split.
-BROADCAST_HOSTS = 50_000
+#: Hosts, and keys of boilerplate lines over all hosts, up to which they go to every executor (some 50 MB); beyond it they are joined by a shuffle that AQE may split.
+BROADCAST_HOSTS, BROADCAST_KEYS = 500_000, 2_000_000
 BLANK = r"^[\x20\x09-\x0D]*$"
 
 
@@ -54,12 +54,14 @@ def dedup_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text
     lines; with ``copies_once`` equal texts of a host count as one page.  Other columns pass through unread.
     """
     found = boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once)
-    if found.count() <= BROADCAST_HOSTS:
+    if (found.agg(F.sum(F.size("__ld_lines") + 4)).first()[0] or 0) <= BROADCAST_KEYS:
         found = F.broadcast(found)
     joined = docs.join(found, docs[host_col].eqNullSafe(found["__ld_host"]), "left")
     lines = F.split(text_col, "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__ld_lines"), _key(x)))
-    out = joined.withColumn("__ld_kept", F.when(F.col("__ld_lines").isNull(), lines).otherwise(kept))
+    # Those of the page's lines that go are few, so that looking each line up in them costs little, however many the host has.
+    joined = joined.withColumn("__ld_gone", F.array_intersect(F.transform(lines, _key), F.col("__ld_lines")))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__ld_gone"), _key(x)))
+    out = joined.withColumn("__ld_kept", F.when(F.coalesce(F.size("__ld_gone"), F.lit(0)) <= 0, lines).otherwise(kept))
     out = out.withColumns(
         {
             "__ld_n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
