@@ -100,3 +100,30 @@ def test_hashing_embedder():
     assert get_embedder("hashing").dim == 256
     with pytest.raises(ValueError):
         get_embedder("other")
+
+
+def test_the_index_is_stored_with_the_chunks(spark, tmp_path):
+    with Store(spark, str(tmp_path / "s")) as s:
+        s.add_documents([{"id": "a", "content": "rain water for the orchids"}, {"id": "b", "content": "the boiler burns pellets"}])
+        q = spark.createDataFrame([(1, "orchids rain"), (2, "boiler")], "qid long, text string")
+        got = s.search_fts(q)
+        assert "terms" in s.indexed_chunks().columns
+        ids = {r["rowid"]: r["id"] for r in s.chunks().collect()}
+        assert {(r["qid"], ids[r["rowid"]]) for r in got.collect()} == {(1, "a"), (2, "b")}
+
+
+def test_facts_follow_a_replaced_source(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    old = [{"id": "n:0", "source": "n", "type": "topic", "content": "The boiler holds 300 kilograms of pellets."}, {"id": "n:1", "source": "n", "type": "topic", "content": "The shed key hangs behind the door."}]
+    s.upsert(old)
+    assert not s.has_facts() and s.facts() is None and s.provenance() is None
+    s.replace_source("n", "topic", "h1", old)
+    facts = [("f1", "n", "boiler", "300 kilograms of pellets", "n:0", None), ("f2", "n", "key", "hangs behind the door", "n:1", None), ("f3", "other", "x", "y", "o:0", None)]
+    s.put_facts(spark.createDataFrame(facts, "id string, source string, subject string, object string, chunk_id string, superseded_by string"))
+    assert s.has_facts() and s.facts().count() == 3
+    s.replace_source("n", "topic", "h2", [{"id": "n:7", "source": "n", "type": "topic", "content": "Now the boiler holds 300 kilograms of pellets in all."}])
+    assert {r["id"]: r["chunk_id"] for r in s.facts().collect()} == {"f1": "n:7", "f2": "n:1", "f3": "o:0"}
+    prov = {r["fact_id"]: r for r in s.provenance().collect()}
+    assert prov["f1"]["status"] == "linked" and prov["f1"]["evidence"].startswith("The boiler") and prov["f1"]["absent_since"] is None
+    assert prov["f2"]["status"] == "needs_review" and prov["f2"]["evidence"].startswith("The shed key") and prov["f2"]["absent_since"] is not None
+    assert "f3" not in prov

@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions.masking import clean_metadata
 from ..functions.vectors import Embedder
+from ..operators import bm25, index
+from ..operators import facts as fact_ops
 from ..operators import store as ops
 
 
 class Store:
-    """Chunks and the source ledger under a folder of any file system that Spark reads."""
+    """Chunks, their full-text index and the source ledger, and facts with their evidence where there are any, under a folder of any file system that Spark reads.
+
+    Nothing is held open between calls, so ``close`` and leaving a ``with`` block release nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str, dim: int | None = None, read_only: bool = False, redact: bool = True):
         self.spark, self.path, self.read_only, self.redact = spark, path.rstrip("/"), read_only, redact
@@ -33,6 +38,15 @@ class Store:
         elif dim is not None and pointer["dim"] is None and not read_only:
             self._point(pointer | {"dim": dim})
 
+    def close(self) -> None:
+        pass
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def _pointer(self) -> dict | None:
         at = self._at("CURRENT")
         if not self._fs.exists(at):
@@ -51,14 +65,20 @@ class Store:
         self._fs.delete(self._at("CURRENT"), False)
         self._fs.rename(self._at(name), self._at("CURRENT"))
 
-    def _commit(self, chunks: DataFrame, sources: DataFrame, dim: int | None) -> None:
-        """Write a whole new snapshot, then move the pointer; whatever fails before that leaves the old one in place."""
+    def _commit(self, chunks: DataFrame, sources: DataFrame, dim: int | None, facts: DataFrame | None = None, provenance: DataFrame | None = None) -> None:
+        """Write a whole new snapshot with its index, then move the pointer; whatever fails before that leaves the old one in place.  Facts stay as they are unless given."""
         if self.read_only:
             raise PermissionError("the store is open for reading only")
         version = uuid.uuid4().hex
         chunks.select(*schema.CHUNKS.names).write.partitionBy("type").parquet(f"{self.path}/{version}/chunks")
         sources.write.parquet(f"{self.path}/{version}/sources")
-        self._point({"version": version, "dim": dim})
+        index.write_index(self.spark.read.schema(schema.CHUNKS).parquet(f"{self.path}/{version}/chunks"), f"{self.path}/{version}/index")
+        kept = (self._pointer() or {}).get("facts")
+        if facts is not None:
+            facts.select(*schema.FACTS.names).write.parquet(f"{self.path}/{version}/facts")
+            provenance.select(*schema.PROVENANCE.names).write.parquet(f"{self.path}/{version}/provenance")
+            kept = version
+        self._point({"version": version, "dim": dim, "facts": kept})
 
     @property
     def dim(self) -> int | None:
@@ -67,6 +87,27 @@ class Store:
     def chunks(self) -> DataFrame:
         return self.spark.read.schema(schema.CHUNKS).parquet(f"{self.path}/{self._pointer()['version']}/chunks")
 
+    def indexed_chunks(self) -> DataFrame:
+        """The chunks with their stored terms, for searches that tokenise nothing."""
+        return index.open_index(self.chunks(), f"{self.path}/{self._pointer()['version']}/index")
+
+    def search_fts(self, queries: DataFrame, k: int = 5, **kw) -> DataFrame:
+        return bm25.search_fts(queries, self.indexed_chunks(), k, **kw)
+
+    def has_facts(self) -> bool:
+        return self._pointer().get("facts") is not None
+
+    def facts(self) -> DataFrame | None:
+        """The fact ledger, None where none was put."""
+        return self.spark.read.schema(schema.FACTS).parquet(f"{self.path}/{self._pointer()['facts']}/facts") if self.has_facts() else None
+
+    def provenance(self) -> DataFrame | None:
+        return self.spark.read.schema(schema.PROVENANCE).parquet(f"{self.path}/{self._pointer()['facts']}/provenance") if self.has_facts() else None
+
+    def put_facts(self, facts: DataFrame, provenance: DataFrame | None = None) -> None:
+        none = self.spark.createDataFrame([], schema.PROVENANCE)
+        self._commit(self.chunks(), self.sources(), self.dim, facts, provenance if provenance is not None else self.provenance() if self.has_facts() else none)
+
     def sources(self) -> DataFrame:
         return self.spark.read.schema(schema.SOURCES).parquet(f"{self.path}/{self._pointer()['version']}/sources")
 
@@ -104,7 +145,10 @@ class Store:
         return n
 
     def replace_source(self, source: str, type_: str, content_hash: str, rows: list[dict], embedder: Embedder | None = None) -> int:
-        """The chunks of a source replaced in one step; texts that the store has a vector for are not embedded again."""
+        """The chunks of a source replaced in one step; texts that the store has a vector for are not embedded again.
+
+        Where the store has facts, those of the source keep the old text as evidence and are linked to the new chunks, or go to review.
+        """
         from ..functions.masking import mask
 
         batch = ops.check_source(self._batch(rows), source)
@@ -116,9 +160,22 @@ class Store:
             batch = ops.embed_missing(batch, ops.vectors_by_hash(self.chunks(), F.lit(source)), embedder).drop("reused")
             dim = dim or embedder.dim
         ledger = ops.ledger_upsert(self.sources(), source, type_, content_hash, len(rows), time.time())
-        self._commit(ops.upsert(ops.delete_source(self.chunks(), source), batch.select(*_with_seq().names), dim, self.redact), ledger, dim)
+        after = ops.upsert(ops.delete_source(self.chunks(), source), batch.select(*_with_seq().names), dim, self.redact)
+        self._commit(after, ledger, dim, *(self._linked(source, after) if self.has_facts() else ()))
         return len(rows)
 
+    def _linked(self, source: str, after: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Facts and their evidence once the chunks of a source are those of ``after``."""
+        now, facts, provenance = time.time(), self.facts(), self.provenance()
+        mine = facts.where(F.col("source") == source)
+        provenance = fact_ops.capture(mine, self.chunks(), provenance, now)
+        found = fact_ops.reconcile(mine, after)
+        gone = fact_ops.absence(mine, after, provenance, now).select(F.col("id").alias("fact_id"), F.col("absent_since").alias("__since"))
+        provenance = fact_ops.apply_status(provenance, found, now).join(gone.withColumn("__known", F.lit(True)), "fact_id", "left")
+        provenance = provenance.withColumn("absent_since", F.when(F.col("__known"), F.col("__since")).otherwise(F.col("absent_since"))).select(*schema.PROVENANCE.names)
+        linked = facts.join(found.select("id", F.col("chunk_id").alias("__chunk")), "id", "left")
+        return linked.withColumn("chunk_id", F.coalesce("__chunk", "chunk_id")).select(*schema.FACTS.names), provenance
+
     def mark_source_indexed(self, source: str, type_: str, content_hash: str, chunk_count: int) -> None:
         self._commit(self.chunks(), ops.ledger_upsert(self.sources(), source, type_, content_hash, chunk_count, time.time()), self.dim)
 
