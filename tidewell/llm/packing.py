@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,9 @@ from .common import ship
 CAPACITIES = (256, 512, 1024, 2048, 4096)
 #: Cost of a sequence: its places, a share that grows with the square (attention) and a fixed part.
 SQUARE, FIXED = 1 / 16384, 16
-SHARD_ROWS, SHARD_BYTES = 2000, 16_000_000
+SHARD_ROWS, SHARD_BYTES = 2000, 8_000_000
+#: Places of the pieces that are handed on together.
+BATCH_PLACES = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MEMBERS = "array<struct<doc_id: long, piece: long, start: long, length: long, offset: long>>"
 
@@ -111,24 +114,25 @@ def word_pieces(text: str, most: int) -> list[tuple[int, str]]:
     return [(min(most, n - most * k), part) for k, part in enumerate(parts)]
 
 
-def id_pieces(ids: list[int], end: int, most: int) -> list[tuple[int, list[int]]]:
+def id_pieces(ids: list[int], end: int, most: int) -> list[tuple[int, np.ndarray]]:
     """(length, ids) of each piece of a text in token ids, its end mark being the last one."""
-    ids = [*ids, end]
-    return [(len(ids[a : a + most]), ids[a : a + most]) for a in range(0, len(ids), most)]
+    whole = np.array([*ids, end], np.int32)
+    return [(len(part), part) for part in (whole[a : a + most] for a in range(0, len(whole), most))]
 
 
 def _pieces(most: int, vocabulary: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = bpe.load(vocabulary) if vocabulary else None
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for i, rid, text in zip(pdf["doc_id"].astype("Int64"), pdf["rid"], pdf["text"]):
                 text = text or ""
                 made = id_pieces(coder.encode(text), coder.end, most) if coder else word_pieces(text, most)
                 out += [(i, rid, k, n, part) for k, (n, part) in enumerate(made)]
-                if len(out) >= 4096:
+                size += sum(n for n, _ in made)
+                if size >= BATCH_PLACES:
                     yield _piece_frame(out)
-                    out = []
+                    out, size = [], 0
             if out:
                 yield _piece_frame(out)
 
@@ -153,7 +157,7 @@ def _pack_shard(most: int, ids: bool):
         for b, held in sorted(bins.items()):
             held.sort()
             members = [{"doc_id": None if pd.isna(doc[k]) else int(doc[k]), "piece": piece[k], "start": piece[k] * most, "length": length[k], "offset": offset} for offset, k, _ in held]
-            content = [x for _, k, _ in held for x in part[k]] if ids else [part[k] for _, k, _ in held]
+            content = np.concatenate([part[k] for _, k, _ in held]) if ids else [part[k] for _, k, _ in held]
             out.append((shard * (1 << 24) + b, held[0][2], sum(length[k] for _, k, _ in held), members, content))
         return pd.DataFrame(out, columns=["bin_id", "capacity", "used", "members", "ids" if ids else "texts"])
 
