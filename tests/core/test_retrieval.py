@@ -132,8 +132,15 @@ def test_context_needs_evidence(spark, chunks):
 
 
 def test_given_once_per_session(spark, chunks):
-    prompts = [{"qid": i, "session_id": s, "text": "harbour crane"} for i, s in enumerate(["a", "a", "b"])]
-    assert [[r["rowid"] for r in x] for x in ambient.select_in_order(spark, prompts, chunks, NOW)] == [[1], [], [1]]
+    rows = [(i, s, "harbour crane", t) for i, (s, t) in enumerate([("a", 1), ("a", 2), ("b", 1), (None, 5), (None, 4)])]
+    prompts = spark.createDataFrame(rows, "qid long, session_id string, text string, turn long")
+    got = {}
+    for r in ambient.select_in_order(prompts, chunks, NOW).collect():
+        got.setdefault(r["qid"], []).append(r["rowid"])
+    assert got == {0: [1], 2: [1], 4: [1]}
+    # The batch against what was given before says the same, one turn after the other.
+    given = spark.createDataFrame([("a", 1)], "session_id string, rowid long")
+    assert ambient.select_context(prompts.where("qid = 1"), chunks, NOW, given=given).count() == 0
 
 
 def test_prompt_tokens(spark):

@@ -71,12 +71,8 @@ def qualifies(now: float, old_days: float = OLD_DAYS, index_files=INDEX_FILES, p
     return (F.col("semantic") | words) & ~name.isin(*index_files) & ((F.col("semantic") & words) | ~(old | name.rlike(JOURNAL)))
 
 
-def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, given: DataFrame | None = None, snippets: bool = True, **rules) -> DataFrame:
-    """(qid, place, rowid, type, source, extract) for ``prompts(qid, session_id, text[, embedding])``; prompts without evidence get no rows.
-
-    ``chunks`` are already those of the wanted types.  ``given(session_id, rowid)`` never come again.  A batch takes all its prompts
-    against the same ``given``; ``select_in_order`` follows the order within sessions.
-    """
+def _candidates(prompts: DataFrame, chunks: DataFrame, now: float, snippets: bool, **rules) -> DataFrame:
+    """Every chunk that a prompt may be given, with its extract and its order: at most FTS_LIMIT + VECTOR_LIMIT a prompt."""
     asked = materialise(prompts.where(F.size(prompt_tokens(F.col("text"))) >= 2).join(unknown_identifiers(prompts, chunks), "qid", "left_anti"), "asked")
     words = materialise(search_fts(asked, chunks, FTS_LIMIT, words=prompt_tokens).select("qid", "rowid", "rank"), "by-words")
     lists = words.select("qid", F.lit(0).alias("list_id"), "rank", F.col("rowid").alias("key"))
@@ -92,28 +88,48 @@ def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int
     else:
         ev = ev.withColumn("semantic", F.lit(False))
     rows = ev.join(chunks.select("rowid", "type", "source", "content", "mtime"), "rowid").where(qualifies(now, **rules)).join(asked.select("qid", "session_id", "text"), "qid")
-    if given is not None:
-        rows = rows.join(given, ["session_id", "rowid"], "left_anti")
     head = F.substring("content", 1, HEAD_CHARS)
     text = F.when(F.col("by_words"), _snippets()(F.col("content"), prompt_tokens(F.col("text")))).otherwise(head) if snippets else head
     rows = rows.withColumn("extract", F.substring(collapse(text), 1, EXTRACT_CHARS)).where("extract <> ''")
+    return rows.select("qid", "session_id", "rowid", "type", "source", "extract", "score", "place")
+
+
+def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, given: DataFrame | None = None, snippets: bool = True, **rules) -> DataFrame:
+    """(qid, pick, rowid, type, source, extract) for ``prompts(qid, session_id, text[, embedding])``; prompts without evidence get no rows.
+
+    ``chunks`` are already those of the wanted types.  ``given(session_id, rowid)`` never come again.  A batch takes all its prompts
+    against the same ``given``; ``select_in_order`` follows the order within sessions.
+    """
+    rows = _candidates(prompts, chunks, now, snippets, **rules)
+    if given is not None:
+        rows = rows.join(given, ["session_id", "rowid"], "left_anti")
     order = [F.desc("score"), F.col("place"), F.col("rowid")]
     one = rows.withColumn("__n", F.row_number().over(Window.partitionBy("qid", "source").orderBy(*order))).where("__n = 1")
     return best(one, limit, *order, rank="pick").select("qid", "pick", "rowid", "type", "source", "extract")
 
 
-def select_in_order(spark, prompts: list[dict], chunks: DataFrame, now: float, sessions: int = 80, **kw) -> list:
-    """One prompt after the other; what a session has been given is not given to it again.  Above ``sessions`` sessions all but the current one are forgotten."""
-    seen: dict[str, set[int]] = {}
-    out = []
-    for p in prompts:
-        key = p.get("session_id") or "?"
-        if len(seen) > sessions:
-            seen = {k: v for k, v in seen.items() if k == key}
-        had = seen.setdefault(key, set())
-        given = spark.createDataFrame([(key, r) for r in had], "session_id string, rowid long")
-        row = {k: v for k, v in p.items() if v is not None} | {"session_id": key}
-        got = select_context(spark.createDataFrame([row]), chunks, now, given=given, **kw).orderBy("pick").collect()
-        had |= {r["rowid"] for r in got}
-        out.append(got)
-    return out
+def _in_turn(limit: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["turn", "qid", "score", "place", "rowid"], ascending=[True, True, False, True, True], kind="stable")
+        given: set[int] = set()
+        out = []
+        for qid, rows in pdf.groupby("qid", sort=False):
+            sources: set = set()
+            for r in rows.itertuples(index=False):
+                if r.rowid not in given and r.source not in sources and len(sources) < limit:
+                    sources.add(r.source)
+                    out.append((qid, len(sources), r.rowid, r.type, r.source, r.extract))
+            given |= {x[2] for x in out if x[0] == qid}
+        return pd.DataFrame(out, columns=["qid", "pick", "rowid", "type", "source", "extract"])
+
+    return run
+
+
+def select_in_order(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, snippets: bool = True, **rules) -> DataFrame:
+    """``select_context`` for ``prompts`` with a ``turn``: what a session has been given in an earlier turn is not given to it again.
+
+    All prompts are searched as one batch, and each session's few candidates are then dealt out in order; prompts without a session share one.
+    """
+    rows = _candidates(prompts, chunks, now, snippets, **rules).join(prompts.select("qid", "turn"), "qid")
+    out = "qid long, pick int, rowid long, type string, source string, extract string"
+    return rows.withColumn("session_id", F.coalesce("session_id", F.lit("?"))).groupBy("session_id").applyInPandas(_in_turn(limit), out)
