@@ -44,31 +44,49 @@ def summary(runs: DataFrame) -> DataFrame:
     )
 
 
+# The next three order a task's rows by time.  They do so within days, and what a day needs of the days before (or after) it comes
+# from one row a day, so that a busy task is as many tasks of Spark as it has days.
+
+
+def _day(at: str = "at") -> Column:
+    return F.date_trunc("day", F.col(at)).cast("date").alias("day")
+
+
 def missed(due: DataFrame, runs: DataFrame) -> DataFrame:
     """``due(task_id, due, window_s)`` without a run that began within its window: one pass over due times and starts in order of time."""
     marks = due.select("task_id", F.col("due").alias("at"), "window_s", F.lit(1).alias("kind"))
     starts = runs.where(real()).select("task_id", F.col("started_at").alias("at"), F.lit(None).cast("long").alias("window_s"), F.lit(0).alias("kind"))
-    ahead = Window.partitionBy("task_id").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = marks.unionByName(starts).withColumn("next_start", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(ahead))
-    late = F.col("next_start").isNull() | (F.col("next_start") > F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("window_s").cast("double")))
-    return lined.where((F.col("kind") == 1) & late).select("task_id", F.col("at").alias("due"))
+    lined = marks.unionByName(starts).withColumn("day", _day())
+    later = Window.partitionBy("task_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = lined.groupBy("task_id", "day").agg(F.min(F.when(F.col("kind") == 0, F.col("at"))).alias("first")).withColumn("after", F.min("first").over(later)).drop("first")
+    ahead = Window.partitionBy("task_id", "day").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = lined.withColumn("in_day", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(ahead)).where("kind = 1").join(days, ["task_id", "day"])
+    next_start = F.coalesce("in_day", "after")
+    late = next_start.isNull() | (next_start > F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("window_s").cast("double")))
+    return lined.where(late).select("task_id", F.col("at").alias("due"))
 
 
 def overlapping(runs: DataFrame) -> DataFrame:
     """Runs that began while the same task's previous real run was still going: (task_id, id, previous_id)."""
-    order = Window.partitionBy("task_id").orderBy("started_at", "id")
     ends = F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("duration_s"))
-    lined = runs.where(real()).withColumns({"previous_id": F.lag("id").over(order), "previous_end": F.lag(ends).over(order)})
-    return lined.where(F.col("previous_end") > F.col("started_at")).select("task_id", "id", "previous_id")
+    lined = runs.where(real()).select("task_id", "id", "started_at", _day("started_at"), F.struct("id", ends.alias("end")).alias("run"))
+    days = lined.groupBy("task_id", "day").agg(F.max_by("run", F.struct("started_at", "id")).alias("last"))
+    days = days.withColumn("before", F.lag("last").over(Window.partitionBy("task_id").orderBy("day"))).drop("last")
+    order = Window.partitionBy("task_id", "day").orderBy("started_at", "id")
+    lined = lined.withColumn("in_day", F.lag("run").over(order)).join(days, ["task_id", "day"]).withColumn("previous", F.coalesce("in_day", "before"))
+    return lined.where(F.col("previous.end") > F.col("started_at")).select("task_id", "id", F.col("previous.id").alias("previous_id"))
 
 
 def coalesced(due: DataFrame, runs: DataFrame) -> DataFrame:
     """Per gap between two starts of a task: the due times in it count as one, the latest: (task_id, due, periods)."""
     marks = due.select("task_id", F.col("due").alias("at"), F.lit(1).alias("kind"))
     starts = runs.where(real()).select("task_id", F.col("started_at").alias("at"), F.lit(0).alias("kind"))
-    before = Window.partitionBy("task_id").orderBy("at", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = marks.unionByName(starts).withColumn("gap", F.sum(F.when(F.col("kind") == 0, 1).otherwise(0)).over(before))
-    return lined.where("kind = 1").groupBy("task_id", "gap").agg(F.max("at").alias("due"), F.count(F.lit(1)).alias("periods")).drop("gap")
+    lined = marks.unionByName(starts).withColumn("day", _day())
+    earlier = Window.partitionBy("task_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = lined.groupBy("task_id", "day").agg(F.max(F.when(F.col("kind") == 0, F.col("at"))).alias("last")).withColumn("before", F.max("last").over(earlier)).drop("last")
+    so_far = Window.partitionBy("task_id", "day").orderBy("at", F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = lined.withColumn("in_day", F.last(F.when(F.col("kind") == 0, F.col("at")), ignorenulls=True).over(so_far)).where("kind = 1").join(days, ["task_id", "day"])
+    return lined.groupBy("task_id", F.coalesce("in_day", "before").alias("gap")).agg(F.max("at").alias("due"), F.count(F.lit(1)).alias("periods")).drop("gap")
 
 
 def repeated_hour(instants: DataFrame, zone: str) -> DataFrame:
