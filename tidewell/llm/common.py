@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ..tables import discard, materialise
 
+#: Rows of narrow tables for which a file of their own is worth while.
+ROWS_A_FILE = 100_000
+
 _shipped: dict[str, str] = {}
 
 
@@ -50,6 +53,11 @@ def forest(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> list[tuple[int, i
     return out
 
 
+def packed_in(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in no more partitions than its ``rows`` are worth, so that small tables are few files."""
+    return df.coalesce(max(8, rows // ROWS_A_FILE))
+
+
 def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     """Components of an undirected graph given by ``edges(u, v)``: rows (node, component).
 
@@ -59,25 +67,26 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
     Neighbourhoods are only ever reduced with ``min``, never gathered.
     """
     pair = lambda a, b: [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
-    left = materialise(edges.where("u <> v").select(*pair("u", "v")).distinct(), f"{tag}-edges")
+    n = edges.count()
+    left = materialise(packed_in(edges.where("u <> v").select(*pair("u", "v")).distinct(), n), f"{tag}-edges")
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hook = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), f"{tag}-hook")
+        hook = materialise(packed_in(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), n), f"{tag}-hook")
         jump = hook
         for _ in range(2):
             step = hook.select(F.col("u").alias("p"), F.col("p").alias("q"))
             jump = jump.join(step, "p").select("u", F.col("q").alias("p"))
-        jump = materialise(jump, f"{tag}-jump")
+        jump = materialise(packed_in(jump, n), f"{tag}-jump")
         discard(hook)
         if labels is None:
             after = jump.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
             moved = jump.select(F.col("u").alias("component"), F.col("p").alias("to"))
             after = labels.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-        after = materialise(after, f"{tag}-labels")
+        after = materialise(packed_in(after, n), f"{tag}-labels")
         image = left.join(jump.select("u", F.col("p").alias("pu")), "u").join(jump.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
-        image = materialise(image.where("pu <> pv").select(*pair("pu", "pv")).distinct(), f"{tag}-edges")
+        image = materialise(packed_in(image.where("pu <> pv").select(*pair("pu", "pv")).distinct(), n), f"{tag}-edges")
         for old in (left, jump, labels):
             discard(old)
         left, labels = image, after

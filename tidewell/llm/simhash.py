@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, discard, forest, materialise, ship
+from .common import connected_components, discard, forest, materialise, packed_in, ship
 
 SEED, LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 42, 1024, 32, 262_144, 524_288, 32768
 #: Rows and columns compared at once inside a leaf.
@@ -267,10 +267,12 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> tuple[
     marked = materialise(docs.withColumns({"__sim_fp": fingerprint_column(kind, F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
     first = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("__sim_rid").alias("rid"))
     nodes = marked.groupBy(F.col("__sim_fp").alias("bits")).agg(F.min(id_col).alias("least"), F.min(first).alias("first"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    rows = marked.count()
+    nodes = materialise(packed_in(nodes, rows).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     links = linked_fingerprints(nodes.select("node", "bits"), kind)
     found = connected_components(links, "simhash")
-    rooted = materialise(nodes.join(found, "node", "left").select("bits", "least", "first", F.coalesce("component", "node").alias("root")), "simhash-roots")
+    rooted = nodes.join(found, "node", "left").select("bits", "least", "first", F.coalesce("component", "node").alias("root"))
+    rooted = materialise(packed_in(rooted, rows), "simhash-roots")
     for done in (nodes, links, found):
         discard(done)
     return marked, rooted
@@ -297,6 +299,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list grows with the documents, so it is never broadcast.
     """
     marked, rooted = _classify(docs, id_col, text_col, kind)
-    stays = materialise(rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__sim_rid")), "simhash-stays")
+    stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__sim_rid"))
+    stays = materialise(packed_in(stays, marked.count()), "simhash-stays")
     discard(rooted)
     return marked.join(stays.hint("merge"), "__sim_rid", "left_semi").select(*docs.columns)
