@@ -143,6 +143,16 @@ def test_given_once_per_session(spark, chunks):
     assert ambient.select_context(prompts.where("qid = 1"), chunks, NOW, given=given).count() == 0
 
 
+def test_types(spark, chunks):
+    prompts = spark.createDataFrame([(0, "s", "harbour crane")], "qid long, session_id string, text string")
+    kinds = [r[0] for r in chunks.select("type").distinct().collect()]
+    kind = chunks.where("rowid = 1").first()["type"]
+    pick = lambda types: [r["rowid"] for r in ambient.select_context(prompts, chunks, NOW, types=types).collect()]
+    assert pick(kind) == pick([kind]) == [1] and pick([]) == pick("nothing of the kind") == []
+    assert pick(None) == pick(kinds)
+    assert vector.of_type(None) is None and vector.of_type([]) is None
+
+
 def test_prompt_tokens(spark):
     df = spark.createDataFrame([("Merci de faire the Écluse inc-4471 API api ab œuvre",)], "t string")
     assert df.select(text.prompt_tokens(F.col("t"))).first()[0] == ["the", "écluse", "inc-4471", "api", "œuvre"]

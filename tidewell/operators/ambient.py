@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,7 @@ from .bm25 import search_fts
 from .fusion import rrf_scores
 from .strings import occurrences
 from .topk import best
-from .vector import search_l2
+from .vector import of_type, search_l2
 
 FTS_LIMIT, VECTOR_LIMIT, MAX_PICKS, HEAD_CHARS, EXTRACT_CHARS, SNIPPET_TOKENS, OLD_DAYS = 6, 6, 2, 200, 170, 22, 90.0
 INDEX_FILES = ("MEMORY.md",)
@@ -71,14 +71,18 @@ def qualifies(now: float, old_days: float = OLD_DAYS, index_files=INDEX_FILES, p
     return (F.col("semantic") | words) & ~name.isin(*index_files) & ((F.col("semantic") & words) | ~(old | name.rlike(JOURNAL)))
 
 
-def _candidates(prompts: DataFrame, chunks: DataFrame, now: float, snippets: bool, **rules) -> DataFrame:
+def _candidates(prompts: DataFrame, chunks: DataFrame, now: float, snippets: bool, types: str | Iterable[str] | None, **rules) -> DataFrame:
     """Every chunk that a prompt may be given, with its extract and its order: at most FTS_LIMIT + VECTOR_LIMIT a prompt."""
+    allowed = None
+    if types is not None:
+        allowed = of_type(types)
+        allowed = F.lit(False) if allowed is None else allowed
     asked = materialise(prompts.where(F.size(prompt_tokens(F.col("text"))) >= 2).join(unknown_identifiers(prompts, chunks), "qid", "left_anti"), "asked")
-    words = materialise(search_fts(asked, chunks, FTS_LIMIT, words=prompt_tokens).select("qid", "rowid", "rank"), "by-words")
+    words = materialise(search_fts(asked, chunks, FTS_LIMIT, words=prompt_tokens, allowed=allowed).select("qid", "rowid", "rank"), "by-words")
     lists = words.select("qid", F.lit(0).alias("list_id"), "rank", F.col("rowid").alias("key"))
     near = None
     if "embedding" in prompts.columns:
-        near = materialise(search_l2(asked.where("embedding is not null"), chunks, VECTOR_LIMIT).select("qid", "rowid", "rank"), "by-vectors")
+        near = materialise(search_l2(asked.where("embedding is not null"), chunks, VECTOR_LIMIT, allowed).select("qid", "rowid", "rank"), "by-vectors")
         lists = lists.unionByName(near.select("qid", F.lit(1).alias("list_id"), "rank", F.col("rowid").alias("key")))
     fused = rrf_scores(lists).select("qid", F.col("key").alias("rowid"), F.round("score", 9).alias("score"), "place")
     ev = fused.join(coverage(asked, words, chunks), ["qid", "rowid"], "left").withColumn("covers", F.coalesce("covers", F.lit(0)))
@@ -94,13 +98,13 @@ def _candidates(prompts: DataFrame, chunks: DataFrame, now: float, snippets: boo
     return rows.select("qid", "session_id", "rowid", "type", "source", "extract", "score", "place")
 
 
-def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, given: DataFrame | None = None, snippets: bool = True, **rules) -> DataFrame:
+def select_context(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, given: DataFrame | None = None, snippets: bool = True, types: str | Iterable[str] | None = None, **rules) -> DataFrame:
     """(qid, pick, rowid, type, source, extract) for ``prompts(qid, session_id, text[, embedding])``; prompts without evidence get no rows.
 
-    ``chunks`` are already those of the wanted types.  ``given(session_id, rowid)`` never come again.  A batch takes all its prompts
+    Only chunks of ``types`` are given, one type as a string or several; an empty list means no chunk, None all.  Statistics and known identifiers are those of all chunks.  ``given(session_id, rowid)`` never come again.  A batch takes all its prompts
     against the same ``given``; ``select_in_order`` follows the order within sessions.
     """
-    rows = _candidates(prompts, chunks, now, snippets, **rules)
+    rows = _candidates(prompts, chunks, now, snippets, types, **rules)
     if given is not None:
         rows = rows.join(given, ["session_id", "rowid"], "left_anti")
     order = [F.desc("score"), F.col("place"), F.col("rowid")]
@@ -125,11 +129,11 @@ def _in_turn(limit: int):
     return run
 
 
-def select_in_order(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, snippets: bool = True, **rules) -> DataFrame:
+def select_in_order(prompts: DataFrame, chunks: DataFrame, now: float, limit: int = MAX_PICKS, snippets: bool = True, types: str | Iterable[str] | None = None, **rules) -> DataFrame:
     """``select_context`` for ``prompts`` with a ``turn``: what a session has been given in an earlier turn is not given to it again.
 
     All prompts are searched as one batch, and each session's few candidates are then dealt out in order; prompts without a session share one.
     """
-    rows = _candidates(prompts, chunks, now, snippets, **rules).join(prompts.select("qid", "turn"), "qid")
+    rows = _candidates(prompts, chunks, now, snippets, types, **rules).join(prompts.select("qid", "turn"), "qid")
     out = "qid long, pick int, rowid long, type string, source string, extract string"
     return rows.withColumn("session_id", F.coalesce("session_id", F.lit("?"))).groupBy("session_id").applyInPandas(_in_turn(limit), out)

@@ -7,7 +7,7 @@ all that tie with the last of them; the cut over all batches follows.  Beyond th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -25,6 +25,12 @@ def id_prefix(prefix: str) -> Column:
     return F.col("id").ilike(prefix + "%")
 
 
+def of_type(types: str | Iterable[str] | None) -> Column | None:
+    """The filter for chunks of one type, given as a string, or of several; none or no types let all pass."""
+    wanted = [types] if isinstance(types, str) else list(types or ())
+    return F.col("type").isin(wanted) if wanted else None
+
+
 def _l2(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * (x @ q.T), 0))
 
