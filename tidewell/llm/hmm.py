@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, ship
 
 STATES, BUCKETS, LEAST_TOP, MOST_TOP = 8, 256, 1024, 60_000
-BLOCK_TOKENS, SLICE_TOKENS, STEPS, SCALE_EVERY, SLICES = 500_000, 500_000, 1024, 8, 4
+BLOCK_TOKENS, SLICE_TOKENS, STEPS, SCALE_EVERY, SLICES = 500_000, 500_000, 512, 8, 4
 SAMPLE_PIECES, SAMPLE_TOKENS, SAMPLE_ROUNDS, ROUNDS, TOLERANCE = 400, 2000, 12, 3, 0.002
 FOLDS, HELD_OUT = 7, 2
 #: Words of a block are rows of its SLICES parts (``lid`` is a word's number in the block); part -1 has the texts.
@@ -132,37 +132,45 @@ def cut(sizes: np.ndarray) -> Cut:
     return Cut((np.cumsum(sizes) - sizes)[seq] + nth * STEPS, np.minimum(STEPS, sizes[seq] - nth * STEPS), seq, nth, head, n)
 
 
-def _order(size: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Chunks by size, longest first, and how many are longer than t, for each t."""
-    return np.argsort(-size, kind="stable"), (len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")).tolist()
+class Lay(NamedTuple):
+    """Chunks side by side, longest first: their order, how many are longer than t for each t, and their classes place by place (all first places, all second ones, ...)."""
 
+    order: np.ndarray
+    active: list[int]
+    classes: np.ndarray
 
-def _sweep(pre: np.ndarray, at: np.ndarray, size: np.ndarray, classes: np.ndarray, model: dict, alphas: np.ndarray | None = None, scales: np.ndarray | None = None):
+
+def lay(at: np.ndarray, size: np.ndarray, classes: np.ndarray) -> Lay:
+    order = np.argsort(-size, kind="stable")
+    active = (len(size) - np.searchsorted(size[order][::-1], np.arange(size.max(initial=0)), side="right")).tolist()
+    place = at[order]
+    flat = np.concatenate([place[:n] + t for t, n in enumerate(active)]) if active else np.zeros(0, np.int64)
+    return Lay(order, active, classes[flat])
+
+
+def _sweep(pre: np.ndarray, x: Lay, model: dict, alphas: np.ndarray | None = None):
     """Run through chunks side by side; ``pre`` has the state weights before the first emission.  Weights are scaled to a sum of one at every SCALE_EVERY-th place.
 
-    Returns the state weights at each chunk's end, scaled, the last scales and the logs of all scales; fills ``alphas`` and ``scales`` by place (``scales`` starts as ones).
+    Returns the state weights at each chunk's end, scaled, the last scales, the logs of all scales, and the scales by t; fills ``alphas`` place by place.
     """
-    order, active = _order(size)
-    emit, move = model["emit"].T, model["move"]
-    ends, logs = np.array(pre[order]), np.zeros(len(size))
-    place = at[order]
-    for t, n in enumerate(active):
-        here = place[:n] + t
-        alpha = (ends if t == 0 else ends[:n] @ move) * emit[classes[here]]
+    emit, move = np.ascontiguousarray(model["emit"].T), model["move"]
+    ends, logs, scales, at = np.array(pre[x.order]), np.zeros(len(x.order)), {}, 0
+    for t, n in enumerate(x.active):
+        alpha = emit.take(x.classes[at : at + n], axis=0)
+        alpha *= ends if t == 0 else ends[:n] @ move
         if t % SCALE_EVERY == SCALE_EVERY - 1:
-            scale = alpha.sum(1)
+            scales[t] = scale = alpha.sum(1)
             alpha /= scale[:, None]
             logs[:n] += np.log(scale)
-            if scales is not None:
-                scales[here] = scale
         ends[:n] = alpha
         if alphas is not None:
-            alphas[here] = alpha
+            alphas[at : at + n] = alpha
+        at += n
     tails = ends.sum(1)
     ends /= tails[:, None]
     out = np.empty_like(ends), np.empty_like(tails), np.empty_like(logs)
-    out[0][order], out[1][order], out[2][order] = ends, tails, logs + np.log(tails)
-    return out
+    out[0][x.order], out[1][x.order], out[2][x.order] = ends, tails, logs + np.log(tails)
+    return *out, scales
 
 
 def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,11 +182,11 @@ def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.nd
     several = several[np.argsort(-c.n[several], kind="stable")]
     if len(several):
         later = np.flatnonzero(c.nth > 0)
-        ends, _, logs = _sweep(np.tile(model["move"], (len(later), 1)), np.repeat(c.at[later], k), np.repeat(c.size[later], k), classes, model)
+        ends, _, logs, _ = _sweep(np.tile(model["move"], (len(later), 1)), lay(np.repeat(c.at[later], k), np.repeat(c.size[later], k), classes), model)
         logs = logs.reshape(-1, k)
         through[later] = np.exp(logs - logs.max(1, keepdims=True))[:, :, None] * ends.reshape(-1, k, k)
         heads = c.head[several]
-        a = _sweep(pre[heads], c.at[heads], c.size[heads], classes, model)[0]
+        a = _sweep(pre[heads], lay(c.at[heads], c.size[heads], classes), model)[0]
         for j in range(1, int(c.n.max())):
             here = c.head[several[c.n[several] > j]] + j
             a = a[: len(here)]
@@ -191,7 +199,7 @@ def _starts(classes: np.ndarray, c: Cut, model: dict) -> tuple[np.ndarray, np.nd
 def forward(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
     """Natural log likelihood of each sequence; sequences have a token or more."""
     c = cut(sizes)
-    logs = _sweep(_starts(classes, c, model)[0], c.at, c.size, classes, model)[2]
+    logs = _sweep(_starts(classes, c, model)[0], lay(c.at, c.size, classes), model)[2]
     return np.bincount(c.seq, weights=logs, minlength=len(sizes))
 
 
@@ -213,38 +221,35 @@ def expected(classes: np.ndarray, sizes: np.ndarray, model: dict) -> np.ndarray:
     if len(classes):
         c = cut(sizes)
         pre, through, several = _starts(classes, c, model)
-        alphas, scales = np.empty((len(classes), k)), np.ones(len(classes))
-        ends, tails, logs = _sweep(pre, c.at, c.size, classes, model, alphas, scales)
+        x, alphas = lay(c.at, c.size, classes), np.empty((len(classes), k))
+        ends, tails, logs, scales = _sweep(pre, x, model, alphas)
         log = logs.sum()
         last = np.repeat(1 / tails[:, None], k, axis=1)
         for j in range(int(c.n.max()) - 1, 0, -1):
             here = c.head[several[c.n[several] > j]] + j
             b = np.einsum("nst,nt->ns", through[here], last[here])
             last[here - 1] = b / ((ends[here - 1] * b).sum(1) * tails[here - 1])[:, None]
-        order, active = _order(c.size)
-        place, last = c.at[order], last[order]
-        emit, beta = model["emit"].T, np.ones((0, k))
-        for t in range(len(active) - 1, -1, -1):
-            n, later = active[t], len(beta)
-            here = place[:n] + t
+        last = last[x.order]
+        emit, back = np.ascontiguousarray(model["emit"].T), np.ascontiguousarray(model["move"].T)
+        ahead, at = np.zeros((0, k)), len(x.classes)
+        # ``ahead`` has the weights of the next place's states, its emission included.
+        for t in range(len(x.active) - 1, -1, -1):
+            n, later = x.active[t], len(ahead)
+            at -= n
+            beta = np.concatenate([ahead @ back, last[later:n]]) if later else last[:n]
             if later:
-                nxt = here[:later] + 1
-                ahead = beta * emit[classes[nxt]]
-                if (t + 1) % SCALE_EVERY == SCALE_EVERY - 1:
-                    ahead /= scales[nxt][:, None]
-                move += alphas[here[:later]].T @ ahead
-                beta = np.concatenate([ahead @ model["move"].T, last[later:n]])
-            else:
-                beta = last[:n]
-            if t == 0:
-                joins = c.nth[order] > 0
-                at = place[joins]
-                move += ends[order[joins] - 1].T @ (beta[joins] * (emit[classes[at]] / scales[at][:, None]))
-            alphas[here] *= beta
-        start = alphas[c.at[c.nth == 0]].sum(0)
+                move += alphas[at : at + later].T @ ahead
+            ahead = emit.take(x.classes[at : at + n], axis=0)
+            ahead *= beta
+            if t in scales:
+                ahead /= scales[t][:, None]
+            alphas[at : at + n] *= beta
+        nth = c.nth[x.order]
+        move += ends[x.order[nth > 0] - 1].T @ ahead[nth > 0]
+        start = alphas[: len(nth)][nth == 0].sum(0)
         move *= model["move"]
         for s in range(k):
-            emits[s] = np.bincount(classes, weights=alphas[:, s], minlength=n_classes)
+            emits[s] = np.bincount(x.classes, weights=alphas[:, s], minlength=n_classes)
     return np.concatenate([start, move.ravel(), emits.ravel(), [log]])
 
 
