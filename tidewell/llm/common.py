@@ -7,7 +7,7 @@ import shutil
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import discard, materialise
@@ -92,3 +92,8 @@ def connected_components(edges: DataFrame, tag: str) -> DataFrame:
         left, labels = image, after
     discard(left)
     return labels if labels is not None else edges.sparkSession.createDataFrame([], "node long, component long")
+
+
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and blanks included."""
+    return [F.col(f"`{n.replace('`', '``')}`") for n in names]

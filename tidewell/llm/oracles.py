@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, line_dedup, quality, secrets
+from . import embeddings, fim, line_dedup, quality, secrets, winnowing
 
 WORD, BLANK = r"[^\x20\x09-\x0D]+", line_dedup.BLANK
 
@@ -78,5 +78,36 @@ def _embeddings() -> str:
       SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(c.least, vec_id)) AS component_id, vec_id <= coalesce(c.least, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id"""
 
 
+def _fim() -> str:
+    before, after, inner = map(_quote, fim.MARKS)
+    mark = "|".join(fim.MARKS)
+    h = ", ".join(f"('0x' || substr(h, {1 + 8 * k}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+    joined = lambda a, b: f"array_to_string(list_slice(u, {a}, {b}), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+      t AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, {h} FROM d),
+      c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS p, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS m,
+        CASE WHEN text = '' OR regexp_matches(text, '{mark}') OR h3 % 100 >= {fim.CUT_PERCENT} THEN 'plain' WHEN h4 % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM t),
+      s AS (SELECT *, {joined(1, 'p')} AS a, {joined('p + 1', 'm')} AS b, {joined('m + 1', 'n')} AS c FROM c),
+      o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN {before} || a || {after} || c || {inner} || b ELSE {after} || c || {before} || a || {inner} || b END AS out FROM s),
+      r AS (SELECT *, string_split_regex(out, '{mark}') AS x FROM o)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars, sha256(out) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN out WHEN 'psm' THEN x[2] || x[4] || x[3] ELSE x[3] || x[4] || x[2] END) AS restored_sha256 FROM r"""
+
+
+def _benchmark() -> str:
+    upper, word, span = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", winnowing.SPAN
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{word}')"
+    window = lambda i, k: f"array_to_string(list_slice(w, {i}, {i} + {k} - 1), ' ')"
+    return f"""WITH b AS (SELECT item_id, {words} AS w FROM benchmark),
+      bw AS (SELECT DISTINCT item_id, least(len(w), {span}) AS k, {window('i', f'least(len(w), {span})')} AS win FROM (SELECT *, unnest(range(1, greatest(len(w) - {span} + 1, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+      d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+      dw AS (SELECT r, i, k, {window('i', 'k')} AS win FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)),
+      h AS (SELECT r, i, dw.k, item_id FROM dw JOIN bw ON bw.win = dw.win AND bw.k = dw.k),
+      n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM h) GROUP BY r),
+      t AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)) AS items FROM h GROUP BY r)
+      SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+      FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN t ON t.r = d.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _secrets(), "op4_quality_rules": _quality(), "op5_line_dedup": _lines(), "op6_embedding_near_dedup": _embeddings()}
+    return {"op12_fill_in_middle": _fim(), "op13_benchmark_decontamination": _benchmark(), "op1_secret_scan": _secrets(), "op4_quality_rules": _quality(), "op5_line_dedup": _lines(), "op6_embedding_near_dedup": _embeddings()}

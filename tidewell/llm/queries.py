@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, hmm, html_text, line_dedup, oracles, packing, pii, quality, secrets, simhash
+from . import alignment, bpe, embeddings, fim, hmm, html_text, line_dedup, oracles, packing, pii, quality, secrets, simhash, winnowing
 from .common import table
 
 
@@ -59,6 +59,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), keep_cols=["doc_id"], with_groups=False)
+    return rows.select("doc_id", *[f"__al.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    output, form = F.col("__fim.output"), F.col("__fim.form")
+    hashed = [F.sha2(output, 256).alias("output_sha256"), F.sha2(fim.restore(output, form), 256).alias("restored_sha256")]
+    return rows.select("doc_id", *[f"__fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars")], *hashed)
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep_cols=["doc_id"])
+    items = F.col("__bd.items")
+    return rows.select("doc_id", "__bd.n_words", "__bd.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("__bd.n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
