@@ -1,13 +1,14 @@
 """SimHash near-duplicates, linked through vantage-point trees over Hamming distance.
 
 A ``Kind`` says how texts become fingerprints and when two of them link.  ``NARROW`` has 64 bits over shingles of four words and
-links at 4 or fewer differing bits.  ``WIDE`` has 256 bits over the set of a text's shingles of five words and links at 45 or fewer: differing
+links at 4 or fewer differing bits.  ``WIDE`` has 256 bits over the set of a text's shingles of five words and links at 52 or fewer: differing
 bits follow the angle between the shingle sets, so that 39 are expected at a Jaccard similarity of 0.8 and 128 for unrelated texts.
+Links of WIDE are candidates: ``keep_one`` compares the shingle sets of both texts and drops those below ``SIMILARITY``.
 
 A fingerprint is cut into words.  If two fingerprints link, some word of theirs is likely to differ by ``reach`` bits at most, so
 there is one vantage-point tree per word, searched with that radius, and the full distance then decides.  NARROW has two words
 and reach 2, which misses nothing (4 bits can't put 3 into both halves).  WIDE has sixteen words and reach 1, which misses
-nothing up to 31 differing bits and about 1 pair in 200 at 39.  Searching words matters: distances between whole random fingerprints
+nothing up to 31 differing bits, about 1 pair in 200 at 39 and 1 in 25 at 52.  Searching words matters: distances between whole random fingerprints
 all lie so near to half the bits that a radius hardly prunes.
 
 The trees are grown on the driver from a bounded sample of fingerprints and only steer where
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, discard, forest, materialise, packed_in, ship
+from .common import connected_components, discard, forest, materialise, packed_in, quoted, ship
 
 SEED, LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 42, 1024, 32, 262_144, 524_288, 32768
 #: Rows and columns compared at once inside a leaf.
@@ -42,13 +43,20 @@ BLOCK_ROWS, BLOCK_COLS = 256, 1024
 
 
 class Kind(NamedTuple):
-    """Fingerprints (8 * ``longs`` bytes, highest bit first), cut into words of ``bits`` bits, linked at ``radius`` or fewer differing bits."""
+    """Fingerprints (8 * ``longs`` bytes, highest bit first), cut into words of ``bits`` bits, linked at ``radius`` or fewer differing bits.
+
+    Links are sought at each of ``steps`` in turn, the last of which is the radius, so that the spanning forest prefers near ones.
+    """
 
     fingerprint: Callable[[str | None], bytes]
     longs: int
     bits: int
     reach: int
-    radius: int
+    steps: tuple[int, ...]
+
+    @property
+    def radius(self) -> int:
+        return self.steps[-1]
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> bytes:
@@ -80,11 +88,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5, longs: int = 4) -> bytes:
-    """256 bits over the set of shingles; fewer words are one shingle; zero for a null text or one without words."""
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The hashes of a text's different shingles, in order; fewer words are one shingle; none for a null text or one without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8 * longs)
+        return np.zeros(0, np.uint64)
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for w in words])
     each = np.array([xxhash.xxh64_intdigest(w, SEED) for w in number], np.uint64)[ids]
@@ -92,7 +100,14 @@ def wide_fingerprint(text: str | None, shingle: int = 5, longs: int = 4) -> byte
     h = np.zeros(n, np.uint64)
     for k in range(min(shingle, len(words))):
         h = _mixed(h + np.uint64(0x9E3779B97F4A7C15)) ^ each[k : k + n]
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def wide_fingerprint(text: str | None, shingle: int = 5, longs: int = 4) -> bytes:
+    """256 bits over the set of shingles; zero for a text without words."""
+    h = shingle_set(text, shingle)
+    if not len(h):
+        return bytes(8 * longs)
     counts = np.zeros(64 * longs, np.int64)
     for at in range(0, len(h), 255 * 32):
         some = h[at : at + 255 * 32]
@@ -103,8 +118,10 @@ def wide_fingerprint(text: str | None, shingle: int = 5, longs: int = 4) -> byte
     return np.packbits(2 * counts > len(h)).tobytes()
 
 
-NARROW = Kind(fingerprint, 1, 32, 2, 4)
-WIDE = Kind(wide_fingerprint, 4, 16, 1, 45)
+NARROW = Kind(fingerprint, 1, 32, 2, (4,))
+WIDE = Kind(wide_fingerprint, 4, 16, 1, (26, 39, 52))
+#: Least share of common shingles in all shingles of two near-duplicates, as a fraction.
+SIMILARITY = (4, 5)
 
 
 def fingerprint_column(kind: Kind, text: Column) -> Column:
@@ -188,14 +205,16 @@ def leaf_links(bits: np.ndarray, words: np.ndarray, home: np.ndarray, kind: Kind
     """Links of home rows with each other and with the rest whose words lie within reach, thinned to a spanning forest: index pairs."""
     label, out = np.arange(len(words)), []
     edges = [kind.bits * k // (kind.reach + 1) for k in range(kind.reach + 2)]
+    groups = []
     for low, high in zip(edges[:-1], edges[1:]):
         key = (words >> words.dtype.type(low)) & words.dtype.type((1 << (high - low)) - 1)
         order = np.lexsort((~home, key))
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            group = order[a:b]
+        groups += [order[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()) if b - a > 1]
+    for radius in kind.steps:
+        for group in groups:
             n_home = int(home[group].sum())
-            for i in range(0, n_home if b - a > 1 else 0, BLOCK_ROWS):
+            for i in range(0, n_home, BLOCK_ROWS):
                 rows = group[i : min(n_home, i + BLOCK_ROWS)]
                 for j in range(i, len(group), BLOCK_COLS):
                     cols = group[j : j + BLOCK_COLS]
@@ -203,7 +222,7 @@ def leaf_links(bits: np.ndarray, words: np.ndarray, home: np.ndarray, kind: Kind
                     near &= label[rows][:, None] != label[cols][None, :]
                     x, y = np.nonzero(near)
                     x, y = rows[x], cols[y]
-                    close = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= kind.radius
+                    close = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= radius
                     if close.any():
                         out += forest(x[close], y[close], label)
     return out
@@ -261,7 +280,36 @@ def linked_fingerprints(distinct: DataFrame, kind: Kind) -> DataFrame:
     return links
 
 
-def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> tuple[DataFrame, DataFrame]:
+def alike(a: str | None, b: str | None) -> bool:
+    """Whether two texts' shingle sets have ``SIMILARITY`` or more in common; texts without shingles are alike."""
+    x, y = shingle_set(a), shingle_set(b)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common * SIMILARITY[1] >= (len(x) + len(y) - common) * SIMILARITY[0]
+
+
+def confirmed(links: DataFrame, nodes: DataFrame, marked: DataFrame, text_col: str) -> DataFrame:
+    """The ``links(u, v)`` between whose texts ``alike`` holds; a node's text is that of its first row.  A written table.
+
+    Texts go to the links that name them, by joins; a text with many links comes along with each of them.
+    """
+    pairs = materialise(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "simhash-pairs")
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes.select("node", F.col("first.rid").alias("__sim_rid")), "node")
+    texts = materialise(marked.select("__sim_rid", F.col(text_col).alias("text")).join(ends.hint("merge"), "__sim_rid").select("node", "text"), "simhash-texts")
+
+    def run(batches):
+        for a, b in batches:
+            yield pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    of = lambda side: texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+    both = pairs.join(of("u").hint("merge"), "u").join(of("v").hint("merge"), "v")
+    kept = materialise(both.where(F.pandas_udf(run, T.BooleanType())("text_u", "text_v")).select("u", "v"), "simhash-confirmed")
+    for done in (pairs, texts):
+        discard(done)
+    return kept
+
+
+def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind, confirm: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs`` as a table with fingerprint and row number, and the distinct fingerprints: bits, root, least id, and the row that stays first."""
     ship(docs.sparkSession)
     marked = materialise(docs.withColumns({"__sim_fp": fingerprint_column(kind, F.col(text_col)), "__sim_rid": F.monotonically_increasing_id()}), "simhash-docs")
@@ -270,6 +318,9 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind) -> tuple[
     rows = marked.count()
     nodes = materialise(packed_in(nodes, rows).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     links = linked_fingerprints(nodes.select("node", "bits"), kind)
+    if confirm:
+        candidates, links = links, confirmed(links, nodes, marked, text_col)
+        discard(candidates)
     found = connected_components(links, "simhash")
     rooted = nodes.join(found, "node", "left").select("bits", "least", "first", F.coalesce("component", "node").alias("root"))
     rooted = materialise(packed_in(rooted, rows), "simhash-roots")
@@ -295,11 +346,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = WIDE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null ids last) stays.
 
+    Components are those of links that ``confirmed`` has compared in full: a chain of such links joins every row that goes to the one that stays.
     Null, empty and wordless texts count as copies of each other, so one of them stays.  Which row stays is settled without the
     texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list grows with the documents, so it is never broadcast.
     """
-    marked, rooted = _classify(docs, id_col, text_col, kind)
+    marked, rooted = _classify(docs, id_col, text_col, kind, confirm=True)
     stays = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__sim_rid"))
     stays = materialise(packed_in(stays, marked.count()), "simhash-stays")
     discard(rooted)
-    return marked.join(stays.hint("merge"), "__sim_rid", "left_semi").select(*docs.columns)
+    return marked.join(stays.hint("merge"), "__sim_rid", "left_semi").select(*quoted(docs.columns))
