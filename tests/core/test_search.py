@@ -38,37 +38,98 @@ def plain_scores(chunks, queries):
     return out
 
 
-@pytest.mark.parametrize("block, rows", [(512, 512), (2, 7)])
-def test_scores_against_plain_python(spark, monkeypatch, texts, block, rows):
-    monkeypatch.setattr(bm25, "BLOCK_QUERIES", block)
-    monkeypatch.setattr(bm25, "ROWS", rows)
-    queries = [(1, "oak1 oak1 pine2"), (2, "birch0_cedar1 and élan"), (3, "nothing here"), (4, ""), (5, "oak1_oak2 a_b willow3")]
-    q, c = spark.createDataFrame(queries, "qid long, text string"), spark.createDataFrame(texts, "rowid long, content string").withColumn("type", F.when(F.col("rowid") % 2 == 0, "a").otherwise("b"))
+ASKED = [(1, "oak1 oak1 pine2"), (2, "birch0_cedar1 and élan"), (3, "nothing here"), (4, ""), (5, "oak1_oak2 a_b willow3"), (6, "oak1 oak2 oak3 pine0 pine1 pine2 elder0 elder1 fir0 fir3 oak1_pine2")]
+
+
+def check_search(spark, source, texts, queries=ASKED, allowed=None):
     want = plain_scores(texts, queries)
-    got = {(r["qid"], r["rowid"]): r["score"] for r in bm25.fts_scores(q, c).collect()}
+    q = spark.createDataFrame(queries, "qid long, text string")
+    got = {(r["qid"], r["rowid"]): r["score"] for r in bm25.fts_scores(q, source).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
-    for allowed in (None, F.col("type") == "a"):
+    for only in (None, allowed) if allowed is not None else (None,):
         top = {}
-        for r in bm25.search_fts(q, c, 4, allowed=allowed).collect():
+        for r in bm25.search_fts(q, source, 4, allowed=only).collect():
             top.setdefault(r["qid"], []).append((r["rank"], r["rowid"]))
         for n, _ in queries:
-            ranked = sorted((round(s, 6), i) for (k, i), s in want.items() if k == n and (allowed is None or i % 2 == 0))
+            ranked = sorted((round(s, 6), i) for (k, i), s in want.items() if k == n and (only is None or i % 2 == 0))
             assert sorted(top.get(n, [])) == [(k + 1, i) for k, (_, i) in enumerate(ranked[:4])]
+
+
+@pytest.mark.parametrize("first, slab, rows", [(20_000, 4096, 500_000), (5, 16, 500_000), (1, 7, 0)])
+def test_scores_against_plain_python(spark, monkeypatch, texts, first, slab, rows):
+    monkeypatch.setattr(bm25, "FIRST_ROWS", first)
+    for module in (bm25, index):
+        monkeypatch.setattr(module, "SLAB", slab)
+        monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
+    c = spark.createDataFrame(texts, "rowid long, content string").withColumn("type", F.when(F.col("rowid") % 2 == 0, "a").otherwise("b"))
+    check_search(spark, c, texts, allowed=F.col("type") == "a")
+    q = spark.createDataFrame(ASKED, "qid long, text string")
     assert bm25.search_fts(q.limit(0), c).count() == 0 and bm25.search_fts(q, c.limit(0)).count() == 0
 
 
-def test_a_stored_index_gives_the_same(spark, tmp_path, texts):
-    path = str(tmp_path / "index")
-    c = spark.createDataFrame(texts, "rowid long, content string")
-    q = spark.createDataFrame([(1, "oak1 pine2"), (2, "birch0_cedar1")], "qid long, text string")
-    index.write_index(c, path, 3)
-    stored = index.open_index(c, path)
-    assert "regexp_extract_all(lower" not in bm25.tokenised(stored, bm25.FTS)._jdf.queryExecution().optimizedPlan().toString()
-    assert bm25.search_fts(q, stored, 5).collect() == bm25.search_fts(q, c, 5).collect()
-    found = index.lookup(spark, path, ["oak1", "elan", "none"])
-    assert "PushedFilters: [In(term" in found._jdf.queryExecution().executedPlan().toString()
-    want = {(t, i): [k for k, x in enumerate(toks) if x == t] for i, text in texts for toks in [re.findall(r"[a-z0-9]+", (text or "").lower().replace("é", "e"))] for t in ("oak1", "elan") if t in toks}
-    assert {(r["term"], r["rowid"]): r["positions"] for r in found.collect()} == want
+def relation(spark, texts):
+    return spark.createDataFrame(texts, "rowid long, content string")
+
+
+def same_statistics(a, b):
+    assert a.sizes() == b.sizes()
+    assert {tuple(r) for r in a.all_frequencies().collect()} == {tuple(r) for r in b.all_frequencies().collect()}
+
+
+@pytest.mark.parametrize("named, rows", [(1000, 500_000), (0, 500_000), (0, 0)])
+def test_a_stored_index_in_parts_gives_the_same_as_one_of_all(spark, tmp_path, monkeypatch, texts, named, rows):
+    monkeypatch.setattr(index, "NAMED_TERMS", named)
+    for module in (bm25, index):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
+    old = index.write_index(relation(spark, texts), str(tmp_path / "1"))
+    check_search(spark, old, texts, allowed=spark.range(0, 200, 2).withColumnRenamed("id", "rowid"))
+    # Chunks change, go, come, and change again.
+    changed = [(3, "oak1 oak1 pine2 new"), (4, None), (300, "oak1_oak2 willow3 elan")]
+    two = old.add(index.tokens_of(relation(spark, changed)), str(tmp_path / "2"), spark.createDataFrame([(3,), (4,), (5,), (6,)], "rowid long"))
+    three = two.add(index.tokens_of(relation(spark, [(3, "birch0 cedar1")])), str(tmp_path / "3"), spark.createDataFrame([(3,), (300,), (999,)], "rowid long"))
+    for part, now in ((two, {**dict(texts), **dict(changed)}), (three, {**dict(texts), **dict(changed), 3: "birch0 cedar1"})):
+        now = {i: t for i, t in now.items() if i not in (5, 6) and not (part is three and i == 300)}
+        fresh = index.write_index(relation(spark, list(now.items())), str(tmp_path / f"fresh-{len(part.parts)}"))
+        same_statistics(part, fresh)
+        check_search(spark, part, list(now.items()))
+    merged = three.merged(str(tmp_path / "merged"))
+    assert len(merged.parts) == 1
+    same_statistics(merged, fresh)
+    check_search(spark, merged, list(now.items()))
+    # An object names its own parts: what was written later does not change it.
+    check_search(spark, old, texts)
+
+
+def size(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_a_small_write_writes_a_small_part(spark, tmp_path):
+    r = random.Random(4)
+    texts = [(i, prose(r, 60)) for i in range(20_000)]
+    one = index.write_index(relation(spark, texts), str(tmp_path / "1"))
+    new = [(i, prose(r, 60)) for i in range(0, 20_000, 100)]
+    two = one.add(index.tokens_of(relation(spark, new)), str(tmp_path / "2"), spark.createDataFrame([(i,) for i, _ in new], "rowid long"))
+    assert size(tmp_path / "2") < 0.05 * size(tmp_path / "1")
+    assert two.sizes() == one.sizes()
+
+
+def test_a_search_reads_its_terms_postings_alone(spark, tmp_path):
+    r = random.Random(5)
+    # A common vocabulary and, in every text, words of its own.
+    texts = [(i, prose(r, 20) + "".join(f" own{i}x{k}" for k in range(60))) for i in range(4000)]
+    one = index.write_index(relation(spark, texts), str(tmp_path / "1"))
+    asked = spark.createDataFrame([("own7x3",), ("own99x5",)], "term string")
+    blocks = one.blocks(asked)
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#") or "PartitionFilters: [isnotnull(bucket" in plan
+    assert "PushedFilters: [In(term" in plan
+    # The files of the terms' folders are all that is left of the postings.
+    read = {r[0] for r in blocks.select(F.input_file_name()).distinct().collect()}
+    assert 0 < len(read) <= 2
+    assert sum((tmp_path / f.split(f"{tmp_path}/")[1]).stat().st_size for f in read) < 0.25 * size(tmp_path / "1" / "postings")
+    found = {(x["term"], x["rowid"]): x["positions"] for x in index.lookup(one, ["own7x3", "own99x5", "none"]).collect()}
+    assert found == {("own7x3", 7): [23], ("own99x5", 99): [25]}
 
 
 def test_strings_in_texts(spark, monkeypatch):

@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import HashingEmbedder, get_embedder
 from tidewell.operators import store as ops
-from tidewell.sources.snapshots import Store
+from tidewell.operators.index import tokens_of, write_index
+from tidewell.sources import snapshots
+from tidewell.sources.snapshots import Conflict, Store
 
 
 class Counting(HashingEmbedder):
@@ -107,7 +109,7 @@ def test_the_index_is_stored_with_the_chunks(spark, tmp_path):
         s.add_documents([{"id": "a", "content": "rain water for the orchids"}, {"id": "b", "content": "the boiler burns pellets"}])
         q = spark.createDataFrame([(1, "orchids rain"), (2, "boiler")], "qid long, text string")
         got = s.search_fts(q)
-        assert "terms" in s.indexed_chunks().columns
+        assert s.index().sizes() == (2, 9)
         ids = {r["rowid"]: r["id"] for r in s.chunks().collect()}
         assert {(r["qid"], ids[r["rowid"]]) for r in got.collect()} == {(1, "a"), (2, "b")}
 
@@ -127,3 +129,82 @@ def test_facts_follow_a_replaced_source(spark, tmp_path):
     assert prov["f1"]["status"] == "linked" and prov["f1"]["evidence"].startswith("The boiler") and prov["f1"]["absent_since"] is None
     assert prov["f2"]["status"] == "needs_review" and prov["f2"]["evidence"].startswith("The shed key") and prov["f2"]["absent_since"] is not None
     assert "f3" not in prov
+
+
+def files(path):
+    return {str(f.relative_to(path)): f.stat().st_size for f in path.rglob("*.parquet")}
+
+
+def same_as_rebuilt(spark, store, path):
+    fresh = write_index(store.chunks(), str(path))
+    assert store.index().sizes() == fresh.sizes()
+    assert {tuple(r) for r in store.index().all_frequencies().collect()} == {tuple(r) for r in fresh.all_frequencies().collect()}
+    assert {(r.rowid, tuple(r.terms)) for r in store.index().forward().collect()} == {(r.rowid, tuple(r.terms)) for r in tokens_of(store.chunks()).collect()}
+    q = spark.createDataFrame([(1, "word1 word2"), (2, "word7 text")], "qid long, text string")
+    assert sorted(store.search_fts(q).collect()) == sorted(store.search_fts(q).collect())
+
+
+def test_a_write_adds_a_part_and_touches_no_other(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    rows = spark.range(4000).selectExpr("concat('c', id) id", "concat('src', id % 50) source", "if(id % 2 = 0, 'note', 'topic') type", "concat('word', id % 90, ' text number ', id, ' ', repeat(concat('w', id % 700, ' '), 20)) content")
+    assert s.upsert(rows) == 4000 and s.count() == 4000 and s.stats() == {"note": 2000, "topic": 2000}
+    before = files(tmp_path / "s")
+    assert s.upsert(rows.where("substr(id, 2) % 100 = 0").withColumn("content", F.concat("content", F.lit(" changed")))) == 40
+    after = files(tmp_path / "s")
+    assert before.items() <= after.items()
+    # 1 % of the rows: their part is a small share of the store, whose folders of terms it has at least one file in.
+    assert sum(after.values()) - sum(before.values()) < 0.12 * sum(before.values())
+    assert s.count() == 4000 and s.chunks().where("content like '%changed'").count() == 40
+    same_as_rebuilt(spark, s, tmp_path / "i1")
+    assert s.delete_by_source("src7") == 80 and s.count() == 3920
+    # A ledger entry or facts write neither chunks nor index.
+    parts = s._state()["parts"]
+    s.mark_source_indexed("src1", "note", "h", 1)
+    assert s._state()["parts"] == parts and s.is_indexed("src1", "h") and before.items() <= files(tmp_path / "s").items()
+    same_as_rebuilt(spark, s, tmp_path / "i2")
+
+
+def test_of_two_writers_one_fails_and_nothing_is_lost(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert([chunk("a")])
+    late = Store(spark, s.path)
+    seen = late._state()
+    s.upsert([chunk("b")])
+    late._state = lambda: seen
+    with pytest.raises(Conflict):
+        late.upsert([chunk("c")])
+    assert {r["id"] for r in s.chunks().collect()} == {"a", "b"}
+    again = Store(spark, s.path)
+    again.upsert([chunk("c")])
+    assert {r["id"] for r in s.chunks().collect()} == {"a", "b", "c"}
+    # What a reader opened stays readable, and the folder that failed goes with vacuum.
+    named = {p[0] for p in s._state()["parts"]}
+    gone = s.vacuum(older_than_s=-10)
+    assert [x for x in gone if x.startswith("part-")] and not named & set(gone) and s.count() == 3
+
+
+def test_parts_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(snapshots, "MOST_PARTS", 3)
+    s = Store(spark, str(tmp_path / "s"))
+    s.upsert([chunk(f"c{i}", f"word{i % 9} text") for i in range(40)])
+    for k in range(4):
+        s.upsert([chunk(f"c{k}", f"word{k} newer text"), chunk(f"n{k}", "one more", source="other")])
+        if k == 2:
+            assert s.delete_by_source("other") == 3
+        assert len(s._state()["parts"]) <= 3
+    assert s.count() == 41 and len({r["rowid"] for r in s.chunks().collect()}) == 41
+    same_as_rebuilt(spark, s, tmp_path / "i1")
+    s.compact()
+    assert len(s._state()["parts"]) == 1
+    same_as_rebuilt(spark, s, tmp_path / "i2")
+    assert s.count() == 42
+
+
+def test_relations_are_written_masked_and_embedded_by_executors(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), dim=16)
+    token = "ghp_" + "A1b2C3d4E5f6G7h8I9j0K1l2"
+    docs = spark.createDataFrame([(1, f"rotate {token} on monday", '{"password": "abc", "n": 1}'), (2, "plain text", None)], "id long, content string, metadata string")
+    assert s.add_documents(docs, EMB) == 2
+    rows = {r["id"]: r for r in s.chunks().collect()}
+    assert token not in rows["1"]["content"] and "abc" not in rows["1"]["metadata"] and rows["1"]["source"] == "doc/1"
+    assert [float(x) for x in rows["2"]["embedding"]] == pytest.approx(EMB.embed(["plain text"])[0], abs=1e-6)

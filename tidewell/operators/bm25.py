@@ -1,165 +1,148 @@
-"""Two BM25 rankings over a batch of queries: the full-text index's and the in-memory one's.
+"""Two BM25 rankings over a batch of queries: the full-text index's and the in-memory one's, by joins of postings.
 
-The queries are the small side.  A block of them travels with the task as a matrix of weights by phrase and query; each
-batch of chunks is counted into a matrix by chunk and phrase, and their product has all scores.  So no row is made for a
-(query, chunk) pair but the best ones: a batch keeps the best ``k`` per query and all that may tie with the last of them, and the cut over
-all batches follows.  Document frequencies come from a first pass of the same counting.
+A search reads the postings of its queries' phrases alone, from a stored index (``index.Index``) or made in passing of loose chunks.  Of a
+query's phrases each has an upper bound for what it can add to a score.  The strongest ones, up to a number of postings, give scores that the best
+``k`` reach at least; phrases that even together stay below that can't bring a chunk in, so only chunks of the others are
+scored, blocks of postings whose bounds stay below it are left unread, and the weak phrases are looked up for the chunks that may still win.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fts_terms, okapi_tokens, query_words
+from ..tables import materialise
+from .index import BROADCAST_ROWS, SLAB, Index, Loose, slabs
 from .topk import best
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OKAPI_K1, OKAPI_B = 1.5, 0.75
-#: Queries whose weights travel together; chunks counted into one matrix.
-BLOCK_QUERIES, ROWS = 512, 512
+#: Postings of a query's strongest phrases that are scored first.
+FIRST_ROWS = 20_000
+#: Scores are compared to 6 places.
+SLACK = 2e-6
 
 
 class Formula(NamedTuple):
-    """A ranking: its tokens, its constants, and a term's weight by the number of chunks and of those that hold it."""
+    """A ranking: its tokens, its constants, and a phrase's weight by the number of chunks and of those that hold it."""
 
     tokenise: Callable[[Column], Column]
     k1: float
     b: float
-    idf: Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def _ratio(n_docs, df):
-    return (n_docs - df + 0.5) / (df + 0.5)
-
-
-FTS = Formula(fts_terms, K1, B, lambda n, df: np.where(np.log(_ratio(n, df)) <= 0, LEAST_IDF, np.log(_ratio(n, df))))
-OKAPI = Formula(okapi_tokens, OKAPI_K1, OKAPI_B, lambda n, df: np.log(_ratio(n, df) + 1))
-
-
-class Phrases:
-    """The phrases of a block of queries, and how to count them in lists of terms."""
-
-    def __init__(self, rows: list):
-        """``rows`` are (qid, terms, times)."""
-        self.qids = sorted({r[0] for r in rows})
-        place = {q: k for k, q in enumerate(self.qids)}
-        number: dict[tuple, int] = {}
-        self.uses = np.array([(number.setdefault(tuple(terms), len(number)), place[q], times) for q, terms, times in rows], np.int64).reshape(-1, 3)
-        self.n = len(number)
-        self.terms: dict[str, int] = {}
-        self.alone = []
-        self.several: list[tuple[int, list[int]]] = []
-        for phrase, k in number.items():
-            ids = [self.terms.setdefault(t, len(self.terms)) for t in phrase]
-            if len(ids) == 1:
-                self.alone.append((ids[0], k))
-            else:
-                self.several.append((k, ids))
-        self.phrase_of = np.full(len(self.terms) + 1, -1, np.int64)
-        for t, k in self.alone:
-            self.phrase_of[t] = k
-
-    def weights(self, idf: np.ndarray) -> np.ndarray:
-        """By phrase and query."""
-        out = np.zeros((self.n, len(self.qids)))
-        phrase, query, times = self.uses.T
-        np.add.at(out, (phrase, query), times * idf[phrase])
-        return out
-
-    def count(self, lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(list, phrase, occurrences), one row for each phrase in a list of terms."""
-        get = self.terms.get
-        flat = np.array([get(t, -1) for x in lists for t in x], np.int64)
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        found = self.phrase_of[flat]
-        keys = [(row * self.n + found)[found >= 0]]
-        if self.several:
-            order = np.argsort(flat, kind="stable")
-            ordered = flat[order]
-            for k, ids in self.several:
-                at = order[slice(*np.searchsorted(ordered, [ids[0], ids[0] + 1]))]
-                at = at[at + len(ids) <= len(flat)]
-                for j, t in enumerate(ids[1:], 1):
-                    at = at[flat[at + j] == t]
-                at = at[row[at] == row[at + len(ids) - 1]]
-                keys.append(row[at] * self.n + k)
-        key, times = np.unique(np.concatenate(keys), return_counts=True)
-        return key // self.n, key % self.n, times
-
-
-def _frequencies(phrases: Phrases):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, docs, tokens = np.zeros(phrases.n, np.int64), 0, 0
-        for pdf in batches:
-            lists = pdf["terms"].tolist()
-            df += np.bincount(phrases.count(lists)[1], minlength=phrases.n)
-            docs, tokens = docs + len(lists), tokens + sum(map(len, lists))
-        at = np.flatnonzero(df)
-        yield pd.DataFrame({"phrase": np.append(at, [-1, -2]), "n": np.append(df[at], [docs, tokens])})
-
-    return run
-
-
-def _scan(phrases: Phrases, weights: np.ndarray, formula: Formula, avgdl: float, k: int | None):
-    qids, k1, b = np.array(phrases.qids, np.int64), formula.k1, formula.b
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), ROWS):
-                lists, rowid = pdf["terms"].iloc[at : at + ROWS].tolist(), pdf["rowid"].iloc[at : at + ROWS].to_numpy()
-                row, phrase, f = phrases.count(lists)
-                used, col = np.unique(phrase, return_inverse=True)
-                length = np.array([len(x) for x in lists])[row]
-                held = np.zeros((len(lists), len(used)))
-                held[row, col] = f * (k1 + 1) / (f + k1 * (1 - b + b * length / avgdl))
-                scores = held @ weights[used]
-                if k is not None and len(lists) > k:
-                    # Ties are settled on 6 places, over all batches.
-                    least = np.partition(scores, len(lists) - k, axis=0)[len(lists) - k]
-                    r, c = np.nonzero((scores > 0) & (scores >= least[None] - 2e-6))
-                else:
-                    r, c = np.nonzero(scores > 0)
-                yield pd.DataFrame({"qid": qids[c], "rowid": rowid[r], "score": scores[r, c]})
-
-    return run
-
-
-def tokenised(chunks: DataFrame, formula: Formula) -> DataFrame:
-    """(rowid, terms): the stored terms of an index, or those of the content."""
-    if formula is FTS and "terms" in chunks.columns:
-        return chunks.select("rowid", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-    return chunks.select("rowid", formula.tokenise(F.coalesce("content", F.lit(""))).alias("terms"))
-
-
-def _scores(phrases: DataFrame, chunks: DataFrame, formula: Formula, k: int | None, allowed: Column | None = None, whole: DataFrame | None = None) -> DataFrame:
-    """(qid, rowid, score) above zero of ``phrases(qid, terms, times)``, the best ``k`` and possible ties of each batch, or all.
-
-    Statistics are those of ``whole`` (by default ``chunks``), also where ``allowed`` restricts the chunks.
-    """
-    spark = chunks.sparkSession
-    blocks = -(-phrases.select("qid").distinct().count() // BLOCK_QUERIES)
-    found = []
-    for n in range(blocks):
-        mine = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == n)
-        rows = [(r["qid"], r["terms"], r["times"]) for r in mine.orderBy("qid", F.array_join("terms", " ")).collect()]
-        if not rows:
-            continue
-        block = Phrases(rows)
-        sums = tokenised(chunks if whole is None else whole, formula).mapInPandas(_frequencies(block), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect()
-        counts = {r["phrase"]: r["n"] for r in sums}
-        n_docs, avgdl = counts.get(-1, 0), counts.get(-2, 0) / max(counts.get(-1, 0), 1) or 1.0
-        df = np.array([counts.get(p, 0) for p in range(block.n)], np.float64)
-        weights = block.weights(np.where(df > 0, formula.idf(n_docs, df), 0.0))
-        rows_of = chunks if allowed is None else chunks.where(allowed)
-        found.append(tokenised(rows_of, formula).mapInPandas(_scan(block, weights, formula, avgdl, k), "qid long, rowid long, score double"))
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "qid long, rowid long, score double")
+    idf: Callable[[int, Column], Column]
+
+    def part(self, tf: Column, dl: Column, avgdl: float) -> Column:
+        return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(avgdl)))
+
+
+def _ratio(n_docs: int, df: Column) -> Column:
+    return (F.lit(float(n_docs)) - df + 0.5) / (df + 0.5)
+
+
+FTS = Formula(fts_terms, K1, B, lambda n, df: F.when(_ratio(n, df) <= 1, F.lit(LEAST_IDF)).otherwise(F.log(_ratio(n, df))))
+OKAPI = Formula(okapi_tokens, OKAPI_K1, OKAPI_B, lambda n, df: F.log(_ratio(n, df) + 1))
+
+
+def _phrase_blocks(uses: DataFrame, source: Index | Loose, blocks: DataFrame) -> DataFrame:
+    """Blocks of the phrases of several terms: chunks that hold them side by side, ``tf`` times."""
+    phrases = uses.where(F.size("terms") > 1).select("key", "terms").distinct()
+    words = phrases.select("key", F.size("terms").alias("len"), F.posexplode("terms").alias("j", "term"))
+    posts = source.live(blocks.select("part", "term", F.inline("posts")))
+    starts = posts.join(words, "term").select("key", "len", "rowid", "dl", "j", F.explode("at").alias("place"))
+    whole = starts.groupBy("key", "rowid", (F.col("place") - F.col("j")).alias("start")).agg(F.count(F.lit(1)).alias("n"), F.first("len").alias("len"), F.first("dl").alias("dl")).where("n = len")
+    held = whole.groupBy("key", "rowid").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return slabs(held.withColumn("at", F.array().cast("array<int>")), "key")
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, broadcast if their number ``n`` allows it."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
+def _scores(uses: DataFrame, source: Index | Loose, formula: Formula, k: int | None, allowed: DataFrame | None) -> DataFrame:
+    """(qid, rowid, score) above zero of ``uses(qid, terms, times)``: of all chunks, or of those that may be among the best ``k`` of ``allowed(rowid)``, of ``allowed(qid, rowid)`` or of all."""
+    uses = materialise(uses.withColumn("key", F.array_join("terms", "\x01")), "fts-asked")
+    n_docs, n_tokens = source.sizes()
+    avgdl = float(n_tokens) / max(n_docs, 1) or 1.0
+    terms = uses.select(F.explode("terms").alias("term")).distinct()
+    read = source.blocks(terms)
+    if isinstance(source, Loose):
+        read = materialise(read, "fts-blocks")
+    fields = ["part", "key", "slab", "rows", "top_tf", "least_dl", "posts"]
+    single = _few(uses.where(F.size("terms") == 1).select("key").distinct(), uses.count())
+    blocks, known = read.withColumnRenamed("term", "key").select(*fields).join(single, "key", "left_semi"), source.frequencies(terms)
+    df = blocks.groupBy("key").agg(F.sum("rows").alias("df")) if known is None else known.withColumnRenamed("term", "key")
+    if not uses.where(F.size("terms") > 1).isEmpty():
+        # Phrases are made of live postings, so no part is after theirs.
+        several = materialise(_phrase_blocks(uses, source, read).withColumn("part", F.lit(1 << 30)).select(*fields), "fts-phrases")
+        blocks, df = blocks.unionByName(several), df.join(single, "key", "left_semi").unionByName(several.groupBy("key").agg(F.sum("rows").alias("df")))
+
+    bound = formula.part(F.col("top_tf"), F.col("least_dl"), avgdl)
+    tops = blocks.groupBy("key").agg(F.max(bound).alias("top"))
+    weight = F.col("times") * formula.idf(n_docs, F.col("df"))
+    asked = uses.select("qid", "key", "times").join(df, "key").join(tops, "key").select("qid", "key", "df", weight.alias("w"), (weight * F.col("top")).alias("ub"))
+    within = (lambda rows: rows) if allowed is None else (lambda rows: rows.join(allowed, allowed.columns, "left_semi"))
+    if k is None:
+        return _sums(within(_added(blocks, asked, source, formula, avgdl, uses.count())))
+
+    # From the weakest phrase on, what all up to here can add; from the strongest on, how many postings they have.
+    weak = Window.partitionBy("qid").orderBy("ub", F.desc("key"))
+    strong = Window.partitionBy("qid").orderBy(F.desc("ub"), "key")
+    ranked = asked.withColumns({"up_to": F.sum("ub").over(weak), "all": F.sum("ub").over(Window.partitionBy("qid")), "place": F.row_number().over(strong), "so_far": F.sum("df").over(strong)})
+    ranked = materialise(ranked, "fts-weights")
+    n = ranked.count()
+    first = _sums(within(_added(blocks, ranked.where(f"place = 1 or so_far <= {FIRST_ROWS}"), source, formula, avgdl, n)))
+    limits = materialise(_kth(first, k), "fts-limits")
+    ranked = ranked.join(F.broadcast(limits) if n <= BROADCAST_ROWS else limits, "qid", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - SLACK)
+    ranked = materialise(ranked.withColumn("needed", F.col("up_to") >= F.col("least")), "fts-needed")
+    rest = ranked.groupBy("qid").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("ub"))), F.lit(0.0)).alias("rest"), F.first("least").alias("least"))
+    strongest = _sums(within(_added(blocks, ranked.where("needed"), source, formula, avgdl, n, skip=True)))
+    candidates = materialise(strongest.join(_few(rest, n), "qid").where("score + rest >= least"), "fts-candidates")
+    if ranked.where("not needed").isEmpty():
+        return candidates.select("qid", "rowid", "score")
+    nearer = _kth(candidates, k).withColumnRenamed("least", "nearer")
+    candidates = candidates.join(nearer, "qid", "left").where(F.col("score") + F.col("rest") >= F.coalesce("nearer", F.lit(0.0)) - SLACK).select("qid", "rowid", "score")
+    looked = candidates.select("qid", "rowid").join(_few(ranked.where("not needed").select("qid", "key", "w"), n), "qid")
+    some = blocks.join(looked.select("key", F.expr(f"rowid div {SLAB}").alias("slab")).distinct(), ["key", "slab"], "left_semi")
+    posts = source.live(some.select("part", "key", F.inline("posts"))).select("key", "rowid", formula.part(F.col("tf"), F.col("dl"), avgdl).alias("p"))
+    added = looked.join(posts, ["key", "rowid"]).select("qid", "rowid", (F.col("w") * F.col("p")).alias("score"))
+    return _sums(candidates.unionByName(added))
+
+
+def _kth(scores: DataFrame, k: int) -> DataFrame:
+    """(qid, least): the ``k``-th best score of those queries that have as many."""
+    return best(scores, k, F.desc("score")).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+
+
+def _sums(added: DataFrame) -> DataFrame:
+    return added.groupBy("qid", "rowid").agg(F.sum("score").alias("score"))
+
+
+def _added(blocks: DataFrame, asked: DataFrame, source: Index | Loose, formula: Formula, avgdl: float, n: int, skip: bool = False) -> DataFrame:
+    """(qid, rowid, score): what each phrase adds; with ``skip`` without blocks that can't reach the query's ``least``."""
+    cols = ["qid", "key", "w", *["ub", "all", "least"] * skip]
+    each = blocks.join(_few(asked.select(*cols), n), "key")
+    if skip:
+        each = each.where(F.col("w") * formula.part(F.col("top_tf"), F.col("least_dl"), avgdl) + F.col("all") - F.col("ub") >= F.col("least"))
+    posts = source.live(each.select("part", "qid", "w", F.inline("posts")))
+    return posts.select("qid", "rowid", (F.col("w") * formula.part(F.col("tf"), F.col("dl"), avgdl)).alias("score"))
+
+
+def _source(chunks: DataFrame | Index, formula: Formula) -> Index | Loose:
+    return chunks if isinstance(chunks, Index) else Loose(chunks, formula.tokenise)
+
+
+def _allowed(chunks: DataFrame | Index, allowed: Column | DataFrame | None) -> DataFrame | None:
+    """(rowid) of the chunks that may be found, or (qid, rowid); a stored index takes them as a relation, as it has no other columns."""
+    if allowed is None or isinstance(allowed, DataFrame):
+        return allowed
+    if isinstance(chunks, Index):
+        raise TypeError("a stored index needs the allowed chunks as a relation with their rowid")
+    return chunks.where(allowed).select("rowid")
 
 
 def query_phrases(queries: DataFrame, words=query_words) -> DataFrame:
@@ -168,23 +151,27 @@ def query_phrases(queries: DataFrame, words=query_words) -> DataFrame:
     return each.where(F.size("terms") > 0).groupBy("qid", "terms").agg(F.count(F.lit(1)).alias("times"))
 
 
-def fts_scores(queries: DataFrame, chunks: DataFrame, words=query_words, allowed: Column | None = None, k: int | None = None, whole: DataFrame | None = None) -> DataFrame:
-    """(qid, rowid, score) of every chunk that holds a phrase (with ``k``, of those that may be among the best); lower is better."""
-    return _scores(query_phrases(queries, words), chunks, FTS, k, allowed, whole).withColumn("score", -F.col("score"))
+def fts_scores(queries: DataFrame, chunks: DataFrame | Index, words=query_words, allowed: Column | DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """(qid, rowid, score) of every chunk that holds a phrase (with ``k``, of those that may be among the best); lower is better.
+
+    ``chunks`` are a relation with rowid and content, or a stored index; statistics are those of all of them, also where ``allowed`` restricts what is found.
+    """
+    found = _scores(query_phrases(queries, words), _source(chunks, FTS), FTS, k, _allowed(chunks, allowed))
+    return found.withColumn("score", -F.col("score"))
 
 
-def search_fts(queries: DataFrame, chunks: DataFrame, k: int = 5, words=query_words, allowed: Column | None = None) -> DataFrame:
+def search_fts(queries: DataFrame, chunks: DataFrame | Index, k: int = 5, words=query_words, allowed: Column | DataFrame | None = None) -> DataFrame:
     """(qid, rank, rowid, score): the best ``k`` per query; scores equal to 6 places go by rowid."""
     found = fts_scores(queries, chunks, words, allowed, k).withColumn("score", F.round("score", 6))
     return best(found, k, F.col("score"), F.col("rowid")).select("qid", "rank", "rowid", "score")
 
 
-def okapi_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
-    """(qid, rowid, score) above zero, higher is better; accents count, repeated query terms count again."""
+def okapi_scores(queries: DataFrame, chunks: DataFrame | Index, k: int | None = None) -> DataFrame:
+    """(qid, rowid, score) above zero, higher is better; accents count, repeated query terms count again.  A stored index must be one of ``okapi_tokens``."""
     terms = queries.select("qid", F.explode(okapi_tokens(F.col("text"))).alias("term")).groupBy("qid", F.array("term").alias("terms")).agg(F.count(F.lit(1)).alias("times"))
-    return _scores(terms, chunks, OKAPI, k)
+    return _scores(terms, _source(chunks, OKAPI), OKAPI, k, None)
 
 
-def search_okapi(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+def search_okapi(queries: DataFrame, chunks: DataFrame | Index, k: int = 10) -> DataFrame:
     found = okapi_scores(queries, chunks, k).withColumn("score", F.round("score", 6))
     return best(found, k, F.desc("score"), F.col("rowid")).select("qid", "rank", "rowid", "score")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import header_date, requested_date
-from .bm25 import fts_scores, okapi_scores, search_fts
+from .bm25 import okapi_scores, search_fts
+from .index import Index
 from .topk import best
 from .vector import search_cosine, search_l2
 
@@ -58,18 +59,20 @@ def dated_rowids(chunks: DataFrame, dates: DataFrame) -> DataFrame:
     return headed.join(dates, headed["day"] == dates["date"]).select("qid", "rowid")
 
 
-def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5, pool: int = POOL, rrf_k: int = RRF_K, recency_weight: float = RECENCY, importance_weight: float = IMPORTANCE, allowed: Column | None = None, vectors: bool = True, dated: bool = False) -> DataFrame:
+def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5, pool: int = POOL, rrf_k: int = RRF_K, recency_weight: float = RECENCY, importance_weight: float = IMPORTANCE, allowed: Column | None = None, vectors: bool = True, dated: bool = False, index: Index | None = None) -> DataFrame:
     """Vector and full-text lists of depth ``pool`` fused, with recency and importance as small bonuses; one row per hit.
 
     ``queries`` has qid, text and embedding.  With ``dated``, a query that names one session date ranks the chunks
-    of that session first, by their own fusion.  Equal scores keep vector hits first.
+    of that session first, by their own fusion.  Equal scores keep vector hits first.  ``index`` is the stored index of the chunks, where there is one.
     """
     vec = search_l2(queries.where("embedding is not null"), chunks, pool, allowed) if vectors else None
-    fused = _fused(vec, search_fts(queries, chunks, pool, allowed=allowed), rrf_k).withColumn("session_date_match", F.lit(False))
+    may = None if allowed is None else chunks.where(allowed).select("rowid")
+    words = chunks if index is None else index
+    fused = _fused(vec, search_fts(queries, words, pool, allowed=may), rrf_k).withColumn("session_date_match", F.lit(False))
     if dated:
         dates = queries.select("qid", requested_date(F.col("text")).alias("date")).where("date is not null")
         hits = dated_rowids(chunks, dates)
-        restricted = _restricted(queries, chunks, hits, pool, rrf_k, vectors).withColumn("session_date_match", F.lit(True))
+        restricted = _restricted(queries, chunks, words, hits, pool, rrf_k, vectors).withColumn("session_date_match", F.lit(True))
         fused = fused.join(restricted.select("qid", "rowid"), ["qid", "rowid"], "left_anti").unionByName(restricted)
     rows = fused.join(chunks.select("rowid", "id", "source", "type", "content", "mtime", "metadata"), "rowid").join(queries.select("qid", F.col("text").rlike(TEMPORAL).alias("temporal")), "qid")
     rows = rows.withColumns({"recency_score": recency(F.col("mtime"), F.col("metadata"), F.lit(now)), "importance_score": importance(F.col("metadata"))})
@@ -80,11 +83,9 @@ def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5,
     return best(rows, k, F.desc("session_date_match"), F.desc("final_score"), place, F.col("rowid")).drop("temporal")
 
 
-def _restricted(queries: DataFrame, chunks: DataFrame, hits: DataFrame, pool: int, rrf_k: int, vectors: bool) -> DataFrame:
+def _restricted(queries: DataFrame, chunks: DataFrame, words: DataFrame | Index, hits: DataFrame, pool: int, rrf_k: int, vectors: bool) -> DataFrame:
     """The fusion of both searches over each query's own set of chunks; statistics stay those of the whole index."""
-    own_chunks = chunks.join(hits.select("rowid").distinct(), "rowid", "left_semi")
-    fts = fts_scores(queries, own_chunks, whole=chunks).join(hits, ["qid", "rowid"], "left_semi").withColumn("score", F.round("score", 6))
-    fts = best(fts, pool, F.col("score"), F.col("rowid"))
+    fts = search_fts(queries, words, pool, allowed=hits)
     vec = None
     if vectors:
         from ..functions.vectors import l2

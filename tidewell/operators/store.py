@@ -50,19 +50,27 @@ def consecutive(rows: DataFrame, order: str, after: int, slab: int = SLAB_ROWS)
     return cut.withColumn("rowid", (start + place).cast("long")).drop("__slab")
 
 
-def upsert(store: DataFrame, batch: DataFrame, dim: int | None = None, redact: bool = True) -> DataFrame:
-    """``store`` after ``batch`` (with ``batch_seq``): the last row of an id wins, keeps the stored rowid and created_at; without a vector the old one goes."""
+def changes(store: DataFrame, batch: DataFrame, dim: int | None = None, redact: bool = True, top: int | None = None) -> DataFrame:
+    """The rows that ``batch`` (with ``batch_seq``) brings: the last row of an id wins, keeps the stored rowid and created_at; without a vector the old one goes.
+
+    New ids take rowids after ``top``, by default the store's largest one, in order of arrival.
+    """
     rows = keep_last(checked(batch, dim), "id", "batch_seq")
     content = mask(F.col("content")) if redact else F.col("content")
     rows = rows.withColumn("content", content).withColumn("content_hash", F.coalesce(F.col("content_hash") if "content_hash" in rows.columns else F.lit(None).cast("string"), content_hash(F.col("content"))))
     old = store.select("id", F.col("rowid").alias("__rowid"), F.col("created_at").alias("__created"))
     new = rows.drop("rowid").join(old, "id", "left")
-    # New rowids go on from the largest one in order of arrival; only rows that are new to the store are numbered.
-    top = store.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]
+    # Only rows that are new to the store are numbered.
+    top = store.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0] if top is None else top
     numbered = consecutive(new.where("__rowid is null"), "batch_seq", top)
     kept = new.where("__rowid is not null").withColumn("rowid", F.col("__rowid"))
     merged = kept.unionByName(numbered.select(*kept.columns)).withColumn("created_at", F.coalesce("__created", "created_at"))
-    return store.join(rows.select("id"), "id", "left_anti").unionByName(merged.select(*store.columns))
+    return merged.select(*store.columns)
+
+
+def upsert(store: DataFrame, batch: DataFrame, dim: int | None = None, redact: bool = True) -> DataFrame:
+    """``store`` after ``batch``, see ``changes``."""
+    return store.join(batch.select("id"), "id", "left_anti").unionByName(changes(store, batch, dim, redact))
 
 
 def delete_source(store: DataFrame, source: str) -> DataFrame:

@@ -206,7 +206,13 @@ def _rows(rows: list[tuple], cols: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS t({cols})"
 
 
+def _written() -> str:
+    return f"""arrived AS (SELECT row_number() OVER (ORDER BY doc_id) AS rowid, 'd' || doc_id AS id, source, lang AS type, text || CASE WHEN doc_id % 100 = 0 THEN ' revised edition' ELSE '' END AS text FROM documents),
+      written AS (SELECT rowid, id, source, type, {_mask('text')} AS content FROM arrived WHERE source <> 'src3')"""
+
+
 def oracle_sql() -> dict[str, str]:
+    written = f"WITH {_written()}, {QUERIES}, {_index(chunks='written')}"
     base = f"WITH {CHUNKS}, {QUERIES}, {_index()}"
     out = {
         "fts_terms": f"WITH {CHUNKS}, {QUERIES}, {_index()} SELECT term, CAST(sum(f) AS BIGINT) AS n, count(*) AS df FROM tf GROUP BY term ORDER BY n DESC, term LIMIT 100",
@@ -227,6 +233,10 @@ def oracle_sql() -> dict[str, str]:
         "store_upsert_keep_last": f"WITH {CHUNKS}, {STORE}, {BATCH}, {_upsert('store', 'batch')}",
         "store_replace_source": f"WITH {CHUNKS}, {STORE}, {BATCH}, left_store AS (SELECT * FROM store WHERE source <> 'src3'), new AS (SELECT * FROM batch WHERE source = 'src3' AND batch_seq % 3 = 0), {_upsert('left_store', 'new')}",
         "store_delete_source": f"WITH {CHUNKS}, {STORE} SELECT rowid, id, source, type, length(content) AS n_chars, content_hash, created_at, embedding IS NOT NULL AS has_vector FROM store WHERE source <> 'src3'",
+        "store_written": f"WITH {_written()} SELECT rowid, id, source, type, length(content) AS n_chars, sha256(content) AS content_hash FROM written",
+        "bm25_after_writes": written + " " + _top("scores", 10, "score, rowid", "qid, @, rowid, score"),
+        "bm25_after_writes_filtered": written + " " + _top("(SELECT scores.* FROM scores JOIN written USING (rowid) WHERE type = 'de')", 10, "score, rowid", "qid, @, rowid, score"),
+        "fts_stats_after_writes": written + " SELECT n_docs, (SELECT CAST(sum(f) AS BIGINT) FROM tf) AS n_tokens, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM tf) AS n_postings FROM stat",
         "vectors_by_hash": f"WITH {CHUNKS}, {STORE} SELECT content_hash, round(arg_max(embedding, rowid)[1]::DOUBLE, 6) AS first_value FROM store WHERE embedding IS NOT NULL GROUP BY 1",
         "embed_missing": f"WITH {CHUNKS}, {STORE}, {BATCH} SELECT sha256(content) IN (SELECT content_hash FROM store WHERE embedding IS NOT NULL) AS reused, count(*) AS n FROM batch GROUP BY 1",
         "source_ledger": f"WITH {CHUNKS}, {STORE}, {LEDGER} SELECT * FROM ledger",

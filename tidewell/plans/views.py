@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import fts_terms
+from ..operators.index import Index, write_index
 from ..operators.strings import occurrences
+from ..sources.snapshots import Store
+from ..tables import shared_dir
 
 #: The fixed "now" of all time-dependent queries: 2026-01-01 00:00:00 UTC.
 NOW = 1767225600.0
@@ -22,6 +28,46 @@ def chunks(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("rowid"), F.concat(F.lit("d"), "doc_id").alias("id"), "source", F.col("lang").alias("type"), F.col("text").alias("content"), mtime.alias("mtime"))
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def text_index(spark, sf_dir, tokenise=fts_terms) -> Index:
+    """The stored full-text index of ``chunks``: written by the first query that asks for it, read by all later ones of the application while the table's files are the same."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, tokenise.__name__, _files(docs))
+    if key not in _indexes:
+        _indexes[key] = write_index(chunks(spark, sf_dir), f"{shared_dir(spark)}/tidewell-text-index-{uuid.uuid4().hex}", tokenise)
+    return _indexes[key]
+
+
+_stores: dict[tuple, Store] = {}
+
+
+def written_store(spark, sf_dir) -> Store:
+    """A store of the documents on disk, masked, after three writes: all of them, every hundredth one anew with an end mark, and without the chunks of one source.
+
+    Written by the first query that asks for it, like ``text_index``.
+    """
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, _files(docs))
+    if key not in _stores:
+        store = Store(spark, f"{shared_dir(spark)}/tidewell-store-{uuid.uuid4().hex}")
+        rows = docs.select(F.concat(F.lit("d"), "doc_id").alias("id"), "source", F.col("lang").alias("type"), F.col("text").alias("content"), F.col("doc_id").alias("batch_seq"))
+        store.upsert(rows)
+        store.upsert(rows.where("batch_seq % 100 = 0").withColumn("content", F.concat("content", F.lit(" revised edition"))))
+        store.delete_by_source("src3")
+        _stores[key] = store
+    return _stores[key]
+
+
+def _files(df: DataFrame) -> frozenset:
+    """Path, length and time of each of a table's files."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    found = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    return frozenset((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+
+
 def queries(spark, sf_dir) -> DataFrame:
     """benchmark items as queries, whole."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("kind"))

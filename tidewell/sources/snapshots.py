@@ -1,4 +1,10 @@
-"""The store on disk: Parquet snapshots and a pointer file, so that a replacement is seen whole or not at all."""
+"""The store on disk: parts that are written once, and numbered manifests that name them.
+
+A write makes one part, of the chunks that it brings with their full-text index and the rowids that it replaces or deletes, and then the
+next manifest; parts before it are not touched, so a write costs what it changes.  A manifest is put in place under its number by a rename
+that does not overwrite: of two writers that start from the same one, the second fails with ``Conflict`` and nothing of it shows, and readers see the old or the new
+state whole, at every moment.  Parts add up: when there are more than ``MOST_PARTS``, the last ones become one.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +12,25 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.masking import clean_metadata
-from ..functions.vectors import Embedder
-from ..operators import bm25, index
+from ..functions.masking import clean_metadata, mask, record_udf
+from ..functions.vectors import Embedder, embed_udf
+from ..operators import bm25
 from ..operators import facts as fact_ops
 from ..operators import store as ops
+from ..operators.index import Index, Part, tokens_of
+
+#: Parts that a store may have; how many times the chunks of those merged the part before them has at least.
+MOST_PARTS, FAN = 8, 4
+_STORED = "part int, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.CHUNKS)
+
+
+class Conflict(RuntimeError):
+    """Another writer has moved the store on since this write began; nothing of it is in the store."""
 
 
 class Store:
@@ -27,16 +43,17 @@ class Store:
         self.spark, self.path, self.read_only, self.redact = spark, path.rstrip("/"), read_only, redact
         jvm = spark._jvm
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        self._fs = self._at("x").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        pointer = self._pointer()
-        if pointer is None:
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._at("x").getFileSystem(self._conf)
+        state = self._state()
+        if state is None:
             if read_only:
                 raise FileNotFoundError(path)
-            self._commit(spark.createDataFrame([], schema.CHUNKS), spark.createDataFrame([], schema.SOURCES), dim)
-        elif dim is not None and pointer["dim"] not in (None, dim):
-            raise ValueError(f"the store has vectors of {pointer['dim']} numbers, not {dim}")
-        elif dim is not None and pointer["dim"] is None and not read_only:
-            self._point(pointer | {"dim": dim})
+            self._commit(None, dim=dim)
+        elif dim is not None and state["dim"] not in (None, dim):
+            raise ValueError(f"the store has vectors of {state['dim']} numbers, not {dim}")
+        elif dim is not None and state["dim"] is None and not read_only:
+            self._commit(state, dim=dim)
 
     def close(self) -> None:
         pass
@@ -47,69 +64,150 @@ class Store:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def _pointer(self) -> dict | None:
-        at = self._at("CURRENT")
-        if not self._fs.exists(at):
+    def _numbers(self) -> list[int]:
+        at = self._at("manifests")
+        return sorted(int(f.getPath().getName().split(".")[0]) for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json")) if self._fs.exists(at) else []
+
+    def _state(self) -> dict | None:
+        """The newest manifest."""
+        numbers = self._numbers()
+        if not numbers:
             return None
-        stream = self._fs.open(at)
+        stream = self._fs.open(self._at(f"manifests/{numbers[-1]:012}.json"))
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _point(self, to: dict) -> None:
-        name = f".CURRENT-{uuid.uuid4().hex}"
-        out = self._fs.create(self._at(name), True)
-        out.write(bytearray(json.dumps(to).encode()))
+    def _commit(self, before: dict | None, **changed) -> None:
+        """Put the manifest after ``before`` in place, if no other has come since."""
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        state = {"number": 0, "dim": None, "parts": [], "top": 0, "sources": None, "facts": None} | (before or {}) | changed
+        state["number"] += 1
+        own = self._at(f"manifests/.{uuid.uuid4().hex}")
+        out = self._fs.create(own, False)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(self._at(name), self._at("CURRENT"))
+        jvm = self.spark._jvm
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("x").toUri() if self._at("x").toUri().getScheme() else self._fs.getUri(), self._conf).rename(self._fs.makeQualified(own), self._fs.makeQualified(self._at(f"manifests/{state['number']:012}.json")), none)
+        except Py4JJavaError as e:
+            self._fs.delete(own, False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass()):
+                raise Conflict(f"the store has moved on from state {state['number'] - 1}") from None
+            raise
+
+    def _new(self, kind: str) -> str:
+        return f"{self.path}/{kind}-{uuid.uuid4().hex}"
+
+    def _index(self, state: dict) -> Index:
+        return Index(self.spark, [Part(f"{self.path}/{p[0]}", *p[1:]) for p in state["parts"]])
 
-    def _commit(self, chunks: DataFrame, sources: DataFrame, dim: int | None, facts: DataFrame | None = None, provenance: DataFrame | None = None) -> None:
-        """Write a whole new snapshot with its index, then move the pointer; whatever fails before that leaves the old one in place.  Facts stay as they are unless given."""
+    def _listed(self, index: Index) -> list[list]:
+        return [[p.path.rsplit("/", 1)[1], *p[1:]] for p in index.parts]
+
+    def _chunks(self, index: Index) -> DataFrame:
+        return index.live(index._read("chunks", _STORED)).select(*schema.CHUNKS.names)
+
+    def _put_part(self, state: dict, rows: DataFrame | None, gone: DataFrame | None, **changed) -> None:
+        """Write ``rows`` as a part, without the chunks ``gone(rowid)`` and those of equal rowids, and move on to it."""
         if self.read_only:
             raise PermissionError("the store is open for reading only")
-        version = uuid.uuid4().hex
-        chunks.select(*schema.CHUNKS.names).write.partitionBy("type").parquet(f"{self.path}/{version}/chunks")
-        sources.write.parquet(f"{self.path}/{version}/sources")
-        index.write_index(self.spark.read.schema(schema.CHUNKS).parquet(f"{self.path}/{version}/chunks"), f"{self.path}/{version}/index")
-        kept = (self._pointer() or {}).get("facts")
-        if facts is not None:
-            facts.select(*schema.FACTS.names).write.parquet(f"{self.path}/{version}/facts")
-            provenance.select(*schema.PROVENANCE.names).write.parquet(f"{self.path}/{version}/provenance")
-            kept = version
-        self._point({"version": version, "dim": dim, "facts": kept})
+        index, path = self._index(state), self._new("part")
+        rows = self.spark.createDataFrame([], schema.CHUNKS) if rows is None else rows
+        seq = max((p.seq for p in index.parts), default=0) + 1
+        rows.select(F.lit(seq).alias("part"), *schema.CHUNKS.names).write.partitionBy("type").parquet(f"{path}/chunks")
+        new = self.spark.read.schema(_STORED).parquet(f"{path}/chunks")
+        again = new.where(F.col("rowid") <= state["top"]).select("rowid")
+        after = index.add(tokens_of(new), path, again if gone is None else again.unionByName(gone.select("rowid")))
+        top = new.agg(F.coalesce(F.max("rowid"), F.lit(0))).first()[0]
+        self._commit(state, parts=self._listed(self._merged(after)), top=max(top, state["top"]), **changed)
+
+    def _merged(self, index: Index) -> Index:
+        """``index`` with its last parts as one where there are more than ``MOST_PARTS``: as many as the part before them outweighs."""
+        if len(index.parts) <= MOST_PARTS:
+            return index
+        n = 2
+        while n < len(index.parts) and index.parts[-n - 1].docs < FAN * sum(max(0, p.docs) for p in index.parts[-n:]):
+            n += 1
+        return self._as_one(index, n)
+
+    def _as_one(self, index: Index, n: int) -> Index:
+        path = self._new("part")
+        late = Index(self.spark, index.parts[-n:])
+        one = index.merged(path, n)
+        self._chunks(late).select(F.lit(one.parts[-1].seq).alias("part"), *schema.CHUNKS.names).write.partitionBy("type").parquet(f"{path}/chunks")
+        return one
+
+    def compact(self) -> None:
+        """Make one part of all."""
+        state = self._state()
+        if len(state["parts"]) > 1:
+            self._commit(state, parts=self._listed(self._as_one(self._index(state), len(state["parts"]))))
+
+    def vacuum(self, older_than_s: float = 7 * 86400.0) -> list[str]:
+        """Delete the folders that the newest state does not name and that are older than ``older_than_s``, and the older manifests; their names."""
+        state, limit = self._state(), (time.time() - older_than_s) * 1000
+        used = {p[0] for p in state["parts"]} | {state["sources"], state["facts"], "manifests"}
+        old = [f.getPath() for f in self._fs.listStatus(self._at("")) if f.getPath().getName() not in used and f.getModificationTime() < limit]
+        old += [f.getPath() for n in self._numbers()[:-1] for f in [self._fs.getFileStatus(self._at(f"manifests/{n:012}.json"))] if f.getModificationTime() < limit]
+        for path in old:
+            self._fs.delete(path, True)
+        return [p.getName() for p in old]
 
     @property
     def dim(self) -> int | None:
-        return self._pointer()["dim"]
+        return self._state()["dim"]
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema(schema.CHUNKS).parquet(f"{self.path}/{self._pointer()['version']}/chunks")
+        return self._chunks(self._index(self._state()))
 
-    def indexed_chunks(self) -> DataFrame:
-        """The chunks with their stored terms, for searches that tokenise nothing."""
-        return index.open_index(self.chunks(), f"{self.path}/{self._pointer()['version']}/index")
+    def index(self) -> Index:
+        """The full-text index of the chunks."""
+        return self._index(self._state())
 
-    def search_fts(self, queries: DataFrame, k: int = 5, **kw) -> DataFrame:
-        return bm25.search_fts(queries, self.indexed_chunks(), k, **kw)
+    def search_fts(self, queries: DataFrame, k: int = 5, words=bm25.query_words, allowed=None) -> DataFrame:
+        """``bm25.search_fts`` on the stored index; a filter on the chunks' columns is read from their Parquet files alone."""
+        state = self._state()
+        index = self._index(state)
+        may = None if allowed is None else self._chunks(index).where(allowed).select("rowid")
+        return bm25.search_fts(queries, index, k, words, may)
 
     def has_facts(self) -> bool:
-        return self._pointer().get("facts") is not None
+        return self._state()["facts"] is not None
 
     def facts(self) -> DataFrame | None:
         """The fact ledger, None where none was put."""
-        return self.spark.read.schema(schema.FACTS).parquet(f"{self.path}/{self._pointer()['facts']}/facts") if self.has_facts() else None
+        return self.spark.read.schema(schema.FACTS).parquet(f"{self.path}/{self._state()['facts']}/facts") if self.has_facts() else None
 
     def provenance(self) -> DataFrame | None:
-        return self.spark.read.schema(schema.PROVENANCE).parquet(f"{self.path}/{self._pointer()['facts']}/provenance") if self.has_facts() else None
+        return self.spark.read.schema(schema.PROVENANCE).parquet(f"{self.path}/{self._state()['facts']}/provenance") if self.has_facts() else None
 
     def put_facts(self, facts: DataFrame, provenance: DataFrame | None = None) -> None:
         none = self.spark.createDataFrame([], schema.PROVENANCE)
-        self._commit(self.chunks(), self.sources(), self.dim, facts, provenance if provenance is not None else self.provenance() if self.has_facts() else none)
+        state = self._state()
+        self._commit(state, facts=self._put_facts(facts, provenance if provenance is not None else self.provenance() if self.has_facts() else none))
+
+    def _put_facts(self, facts: DataFrame, provenance: DataFrame) -> str:
+        if self.read_only:
+            raise PermissionError("the store is open for reading only")
+        path = self._new("facts")
+        facts.select(*schema.FACTS.names).write.parquet(f"{path}/facts")
+        provenance.select(*schema.PROVENANCE.names).write.parquet(f"{path}/provenance")
+        return path.rsplit("/", 1)[1]
 
     def sources(self) -> DataFrame:
-        return self.spark.read.schema(schema.SOURCES).parquet(f"{self.path}/{self._pointer()['version']}/sources")
+        return self._sources(self._state())
+
+    def _sources(self, state: dict) -> DataFrame:
+        return self.spark.read.schema(schema.SOURCES).parquet(f"{self.path}/{state['sources']}") if state["sources"] else self.spark.createDataFrame([], schema.SOURCES)
+
+    def _put_sources(self, sources: DataFrame) -> str:
+        path = self._new("sources")
+        sources.coalesce(1).write.parquet(path)
+        return path.rsplit("/", 1)[1]
 
     def _batch(self, rows: list[dict]) -> DataFrame:
         made = []
@@ -123,16 +221,38 @@ class Store:
             made.append((None, r["id"], r["source"], r["type"], r["content"], None if mtime is None else float(mtime), r.get("content_hash"), meta, time.time(), None if vec is None else [float(x) for x in vec], k))
         return self.spark.createDataFrame(made, _with_seq())
 
-    def upsert(self, rows: list[dict]) -> int:
-        if not rows:
-            return 0
-        dim = self.dim or next((len(r["embedding"]) for r in rows if r.get("embedding") is not None), None)
-        self._commit(ops.upsert(self.chunks(), self._batch(rows), dim, self.redact), self.sources(), dim)
-        return len(rows)
+    def _relation(self, rows: DataFrame) -> DataFrame:
+        """A batch given as a relation: missing columns are null, ``metadata`` is JSON text, the order is that of ``batch_seq`` or else of arrival."""
+        given = rows.withColumn("created_at", F.lit(time.time()))
+        if "batch_seq" not in rows.columns:
+            given = given.withColumn("batch_seq", F.monotonically_increasing_id())
+        if self.redact and "metadata" in rows.columns:
+            given = given.withColumn("metadata", F.when(F.col("metadata").isNotNull(), record_udf([])("metadata")))
+        return given.select(*[(F.col(f.name) if f.name in given.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _with_seq()])
+
+    def upsert(self, rows: list[dict] | DataFrame) -> int:
+        """Write chunks, given as a relation or, where they are few, as a list; the last one of an id wins."""
+        state = self._state()
+        if isinstance(rows, DataFrame):
+            batch, n, dim = self._relation(rows), rows.count(), state["dim"]
+            if dim is None and (first := batch.where("embedding is not null").select(F.size("embedding")).first()):
+                dim = first[0]
+        else:
+            batch, n, dim = self._batch(rows) if rows else None, len(rows), state["dim"] or next((len(r["embedding"]) for r in rows if r.get("embedding") is not None), None)
+        if n:
+            self._put_part(state, ops.changes(self._chunks(self._index(state)), batch, dim, self.redact, state["top"]), None, dim=dim)
+        return n
 
-    def add_documents(self, docs: list[dict], embedder: Embedder | None = None, type_: str = "topic", source_prefix: str = "doc") -> int:
+    def add_documents(self, docs: list[dict] | DataFrame, embedder: Embedder | None = None, type_: str = "topic", source_prefix: str = "doc") -> int:
+        """Write documents, each with a source of its own; those of a relation (id, content, ..) are embedded by the executors."""
         from ..functions.masking import clean
 
+        if isinstance(docs, DataFrame):
+            rows = docs if "source" in docs.columns else docs.withColumn("source", F.concat(F.lit(f"{source_prefix}/"), F.col("id").cast("string")))
+            rows = rows if "type" in docs.columns else rows.withColumn("type", F.lit(type_))
+            if embedder is not None:
+                rows = rows.withColumn("embedding", embed_udf(embedder)(mask(F.col("content")) if self.redact else F.col("content")))
+            return self.upsert(rows)
         rows = [{"source": f"{source_prefix}/{d['id']}", "type": type_, "metadata": {}} | {k: v for k, v in d.items() if v is not None} for d in docs]
         if embedder is not None and rows:
             texts = [clean(r["content"]) if self.redact else r["content"] for r in rows]
@@ -140,29 +260,36 @@ class Store:
         return self.upsert(rows)
 
     def delete_by_source(self, source: str) -> int:
-        n = self.chunks().where(F.col("source") == source).count()
-        self._commit(ops.delete_source(self.chunks(), source), self.sources().where(F.col("source") != source), self.dim)
+        state = self._state()
+        gone = self._chunks(self._index(state)).where(F.col("source") == source).select("rowid")
+        n = gone.count()
+        ledger = self._sources(state).where(F.col("source") != source)
+        self._put_part(state, None, gone, sources=self._put_sources(ledger))
         return n
 
-    def replace_source(self, source: str, type_: str, content_hash: str, rows: list[dict], embedder: Embedder | None = None) -> int:
+    def replace_source(self, source: str, type_: str, content_hash: str, rows: list[dict] | DataFrame, embedder: Embedder | None = None) -> int:
         """The chunks of a source replaced in one step; texts that the store has a vector for are not embedded again.
 
         Where the store has facts, those of the source keep the old text as evidence and are linked to the new chunks, or go to review.
         """
-        from ..functions.masking import mask
-
-        batch = ops.check_source(self._batch(rows), source)
+        state = self._state()
+        batch = ops.check_source(self._relation(rows) if isinstance(rows, DataFrame) else self._batch(rows), source)
         if self.redact:
             batch = batch.withColumn("content", mask(F.col("content")))
         batch = batch.withColumn("content_hash", F.coalesce("content_hash", ops.content_hash(F.col("content"))))
-        dim = self.dim
+        dim, chunks = state["dim"], self._chunks(self._index(state))
         if embedder is not None:
-            batch = ops.embed_missing(batch, ops.vectors_by_hash(self.chunks(), F.lit(source)), embedder).drop("reused")
+            batch = ops.embed_missing(batch, ops.vectors_by_hash(chunks, F.lit(source)), embedder).drop("reused")
             dim = dim or embedder.dim
-        ledger = ops.ledger_upsert(self.sources(), source, type_, content_hash, len(rows), time.time())
-        after = ops.upsert(ops.delete_source(self.chunks(), source), batch.select(*_with_seq().names), dim, self.redact)
-        self._commit(after, ledger, dim, *(self._linked(source, after) if self.has_facts() else ()))
-        return len(rows)
+        n = batch.count()
+        ledger = ops.ledger_upsert(self._sources(state), source, type_, content_hash, n, time.time())
+        left = ops.delete_source(chunks, source)
+        new = ops.changes(left, batch.select(*_with_seq().names), dim, self.redact, state["top"])
+        changed = {"sources": self._put_sources(ledger), "dim": dim}
+        if self.has_facts():
+            changed["facts"] = self._put_facts(*self._linked(source, left.join(new.select("id"), "id", "left_anti").unionByName(new)))
+        self._put_part(state, new, chunks.where(F.col("source") == source).select("rowid"), **changed)
+        return n
 
     def _linked(self, source: str, after: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Facts and their evidence once the chunks of a source are those of ``after``."""
@@ -177,7 +304,8 @@ class Store:
         return linked.withColumn("chunk_id", F.coalesce("__chunk", "chunk_id")).select(*schema.FACTS.names), provenance
 
     def mark_source_indexed(self, source: str, type_: str, content_hash: str, chunk_count: int) -> None:
-        self._commit(self.chunks(), ops.ledger_upsert(self.sources(), source, type_, content_hash, chunk_count, time.time()), self.dim)
+        state = self._state()
+        self._commit(state, sources=self._put_sources(ops.ledger_upsert(self._sources(state), source, type_, content_hash, chunk_count, time.time())))
 
     def source_hash(self, source: str) -> str | None:
         row = self.sources().where(F.col("source") == source).first()
