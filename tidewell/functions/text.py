@@ -32,6 +32,7 @@ this that with from have what when will would could should about there then
 which where while your just into over also than them they their been were does
 """.split()
 
+# The words of a prompt, of the in-memory ranking, and identifiers.
 AMBIENT_WORD = r"[a-zA-ZÀ-ſ0-9_-]{3,}"
 OKAPI_WORD = "[a-zàâäéèêëïîôùûüç0-9]+"
 IDENTIFIER = r"\b[a-zA-Z]+-\d{4,}\b"

@@ -220,7 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "bm25_fts_topk": base + " " + _top("scores", 10, "score, rowid", "qid, @, rowid, score"),
         "bm25_fts_filtered": base + " " + _top("(SELECT scores.* FROM scores JOIN chunks USING (rowid) WHERE type IN ('de', 'fr'))", 10, "score, rowid", "qid, @, rowid, score"),
         "bm25_okapi_topk": f"WITH {CHUNKS}, {QUERIES}, {OKAPI} " + _top("okapi", 10, "score DESC, rowid", "qid, @, rowid, score"),
-        "knn_l2_topk": _knn(), "knn_prefilter_type": _knn("type IN ('1', '2')"), "knn_prefilter_source": _knn("source = 's3'"), "knn_id_prefix": _knn("id ILIKE 'V4_%'"),
+        "knn_l2_topk": _knn(), "knn_pivots_topk": _knn(), "knn_pivots_filtered": _knn("type IN ('1', '2')"), "knn_prefilter_type": _knn("type IN ('1', '2')"), "knn_prefilter_source": _knn("source = 's3'"), "knn_id_prefix": _knn("id ILIKE 'V4_%'"),
         "knn_rowids": _knn("rowid IN (" + ", ".join(map(str, range(0, 200, 9))) + ")"),
         "knn_cosine_topk": f"WITH {VECTORS}, {VQ} " + _top(f"(SELECT qid, rowid, {COS.format(a='e', b='q')} AS similarity FROM vectors, vq)", 5, "similarity DESC, rowid", "qid, @, rowid, similarity"),
         "hybrid_priors": _hybrid(), "hybrid_temporal_query": _hybrid(temporal_only=True), "hybrid_bm25_only": _hybrid(vectors=False), "hybrid_dated": _hybrid(dated=True),
@@ -319,10 +319,10 @@ def _scheduling() -> dict[str, str]:
     ids = [(4, f"sync-{sha('python3 /opt/jobs/sync.py --all')}", "sync"), (5, "rotate", "rotate"), (6, f"echo-{sha('echo hi')}", "echo"), (9, f"backup-{sha('python -m pkg.backup')}", "backup"), (10, "rotate-2", "rotate"),
            (13, f"report-{sha('node /srv/report.js')}", "report"), (14, f"echo-{sha('echo bad')}", "echo"), (29, f"df-{sha('df -h')}", "df")]
     errors = [
-        (14, f"invalid catch-up window (1 to {grammar.MAX_CATCHUP} seconds), default kept: echo bad"), (14, f"invalid adaptive back-off ({grammar.MIN_ADAPTIVE} to {grammar.MAX_ADAPTIVE}), not applied: echo bad"),
-        (14, "dependency target not found: [depends:nothing] in echo bad"), (15, "self-dependency refused: sh self.sh"), (17, "invalid interval: ## Every 0 minutes"), (18, "task without a valid schedule: echo lost"),
-        (20, "invalid time: ## Daily at 25:00"), (21, "invalid weekly schedule: ## Weekly on Someday at 10:00"), (22, "event schedules are not supported by this runner: ## On event: boot"), (23, "unknown schedule heading: ## Every so often"),
-        (25, "task without a valid schedule: echo after notes"), (27, "task line not parsed (missing ` -- ` separator?): - [ ] `echo no separator`"),
+        (14, f"catch-up outside 1 to {grammar.MAX_CATCHUP} seconds is ignored: echo bad"), (14, f"back-off outside {grammar.MIN_ADAPTIVE} to {grammar.MAX_ADAPTIVE} is ignored: echo bad"),
+        (14, "waits for an unknown task: [depends:nothing] in echo bad"), (15, "task that waits for itself: sh self.sh"), (17, "no such interval: ## Every 0 minutes"), (18, "task under no schedule: echo lost"),
+        (20, "no such time of day: ## Daily at 25:00"), (21, "no such day and time: ## Weekly on Someday at 10:00"), (22, "no schedule by events here: ## On event: boot"), (23, "heading without a known schedule: ## Every so often"),
+        (25, "task under no schedule: echo after notes"), (27, "looks like a task but has no ` -- `: - [ ] `echo no separator`"),
     ]
     cols = "line_no, command, schedule_type, schedule_value, uses_tokens, local, interval_seconds, daily_hour, daily_minute, weekly_day, timeout, depends_on, catchup, adaptive, window_s"
     kinds = {"line_no": "INTEGER", "interval_seconds": "BIGINT", "daily_hour": "INTEGER", "daily_minute": "INTEGER", "weekly_day": "INTEGER", "timeout": "BIGINT", "catchup": "BIGINT", "adaptive": "BIGINT", "window_s": "BIGINT"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, masking, text
 from ..functions.vectors import HashingEmbedder, embed_udf
-from ..operators import ambient, bm25, evaluate, facts, fusion, index, rerank, store, vector
+from ..operators import ambient, bm25, evaluate, facts, fusion, index, pivots, rerank, store, vector
 from . import views as v
 
 
@@ -43,6 +43,15 @@ def knn_l2_topk(s, d):
     return vector.search_l2(v.vector_queries(s, d), v.vectors(s, d), 5)
 
 
+def knn_pivots_topk(s, d):
+    """The same from vectors stored by pivot, most of which stay unread where they lie in clusters."""
+    return pivots.search_pivots(v.vector_queries(s, d), v.vector_index(s, d), 5)
+
+
+def knn_pivots_filtered(s, d):
+    return pivots.search_pivots(v.vector_queries(s, d), v.vector_index(s, d), 5, F.col("type").isin("1", "2"))
+
+
 def knn_cosine_topk(s, d):
     return vector.search_cosine(v.vector_queries(s, d), v.vectors(s, d), 5)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fts_terms
 from ..operators.index import Index, write_index
+from ..operators.pivots import Pivots, write_pivots
 from ..operators.strings import occurrences
 from ..sources.snapshots import Store
 from ..tables import shared_dir
@@ -40,6 +41,18 @@ def text_index(spark, sf_dir, tokenise=fts_terms) -> Index:
     return _indexes[key]
 
 
+_pivots: dict[tuple, Pivots] = {}
+
+
+def vector_index(spark, sf_dir) -> Pivots:
+    """The vectors stored by pivot; written once, like ``text_index``."""
+    rows = table(spark, sf_dir, "embeddings")
+    key = (spark.sparkContext.applicationId, sf_dir, _files(rows))
+    if key not in _pivots:
+        _pivots[key] = write_pivots(vectors(spark, sf_dir), f"{shared_dir(spark)}/tidewell-vector-index-{uuid.uuid4().hex}")
+    return _pivots[key]
+
+
 _stores: dict[tuple, Store] = {}
 
 
