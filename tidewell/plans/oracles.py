@@ -258,6 +258,8 @@ def oracle_sql() -> dict[str, str]:
         "object_present": f"""SELECT doc_id, {_present('obj', 'corpus')} AS present FROM (SELECT doc_id, {COMPACT.format('text')} AS corpus,
           CASE doc_id % 4 WHEN 0 THEN 'about 98,4 % of ' || doc_id WHEN 1 THEN substr(text, 5, 20) WHEN 2 THEN 'zzzz yyyy' ELSE '' END AS obj FROM documents)""",
         "requested_date": "SELECT CAST(m AS BIGINT) AS n, date FROM " + _rows([(1, "2026-03-14"), (2, "2026-02-03"), (3, "2026-03-05"), (4, None), (5, None), (6, None), (7, None), (8, "2025-08-01"), (9, "2026-05-05"), (10, None), (11, None)], "m, date"),
+        "requested_dates": "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 3 THEN '2026-03-' || lpad(((conv_id + turn) % 28 + 1)::VARCHAR, 2, '0') END AS date FROM conversations",
+        "header_dates": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR (doc_id % 3 = 1 AND doc_id % 5 <> 0) THEN '2026-05-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') END AS date FROM documents",
         "header_date": "SELECT CAST(m AS BIGINT) AS n, date FROM " + _rows([(1, "2026-03-14"), (2, None), (3, "2026-03-15"), (4, None), (5, None), (6, "2026-01-02"), (7, None)], "m, date"),
         "ambient_tokens": f"SELECT conv_id, turn, array_to_string({_prompt_tokens('text')}, ' ') AS tokens FROM conversations",
         "fold_text": "SELECT doc_id, md5(strip_accents(lower(text))) AS folded_md5 FROM documents",

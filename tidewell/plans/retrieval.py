@@ -273,6 +273,15 @@ def header_date(s, d):
     return rows.select("n", dates.header_date(F.col("type"), F.col("content")).alias("date"))
 
 
+def requested_dates(s, d):
+    """The day that each turn of a conversation asks for."""
+    return v.dated_prompts(s, d).select("conv_id", "turn", dates.requested_date(F.col("text")).alias("date"))
+
+
+def header_dates(s, d):
+    return v.headed_chunks(s, d).select("doc_id", dates.header_date(F.col("type"), F.col("content")).alias("date"))
+
+
 def ambient_tokens(s, d):
     c = v.table(s, d, "conversations")
     return c.select("conv_id", "turn", F.array_join(text.prompt_tokens(F.col("text")), " ").alias("tokens"))

@@ -183,3 +183,26 @@ HEADERS = [
     (1, "session", "Session 3fa9-01 - 2026-03-14 - Rollout\nbody"), (2, "session", "Notes\nSession 3fa9 - 2026-03-14 - x"), (3, "episode", "[session/3fa9]\nSession 3fa9 - 2026-03-15 - x"),
     (4, "episode", "Session 3fa9 - 2026-03-15 - x"), (5, "topic", "Session 3fa9 - 2026-03-15 - x"), (6, "session", "session ABC - 2026-01-02 - y"), (7, "episode", "[session/1]"),
 ]
+
+
+def dated_prompts(spark, sf_dir) -> DataFrame:
+    """conversations as (conv_id, turn, text): each turn with a request after it, in one of six forms by the sum of its numbers: three ask for the session of one day, three don't."""
+    c = table(spark, sf_dir, "conversations")
+    n = F.col("conv_id") + F.col("turn")
+    d = n % 28 + 1
+    two = F.lpad(d.cast("string"), 2, "0")
+    forms = [F.concat(F.lit("the session of 2026-03-"), two), F.concat(F.lit("la session du "), d, F.lit(" mars 2026")), F.concat(F.lit("sessions of March "), d, F.lit("th, 2026")), F.concat(F.lit("sessions after 2026-03-"), two), F.lit("the session of 2026-02-30"), F.concat(F.lit("notes of 2026-03-"), two)]
+    asked = forms[0]
+    for k in range(1, 6):
+        asked = F.when(n % 6 == k, forms[k]).otherwise(asked)
+    return c.select("conv_id", "turn", F.concat_ws(" ", "text", F.lit("--"), asked).alias("text"))
+
+
+def headed_chunks(spark, sf_dir) -> DataFrame:
+    """documents as chunks with a session header: of sessions in the first line, of episodes in the second one after a mark that every fifth lacks, of notes in vain."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    header = F.concat(F.lit("Session "), F.lower(F.hex(n)), F.lit(" - 2026-05-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit(" - notes\n"))
+    kind = F.when(n % 3 == 0, "session").when(n % 3 == 1, "episode").otherwise("note")
+    mark = F.when(n % 3 != 1, "").when(n % 5 == 0, "[other]\n").otherwise(F.concat(F.lit("[session/"), n, F.lit("]\n")))
+    return d.select("doc_id", kind.alias("type"), F.concat(mark, header, F.coalesce("text", F.lit(""))).alias("content"))
