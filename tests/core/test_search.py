@@ -55,8 +55,9 @@ def check_search(spark, source, texts, queries=ASKED, allowed=None):
             assert sorted(top.get(n, [])) == [(k + 1, i) for k, (_, i) in enumerate(ranked[:4])]
 
 
-@pytest.mark.parametrize("first, slab, rows", [(20_000, 4096, 500_000), (5, 16, 500_000), (1, 7, 0)])
-def test_scores_against_plain_python(spark, monkeypatch, texts, first, slab, rows):
+@pytest.mark.parametrize("direct, first, slab, rows", [(50_000_000, 20_000, 4096, 500_000), (0, 5, 16, 500_000), (0, 1, 7, 0)])
+def test_scores_against_plain_python(spark, monkeypatch, texts, direct, first, slab, rows):
+    monkeypatch.setattr(bm25, "DIRECT_ROWS", direct)
     monkeypatch.setattr(bm25, "FIRST_ROWS", first)
     for module in (bm25, index):
         monkeypatch.setattr(module, "SLAB", slab)
@@ -79,6 +80,7 @@ def same_statistics(a, b):
 @pytest.mark.parametrize("named, rows", [(1000, 500_000), (0, 500_000), (0, 0)])
 def test_a_stored_index_in_parts_gives_the_same_as_one_of_all(spark, tmp_path, monkeypatch, texts, named, rows):
     monkeypatch.setattr(index, "NAMED_TERMS", named)
+    monkeypatch.setattr(bm25, "DIRECT_ROWS", 0 if named else 50_000_000)
     for module in (bm25, index):
         monkeypatch.setattr(module, "BROADCAST_ROWS", rows)
     old = index.write_index(relation(spark, texts), str(tmp_path / "1"))

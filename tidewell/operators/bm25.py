@@ -23,6 +23,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OKAPI_K1, OKAPI_B = 1.5, 0.75
 #: Postings of a query's strongest phrases that are scored first.
 FIRST_ROWS = 20_000
+#: Postings of all phrases of a batch up to which all are scored: bounds would cost more than they save.
+DIRECT_ROWS = 50_000_000
 #: Scores are compared to 6 places.
 SLACK = 2e-6
 
@@ -88,6 +90,9 @@ def _scores(uses: DataFrame, source: Index | Loose, formula: Formula, k: int | N
     within = (lambda rows: rows) if allowed is None else (lambda rows: rows.join(allowed, allowed.columns, "left_semi"))
     if k is None:
         return _sums(within(_added(blocks, asked, source, formula, avgdl, uses.count())))
+    asked = materialise(asked, "fts-found")
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT_ROWS:
+        return _sums(within(_added(blocks, asked, source, formula, avgdl, asked.count())))
 
     # From the weakest phrase on, what all up to here can add; from the strongest on, how many postings they have.
     weak = Window.partitionBy("qid").orderBy("ub", F.desc("key"))
