@@ -4,7 +4,7 @@ Both tokenizers always part where a blank or a line feed follows a letter, digit
 different segments are tokenised once for the whole corpus, and aligned once, by relations alone: their tokens are exploded with their
 places, windows sum their lengths into ends, an equi-join on segment and end finds the cuts, a running count of cuts numbers the groups, and the ends of
 both sides in order give the links: between two neighbouring ends lie one token of each side, and no other pair overlaps there.
-Texts get their segments' groups and links by joins: frequent segments are broadcast, up to a number of rows, the others shuffled.
+Texts get their segments' groups and links by joins: with the most frequent segments, up to a number of rows, by broadcast, with the others by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,27 +13,32 @@ import json
 import os
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import discard, materialise, quoted, ship
 
 A_FILE, B_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: Where segments begin.
-SEAM = r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \n])"
+SEAM = r"(?=[ \n])(?<=[\p{L}\p{N}\p{P}\p{S}])"
 #: Rows that a join broadcasts at most, the most frequent ones, and characters of a segment among them.
 HEAD_ROWS, HEAD_CHARS = 200_000, 48
-#: A pair of ids as one number: A's times this, and B's.
-PAIR = 1 << 32
+#: A pair of ids as one number below 2^31: A's times this, and B's.
+PAIR = 1 << 15
+#: A link's code: its pair of ids times this, and 1 if the token of A ends where it does, and 2 if that of B does.
+CODE = 4
+#: Segments tokenised at once; shares of the rows that get their links one after the other.
+ROWS, SHARES = 2000, 3
 #: A join on (segment, end) may use a partitioning by segment.
 _KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 
-TOKENS = T.StructType([T.StructField(f, T.ArrayType(T.IntegerType())) for f in ("a", "a_len", "b", "b_len")])
+TOKENS = "seg string, n long, a array<int>, b array<int>"
 
 
 def _byte_of() -> dict[str, int]:
@@ -59,9 +64,11 @@ class Tokenizers:
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.blank = self.b.piece_to_id("▁")
         self.b_bytes = {i: piece(i) for i in range(self.b.get_piece_size())}
+        if len(self.b_bytes) > PAIR or max(self.a_bytes) * PAIR >= 1 << 31:
+            raise ValueError("a pair of ids of these tokenizers is no 31-bit number")
 
-    def segments(self, texts: list[str]) -> Iterator[tuple[list[int], ...] | tuple[None, ...]]:
-        """Ids and byte lengths by A and B for each segment; nothing where the bytes of either aren't the segment's."""
+    def segments(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | tuple[None, None]]:
+        """Ids by A and B for each segment; nothing where the bytes of either aren't the segment's."""
         # B adds a blank, but to nothing at all: it stands for the one that the segment begins with, or else goes again.
         for text, a, b in zip(texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t.removeprefix(" ") for t in texts], num_threads=1)):
             ids, raw = a.ids, text.encode()
@@ -69,11 +76,8 @@ class Tokenizers:
                 b = [self.blank]
             elif not text.startswith(" "):
                 b = b[1:] if self.b_bytes[b[0]] == b" " else []
-            of_a, of_b = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in b]
-            if b"".join(of_a) != raw or b"".join(of_b) != raw:
-                yield None, None, None, None
-            else:
-                yield ids, list(map(len, of_a)), b, list(map(len, of_b))
+            same = b"".join(map(self.a_bytes.__getitem__, ids)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
+            yield (ids, b) if same else (None, None)
 
 
 @lru_cache(maxsize=2)
@@ -86,17 +90,31 @@ def segments_of(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(F.concat(F.lit(" "), text), SEAM))
 
 
-def tokenise(segments: DataFrame, col: str, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """``segments`` with ``tok``: ids and byte lengths by both tokenizers, null arrays where bytes don't agree."""
+def _lists(values: list[list[int] | None]) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(x or ()) for x in values]], dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(x or () for x in values), np.int32, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([x is None for x in values]))
+
+
+def tokenise(segments: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
+    """``segments(seg, n)`` with ``a`` and ``b``, the ids by both tokenizers, null where bytes don't agree."""
     ship(segments.sparkSession)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = load(a_file, b_file)
-        for s in batches:
-            yield pd.DataFrame(list(both.segments(s.tolist())), columns=TOKENS.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                made = list(both.segments(batch.column(0).to_pylist()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[_lists([x[k] for x in made]) for k in (0, 1)]], ["seg", "n", "a", "b"])
+
+    return segments.select("seg", "n").mapInArrow(run, TOKENS)
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return segments.withColumn("tok", F.pandas_udf(run, TOKENS)(F.col(col)))
+
+def lengths(spark: SparkSession, a_file: str = A_FILE, b_file: str = B_FILE) -> dict[str, DataFrame]:
+    """For each side (token, len), the bytes of every token of its vocabulary."""
+    both = load(a_file, b_file)
+    return {side: F.broadcast(spark.createDataFrame([(i, len(x)) for i, x in known.items()], f"{side} int, len int")) for side, known in (("a", both.a_bytes), ("b", both.b_bytes))}
 
 
 @contextmanager
@@ -109,35 +127,45 @@ def _partial_keys(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_KEYS, before)
 
 
-def _ends(tokens: DataFrame, side: str) -> DataFrame:
+def _ends(tokens: DataFrame, side: str, known: DataFrame) -> DataFrame:
     """(id, end, token) of one side: each token with the sum of the lengths up to it."""
-    each = tokens.select("id", F.posexplode(F.arrays_zip(F.col(f"tok.{side}").alias("t"), F.col(f"tok.{side}_len").alias("n"))).alias("pos", "x"))
-    return each.select("id", F.sum("x.n").over(Window.partitionBy("id").orderBy("pos")).alias("end"), F.col("x.t").alias(side))
+    each = tokens.select("id", F.posexplode(side).alias("pos", side)).join(known, side)
+    return each.select("id", F.sum("len").over(Window.partitionBy("id").orderBy("pos")).alias("end"), side)
+
 
+def align_tokens(tokens: DataFrame, known: dict[str, DataFrame]) -> DataFrame:
+    """``tokens(id, a, b)`` and both sides' ``lengths`` to (id, n_a, n_b, n_groups, groups, links), one row for each id with tokens.
 
-def align_tokens(tokens: DataFrame) -> DataFrame:
-    """``tokens(id, tok)`` to (id, n_a, n_b, n_groups, n_links, groups, links), one row for each id with tokens.
+    ``groups`` is ``a1,a2|b1;a3|b2``; ``links`` has a number a * PAIR + b for each pair of overlapping tokens.
 
-    ``groups`` is ``a1,a2|b1;a3|b2``; ``links`` has a number a * PAIR + b for each pair of overlapping tokens.  Run within ``_partial_keys``
-    neither windows nor the join deal the exploded tokens out again; the joined ends are dealt out once.
+    Run within ``_partial_keys`` neither windows nor the join deal the exploded tokens out again; the joined ends are dealt out once.
     """
     tokens = tokens.repartition("id")
-    ends = _ends(tokens, "a").join(_ends(tokens, "b"), ["id", "end"], "full")
-    cut = F.col("a").isNotNull() & F.col("b").isNotNull()
+    ends = _ends(tokens, "a", known["a"]).join(_ends(tokens, "b", known["b"]), ["id", "end"], "full")
     # From the last end to the first: the token of a side at an end is the last one seen.
     back = Window.partitionBy("id").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = ends.select("id", "end", "a", "b", cut.alias("cut"), F.count(F.when(cut, 1)).over(back).alias("group"), (F.last("a", True).over(back) * F.lit(PAIR) + F.last("b", True).over(back)).alias("link"))
-    each = rows.groupBy("id").agg(
-        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").alias("n_groups"), F.count(F.lit(1)).alias("n_links"),
-        F.sort_array(F.collect_list(F.struct("end", "a", "b", "cut"))).alias("e"), F.collect_list("link").alias("links"),
-    )
+    link = F.last("a", True).over(back).cast("long") * PAIR + F.last("b", True).over(back)
+    code = link * CODE + F.col("a").isNotNull().cast("int") + 2 * F.col("b").isNotNull().cast("int")
+    each = ends.select("id", "end", code.alias("code")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("end", "code"))).alias("e"))
+    codes, count = F.col("codes"), lambda sides: F.size(_ended(F.col("codes"), sides))
+    made = each.select("id", F.col("e.code").alias("codes"))
+    return made.select("id", count(1).alias("n_a"), count(2).alias("n_b"), count(3).alias("n_groups"), groups_of(codes).alias("groups"), F.transform(codes, lambda c: F.shiftright(c, 2).cast("int")).alias("links"))
+
 
-    def side(name: str) -> Column:
-        own = F.filter("e", lambda x: x[name].isNotNull())
-        return F.split(F.array_join(F.transform(own, lambda x: F.concat(x[name].cast("string"), F.when(x["cut"], ";").otherwise(","))), ""), ";")
+def _ended(codes: Column, sides: int) -> Column:
+    """The codes of links at whose end tokens of the ``sides`` end."""
+    return F.filter(codes, lambda c: c.bitwiseAND(sides) == sides)
 
-    pairs = F.filter(F.zip_with(side("a"), side("b"), lambda x, y: F.concat(x, F.lit("|"), y)), lambda x: x != "|")
-    return each.select("id", "n_a", "n_b", "n_groups", "n_links", F.array_join(pairs, ";").alias("groups"), "links")
+
+def groups_of(codes: Column) -> Column:
+    """``a1,a2|b1;a3|b2`` of a text's codes: a group ends where tokens of both sides do."""
+
+    def side(bit: int, token) -> Column:
+        parts = F.transform(_ended(codes, bit), lambda c: F.concat(token(c).cast("string"), F.when(c.bitwiseAND(3) == 3, ";").otherwise(",")))
+        return F.split(F.array_join(parts, ""), ";")
+
+    both = F.zip_with(side(1, lambda c: F.shiftright(c, (PAIR * CODE).bit_length() - 1)), side(2, lambda c: F.shiftright(c, 2).bitwiseAND(PAIR - 1)), lambda x, y: F.concat(x, F.lit("|"), y))
+    return F.array_join(F.filter(both, lambda x: x != "|"), ";")
 
 
 def _head(table: DataFrame, n: str, rows: int = HEAD_ROWS) -> int:
@@ -152,16 +180,18 @@ def _head(table: DataFrame, n: str, rows: int = HEAD_ROWS) -> int:
     return least if least is not None else 1 << 20
 
 
-def _parts(rows: DataFrame, table: DataFrame, key: str, n: str, fits: Column | None = None) -> list[DataFrame]:
-    """``rows`` joined with ``table`` on ``key``: with its most frequent rows by broadcast, with the others, if there are any, by a shuffle."""
+def _parts(table: DataFrame, key: str, n: str, fits: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The most frequent rows of ``table``, few enough for a broadcast, and the others, None if there are none."""
     fits = F.lit(True) if fits is None else fits
     level = F.floor(2 * F.log2(n)).cast("int")
     is_head = (level >= _head(table.where(fits), n)) & fits
-    head, tail = table.where(is_head), table.where(~is_head)
-    out = [rows.join(F.broadcast(head), key)]
-    if not tail.isEmpty():
-        out.append(rows.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key))
-    return out
+    tail = table.where(~is_head)
+    return table.where(is_head), None if tail.isEmpty() else tail
+
+
+def _rest(rows: DataFrame, head: DataFrame, tail: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose key is none of the head's, joined with the tail."""
+    return rows.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key)
 
 
 def align(docs: DataFrame, text_col: str = "text", keep_cols: list[str] | None = None, with_groups: bool = True, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
@@ -175,45 +205,55 @@ def align(docs: DataFrame, text_col: str = "text", keep_cols: list[str] | None =
     spark = docs.sparkSession
     cols = quoted(docs.columns if keep_cols is None else keep_cols)
     # Written once: rows keep their numbers however often they are read.
-    texts = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*cols).alias("__kept"), F.col(text_col).alias("__text")), "align-rows")
-    segs = segments_of(F.col("__text"))
-    known = materialise(texts.select(F.explode(segs).alias("seg")).groupBy("seg").agg(F.count(F.lit(1)).alias("n")), "align-segments")
-    tokens = materialise(tokenise(known, "seg", a_file, b_file).withColumn("id", F.monotonically_increasing_id()), "align-tokens")
+    texts = materialise(docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*cols).alias("__kept"), segments_of(F.col(text_col)).alias("__segs")), "align-rows")
+    known = materialise(texts.select(F.explode("__segs").alias("seg")).groupBy("seg").agg(F.count(F.lit(1)).alias("n")), "align-segments")
+    tokens = materialise(tokenise(known, a_file, b_file).withColumn("id", F.monotonically_increasing_id()), "align-tokens")
     discard(known)
     with _partial_keys(spark):
-        aligned = materialise(align_tokens(tokens.where(F.col("tok.a").isNotNull()).select("id", "tok")), "align-groups")
+        aligned = materialise(align_tokens(tokens.where("a is not null").select("id", "a", "b"), lengths(spark, a_file, b_file)), "align-groups")
     table = materialise(tokens.select("id", "seg", "n").join(aligned, "id", "left").drop("id"), "align-table")
     discard(tokens)
     discard(aligned)
 
-    each = texts.select("__row", "__text").repartition("__row").select("__row", F.posexplode(segs).alias("pos", "seg"))
-    made = ["n_a", "n_b", "n_groups", "n_links"]
-    rows = None
-    for part in _parts(each, table, "seg", "n", F.length("seg") <= HEAD_CHARS):
-        some = part.groupBy("__row").agg(*[F.sum(c).alias(c) for c in made], F.count(F.when(F.col("groups").isNull(), 1)).alias("bad"), F.collect_list(F.struct("pos", "groups")).alias("g"), F.flatten(F.collect_list("links")).alias("links"))
-        if rows is None:
-            rows = some
-        else:
-            o = some.select("__row", *[F.col(c).alias(f"o_{c}") for c in some.columns[1:]])
-            sums = [(F.coalesce(c, F.lit(0)) + F.coalesce(f"o_{c}", F.lit(0))).alias(c) for c in [*made, "bad"]]
-            none = lambda c: F.coalesce(c, F.array().cast(some.schema[c.removeprefix("o_")].dataType))
-            rows = rows.join(o, "__row", "full").select("__row", *sums, *[F.concat(none(c), none(f"o_{c}")).alias(c) for c in ("g", "links")])
-    groups = F.array_join(F.transform(F.sort_array("g"), lambda x: x["groups"]), ";")
-    good = (F.col("bad") == 0) & (F.col("n_links") > 0)
-    rows = rows.select("__row", *[F.when(good, F.col(c)).otherwise(0).alias(c) for c in made], F.when(good, groups).alias("groups"), F.when(good, F.col("links")).alias("links"))
-    rows = texts.select("__row", "__kept").join(rows, "__row", "left")
-    rows = rows.select("__row", "__kept", *[F.coalesce(c, F.lit(0)).alias(c) for c in made], F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256"), *[F.coalesce("groups", F.lit("")).alias("groups")] * with_groups, F.coalesce("links", F.array().cast("array<long>")).alias("links"))
-    rows = materialise(rows, "align-texts")
-    discard(table)
-    discard(texts)
+    made = ["n_a", "n_b", "n_groups"]
+
+    def gathered(part: DataFrame, to: str) -> DataFrame:
+        sums = [F.sum(c).alias(f"{to}{c}") for c in made]
+        return part.groupBy("__row").agg(*sums, F.count(F.when(F.col("groups").isNull(), 1)).alias(f"{to}bad"), F.collect_list(F.struct("pos", "groups")).alias(f"{to}g"), F.flatten(F.collect_list("links")).alias(f"{to}links"))
+
+    each = lambda rows: rows.select("__row", F.posexplode("__segs").alias("pos", "seg"))
+    frequent, rare = _parts(table, "seg", "n", F.length("seg") <= HEAD_CHARS)
+    head, tail = frequent.drop("n"), rare.drop("n") if rare is not None else table.drop("n").limit(0)
+    added = lambda c: F.coalesce(f"h_{c}", F.lit(0)) + F.coalesce(f"l_{c}", F.lit(0))
+
+    def aligned_texts(own: DataFrame) -> DataFrame:
+        """``own`` rows of the texts with their groups and links, a written table."""
+        # Rare segments go first, and their shuffles with them; rows are dealt out only for the frequent ones, and stay in place from there on.
+        late = materialise(gathered(_rest(each(own), head, tail, "seg"), "l_"), "align-rare")
+        rows = gathered(each(own.select("__row", "__segs").repartition("__row")).join(F.broadcast(head), "seg"), "h_")
+        rows = own.select("__row", "__kept").join(rows, "__row", "left").join(late, "__row", "left")
+        both = lambda c: F.concat(*[F.coalesce(f"{t}_{c}", F.array().cast(late.schema[f"l_{c}"].dataType)) for t in "hl"])
+        good = added("bad") == 0
+        rows = rows.select("__row", "__kept", *[F.when(good, added(c)).otherwise(0).alias(c) for c in made], F.when(good, F.array_join(F.sort_array(both("g"))["groups"], ";")).otherwise("").alias("groups"), F.when(good, both("links")).otherwise(F.array().cast("array<int>")).alias("links"))
+        digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+        rows = materialise(rows.select("__row", "__kept", *made, F.size("links").cast("long").alias("n_links"), digest.alias("groups_sha256"), *[F.col("groups")] * with_groups, "links"), "align-texts")
+        discard(late)
+        return rows
+
+    # A share of the rows at a time, so that what lies on disk between two steps is a share of it too.
+    rows = reduce(DataFrame.unionByName, [aligned_texts(texts.where(F.pmod(F.xxhash64("__row"), F.lit(SHARES)) == k)) for k in range(SHARES)])
+    for done in (table, texts):
+        discard(done)
 
     counts = rows.select(F.explode(F.array_distinct("links")).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"))
-    best = F.col("n") == F.max("n").over(Window.partitionBy(F.shiftright("link", 32)))
+    best = F.col("n") == F.max("n").over(Window.partitionBy(F.expr(f"link div {PAIR}")))
     pairs = materialise(counts.select("link", "n", best.cast("int").alias("best")), "align-pairs")
-    sums = None
-    for part in _parts(rows.select("__row", F.explode("links").alias("link")), pairs, "link", "n"):
-        some = part.groupBy("__row").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
-        sums = some if sums is None else sums.unionByName(some).groupBy("__row").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
+    links = rows.select("__row", F.explode("links").alias("link"))
+    frequent, rare = _parts(pairs, "link", "n")
+    joined = links.join(F.broadcast(frequent), "link")
+    if rare is not None:
+        joined = joined.unionByName(_rest(links, frequent, rare, "link").select(joined.columns))
+    sums = joined.groupBy("__row").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
     out = rows.join(sums, "__row", "left")
-    fields = [*made, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256", F.col("groups") if with_groups else F.lit(None).cast("string").alias("groups"), "links"]
+    fields = [*made, "n_links", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_best", "count_sum")], "groups_sha256", F.col("groups") if with_groups else F.lit(None).cast("string").alias("groups"), "links"]
     return out.select(*[F.col("__kept").getField(c).alias(c) for c in (docs.columns if keep_cols is None else keep_cols)], F.struct(*fields).alias("__al"))
