@@ -144,6 +144,20 @@ def test_strings_in_texts(spark, monkeypatch):
     assert strings.occurrences(spark.createDataFrame(rows, "key string, text string"), spark.createDataFrame([], "needle string")).count() == 0
 
 
+def test_own_strings_in_texts(spark, monkeypatch):
+    r = random.Random(9)
+    texts = [(f"k{i % 3}", f"t{i}", "".join(r.choice("abé𝄞") for _ in range(r.randint(0, 60)))) for i in range(40)] + [(None, "t", "ab"), ("k0", "u", None)]
+    pool = [t for _, _, t in texts if t]
+    needles = [(f"k{r.randint(0, 3)}", t[a : a + r.randint(1, 40)]) for t in r.choices(pool, k=150) for a in [r.randint(0, len(t) - 1)]] + [("k0", ""), ("k1", None), (None, "ab"), ("k2", "zzz")]
+    want = sorted({(k, i, n) for k, i, t in texts for key, n in needles if k and k == key and t and n and n in t})
+    # No task gets the strings themselves, so nothing is collected in blocks of them.
+    monkeypatch.setattr(strings, "NEEDLES", 0)
+    for most in (1 << 29, 1 << 16):
+        monkeypatch.setattr(strings, "MOST_BITS", most)
+        got = strings.own_occurrences(spark.createDataFrame(texts, "key string, id string, text string"), spark.createDataFrame(needles, "key string, needle string"))
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+
+
 @pytest.mark.parametrize("slab", [7, 1, 1000])
 def test_numbers_go_on_without_gaps(spark, slab):
     r = random.Random(2)
