@@ -1,8 +1,8 @@
 """Exact nearest neighbours of a batch of queries, with filters before the cut.
 
 The queries are the small side: their number is checked, and within the limit they travel with the
-task as one matrix, against which each Arrow batch of chunks is multiplied.  A batch keeps the best k per query and
-all that tie with the last of them; the cut over all batches follows.  Beyond the limit the queries go in blocks.
+task as one matrix, against which chunks are multiplied in tiles of a fixed number of values.  A task keeps the best k per
+query, ties by rowid; the cut over all tasks follows.  Beyond the limit the queries go in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .topk import BROADCAST_QUERIES, best
 
-ROWS = 4096
+#: Chunks, and distances, that are made at a time.
+ROWS, VALUES = 4096, 1_000_000
 
 
 def id_prefix(prefix: str) -> Column:
@@ -43,16 +44,25 @@ def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 def _scan(ids: np.ndarray, q: np.ndarray, k: int, measure, sign: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.iinfo(np.int64).max
+        top, who = np.full((len(q), k), np.inf), np.full((len(q), k), none)
         for pdf in batches:
             for at in range(0, len(pdf), ROWS):
                 part = pdf.iloc[at : at + ROWS]
-                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                rowid, x = part["rowid"].to_numpy(), np.stack(part["embedding"].to_numpy()).astype(np.float64)
                 if x.shape[1] != q.shape[1]:
                     raise ValueError(f"vectors of {x.shape[1]} and {q.shape[1]} numbers")
-                values = np.round(measure(x, q), 6) + 0.0
-                last = np.partition(sign * values, min(k, len(x)) - 1, axis=0)[min(k, len(x)) - 1]
-                r, c = np.nonzero(sign * values <= last[None])
-                yield pd.DataFrame({"qid": ids[c], "rowid": part["rowid"].to_numpy()[r], "value": values[r, c]})
+                step = max(1, VALUES // len(x))
+                for lo in range(0, len(q), step):
+                    values = sign * np.round(measure(x, q[lo : lo + step]), 6) + 0.0
+                    reached = values <= top[lo : lo + step, -1]
+                    for c in np.nonzero(reached.any(0))[0]:
+                        r = np.nonzero(reached[:, c])[0]
+                        value, ident = np.concatenate([top[lo + c], values[r, c]]), np.concatenate([who[lo + c], rowid[r]])
+                        first = np.lexsort((ident, value))[:k]
+                        top[lo + c], who[lo + c] = value[first], ident[first]
+        r, c = np.nonzero(who != none)
+        yield pd.DataFrame({"qid": ids[r], "rowid": who[r, c], "value": sign * top[r, c] + 0.0})
 
     return run
 
