@@ -59,11 +59,11 @@ def dated_rowids(chunks: DataFrame, dates: DataFrame) -> DataFrame:
     return headed.join(dates, headed["day"] == dates["date"]).select("qid", "rowid")
 
 
-def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5, pool: int = POOL, rrf_k: int = RRF_K, recency_weight: float = RECENCY, importance_weight: float = IMPORTANCE, allowed: Column | None = None, vectors: bool = True, dated: bool = False, index: Index | None = None) -> DataFrame:
+def search_hybrid(queries: DataFrame, chunks: DataFrame, now: float, k: int = 5, pool: int = POOL, rrf_k: int = RRF_K, recency_weight: float = RECENCY, importance_weight: float = IMPORTANCE, allowed: Column | None = None, vectors: bool = True, dated: bool = False, index: DataFrame | Index | None = None) -> DataFrame:
     """Vector and full-text lists of depth ``pool`` fused, with recency and importance as small bonuses; one row per hit.
 
     ``queries`` has qid, text and embedding.  With ``dated``, a query that names one session date ranks the chunks
-    of that session first, by their own fusion.  Equal scores keep vector hits first.  ``index`` is the stored index of the chunks, where there is one.
+    of that session first, by their own fusion.  Equal scores keep vector hits first.  ``index`` is the stored index of the chunks, or their rowid and content alone, where there is one.
     """
     vec = search_l2(queries.where("embedding is not null"), chunks, pool, allowed) if vectors else None
     may = None if allowed is None else chunks.where(allowed).select("rowid")
@@ -95,9 +95,9 @@ def _restricted(queries: DataFrame, chunks: DataFrame, words: DataFrame | Index,
     return _fused(vec, fts, rrf_k)
 
 
-def search_weighted(queries: DataFrame, chunks: DataFrame, top_k: int = 10, min_score: float = 0.0, bm25_weight: float = 0.4, vector_weight: float = 0.6) -> DataFrame:
+def search_weighted(queries: DataFrame, chunks: DataFrame, top_k: int = 10, min_score: float = 0.0, bm25_weight: float = 0.4, vector_weight: float = 0.6, index: DataFrame | Index | None = None) -> DataFrame:
     """In-memory hybrid: the best 2k of each side, each divided by its maximum, added with weights; scores returned are the normalised ones."""
-    words = best(okapi_scores(queries, chunks, 2 * top_k).withColumn("s", F.round("score", 6)), 2 * top_k, F.desc("s"), F.col("rowid")).select("qid", "rowid", F.col("s").alias("bm25"))
+    words = best(okapi_scores(queries, chunks if index is None else index, 2 * top_k).withColumn("s", F.round("score", 6)), 2 * top_k, F.desc("s"), F.col("rowid")).select("qid", "rowid", F.col("s").alias("bm25"))
     near = search_cosine(queries.where("embedding is not null"), chunks, 2 * top_k).where("similarity > 0").select("qid", "rowid", F.col("similarity").alias("vec"))
     both = words.join(near, ["qid", "rowid"], "full_outer")
     per_query = Window.partitionBy("qid")
