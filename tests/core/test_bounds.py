@@ -53,3 +53,14 @@ def test_texts_without_marks_meet_no_pattern(spark, monkeypatch):
     # A pattern that would mask everything is not even tried on the others.
     monkeypatch.setattr(masking, "FLAT", [("(?s).+", "X")])
     assert [n for n, t in map(tuple, df.select("n", masking.mask(F.col("text"))).collect()) if t == "X"] == [2, 3, 4, 5, 6, 7, 8]
+
+
+def test_an_index_is_written_after_one_shuffle(spark):
+    from tidewell.operators import index
+
+    texts = [(i * 7, f"oak{i % 5} pine oak{i % 3}") for i in range(3000)]
+    tokens = index.tokens_of(spark.createDataFrame(texts, "rowid long, content string"))
+    made = index.blocks_by_slab(tokens, 3)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    key = lambda r: (r["term"], r["slab"], r["rows"], r["top_tf"], r["least_dl"], str(r["posts"]))
+    assert sorted(map(key, made.collect())) == sorted(map(key, index.blocks_of(tokens).collect()))
