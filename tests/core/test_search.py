@@ -158,6 +158,35 @@ def test_own_strings_in_texts(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("most", [1 << 29, 1 << 16])
+def test_own_pairs_in_texts(spark, monkeypatch, most):
+    r = random.Random(11)
+    texts = [(f"k{i % 3}", f"t{i % 35}", "".join(r.choice("abé𝄞") for _ in range(r.randint(0, 60)))) for i in range(40)] + [(None, "t", "ab"), ("k0", "u", None), ("k0", None, "abab")]
+    pool = [t for _, _, t in texts if t]
+    piece = lambda t, most: t[(a := r.randint(0, len(t) - 1)) : a + r.randint(1, most)]
+    pairs = [(f"k{r.randint(0, 3)}", piece(t, 40), piece(r.choice([t, r.choice(pool)]), 30) if r.random() < 0.8 else "") for t in r.choices(pool, k=200)]
+    pairs += [("k0", "", "a"), ("k1", None, "a"), ("k1", "a", None), (None, "ab", ""), ("k2", "zzz", ""), ("k0", "a", ""), ("k0", "a", "b")]
+    want = {}
+    for k, n, also in pairs:
+        ids = [i for key, i, t in texts if k and k == key and i and t and n and also is not None and n in t and also in t]
+        if ids:
+            want[k, n, also] = (len(ids), min(ids))
+    monkeypatch.setattr(strings, "MOST_BITS", most)
+    asked = spark.createDataFrame(pairs, "key string, needle string, also string")
+    got = strings.own_pairs(spark.createDataFrame(texts, "key string, id string, text string"), asked).join(asked.distinct(), ["key", "needle", "also"]).collect()
+    assert {(x.key, x.needle, x.also): (x.n, x.only) for x in got} == want and len(got) == len(want) > 50
+
+
+def test_facts_are_linked_without_sending_texts(spark):
+    c, f, _, _ = facts_and_chunks(spark)
+    out = facts.reconcile(f, c)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # No join or exchange sees a text.
+    assert "ontains(text" not in plan and "hashpartitioning(source#" in plan
+    assert not [line for line in plan.split("\n") if "Exchange" in line and "found#" in line]
+
+
 @pytest.mark.parametrize("slab", [7, 1, 1000])
 def test_numbers_go_on_without_gaps(spark, slab):
     r = random.Random(2)
