@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -112,3 +113,20 @@ def test_joining_tokens_takes_no_exchange_of_tokens(spark):
         plan = alignment.align_tokens(tokens, alignment.lengths(spark))._jdf.queryExecution().executedPlan().toString()
     # Both sides as arrays, and once the rows that the full join makes.
     assert plan.count("Exchange hashpartitioning(id") == plan.replace("BroadcastExchange ", "").count("Exchange ") == 3
+
+
+def test_a_share_reads_its_own_rows_only(spark, monkeypatch):
+    plans, whole = [], alignment.materialise
+
+    def spied(df, tag, *args, **options):
+        if tag in ("align-rare", "align-texts"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, tag, *args, **options)
+
+    monkeypatch.setattr(alignment, "materialise", spied)
+    texts = [t for _, t, *_ in fixtures.rows(n=20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(3)
+    check(alignment.align(docs, keep_cols=["k"], with_groups=False).collect(), texts, lambda x: x.k)
+    assert len(plans) == 2 * alignment.SHARES
+    scans = [x for p in plans for x in re.findall(r"PartitionFilters: \[[^\]]*", p) if "__share" in x]
+    assert len(scans) >= len(plans), plans[0]
