@@ -130,3 +130,44 @@ def test_a_share_reads_its_own_rows_only(spark, monkeypatch):
     assert len(plans) == 2 * alignment.SHARES
     scans = [x for p in plans for x in re.findall(r"PartitionFilters: \[[^\]]*", p) if "__share" in x]
     assert len(scans) >= len(plans), plans[0]
+
+
+def test_runs_of_segments_give_the_tokens_of_each(monkeypatch):
+    both = alignment.load()
+    r = random.Random(5)
+    seams = re.compile(r"(?<=[^\W_])(?=[ \n])")
+    parts = [s for t in [*ODD, *[t for _, t, *_ in fixtures.rows(n=20)]] if t for s in seams.split(" " + t)]
+    texts = parts + r.sample(parts, len(parts))
+    runs = alignment._runs(texts)
+    assert [t for run in runs for t in run] == texts and 1 < max(map(len, runs)) <= alignment.RUN
+    calls, whole = [], both.a.encode_batch_fast
+    both.a = type("Spied", (), {"encode_batch_fast": staticmethod(lambda x, **options: calls.append(len(x)) or whole(x, **options))})()
+    try:
+        made = list(both.segments(texts))
+    finally:
+        both.a = whole.__self__
+    assert calls[0] == len(runs) < len(texts)
+    assert [tuple(x) for x in made] == [tuple(x) for x in both._each(texts)]
+
+
+def test_the_query_shuffles_no_links_with_its_rows(spark):
+    plan = llm_queries.op11_cross_tokenizer_alignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    whole_rows = [x for x in plan.splitlines() if "FileScan" in x and "groups_sha256" in x]
+    assert whole_rows and not any("links" in x.replace("n_links", "") for x in whole_rows)
+
+
+def test_the_groups_are_joined_where_they_are_made(spark, monkeypatch):
+    plans, tags, whole = [], [], alignment.materialise
+
+    def spied(df, tag, *args, **options):
+        tags.append(tag)
+        if tag == "align-table":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, tag, *args, **options)
+
+    monkeypatch.setattr(alignment, "materialise", spied)
+    docs = spark.createDataFrame(list(enumerate([t for _, t, *_ in fixtures.rows(n=20)])), "k long, text string")
+    alignment.align(docs, keep_cols=["k"], with_groups=False).count()
+    # Three of the tokens' alignment and one of the segments themselves; no table of groups in between.
+    assert "align-groups" not in tags and plans[0].replace("BroadcastExchange ", "").count("Exchange ") == 4
+    assert "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0]

@@ -60,7 +60,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alignment.align(table(spark, sf_dir, "documents"), keep_cols=["doc_id"], with_groups=False)
+    rows = alignment.align(table(spark, sf_dir, "documents"), keep_cols=["doc_id"], with_groups=False, with_links=False)
     return rows.select("doc_id", *[f"__al.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")])
 
 
