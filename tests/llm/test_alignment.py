@@ -171,3 +171,5 @@ def test_the_groups_are_joined_where_they_are_made(spark, monkeypatch):
     # Three of the tokens' alignment and one of the segments themselves; no table of groups in between.
     assert "align-groups" not in tags and plans[0].replace("BroadcastExchange ", "").count("Exchange ") == 4
     assert "SortAggregate" in plans[0] and "ObjectHashAggregate" not in plans[0]
+    # Strings are made after the windows' shuffle.
+    assert "concat(" in plans[0] and "concat(" not in plans[0].split("+- Window", 1)[1]
