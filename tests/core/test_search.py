@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +179,22 @@ def test_own_pairs_in_texts(spark, monkeypatch, most):
     assert {(x.key, x.needle, x.also): (x.n, x.only) for x in got} == want and len(got) == len(want) > 50
 
 
+def test_maps_reach_the_driver_as_blocks_of_bytes(spark, monkeypatch):
+    """The same bits as made one by one, in few rows whatever the number of strings."""
+    n, rows = 20_000, []
+    for name in ("collect", "toLocalIterator"):
+        real = getattr(type(spark.range(1)), name)
+        monkeypatch.setattr(type(spark.range(1)), name, lambda df, *a, real=real, **k: [rows.append(r) or r for r in real(df, *a, **k)])
+    monkeypatch.setattr(strings, "BLOCK_BITS", 1 << 18, raising=False)
+    got = strings._bit_map(spark.range(n).selectExpr("cast(id as string) head"), lambda pdf: strings._mixed(strings._whole(pdf["head"]), pdf["head"].map(len).to_numpy(np.uint64)))
+    x = strings._mixed(strings._whole(pd.Series(map(str, range(n)))), pd.Series(map(str, range(n))).map(len).to_numpy(np.uint64))
+    want = np.zeros(8 * len(got), bool)
+    for k in range(3):
+        want[strings._place(x, k, len(want))] = True
+    assert (np.packbits(want, bitorder="little") == got).all() and len(want) == 1 << 21
+    assert 8 <= len(rows) <= 10
+
+
 def test_facts_are_linked_without_sending_texts(spark):
     c, f, _, _ = facts_and_chunks(spark)
     out = facts.reconcile(f, c)
