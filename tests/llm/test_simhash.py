@@ -112,6 +112,23 @@ def test_near_dedup_deletes_from_a_similarity_of_08_on_and_never_below(spark):
     assert all(np.mean(x) >= 0.95 for step, x in gone.items() if step >= 16), {k: np.mean(x) for k, x in gone.items()}
 
 
+@pytest.mark.parametrize("chars, rows", [(2_000_000, 4096), (20_000, 4096), (2_000_000, 7)])
+def test_links_that_the_forest_left_out_are_found(spark, monkeypatch, chars, rows):
+    """Groups around a similarity of 0.8, where most candidates are dropped: what stays is what all pairs compared in full leave."""
+    monkeypatch.setattr(simhash, "CELL_CHARS", chars, raising=False)
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows, raising=False)
+    r = random.Random(21)
+    texts = []
+    for g in range(12):
+        words = [fixtures.word(r) + str(r.randint(0, 9)) for _ in range(r.choice([60, 150]))]
+        texts += [" ".join(edited(words, r.uniform(0.86, 0.92), r)) for _ in range(40 if g == 0 else r.randint(3, 15))]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if jaccard(texts[a], texts[b]) >= 0.8]
+    true = labels(len(texts), links)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.select("doc_id").collect()) == sorted(set(true))
+    assert len(texts) * 0.3 < len(set(true)) < len(texts) * 0.9
+
+
 def test_wide_bits_are_majorities(monkeypatch):
     """The counting of bits eight at a time against one at a time, over more shingles than one batch."""
     r = random.Random(3)

@@ -4,6 +4,7 @@ A ``Kind`` says how texts become fingerprints and when two of them link.  ``NARR
 links at 4 or fewer differing bits.  ``WIDE`` has 256 bits over the set of a text's shingles of five words and links at 52 or fewer: differing
 bits follow the angle between the shingle sets, so that 39 are expected at a Jaccard similarity of 0.8 and 128 for unrelated texts.
 Links of WIDE are candidates: ``keep_one`` compares the shingle sets of both texts and drops those below ``SIMILARITY``.
+The forest of candidates stands for links that it leaves out only as long as all of it holds, so where one is dropped, all texts of that group are compared with each other.
 
 A fingerprint is cut into words.  If two fingerprints link, some word of theirs is likely to differ by ``reach`` bits at most, so
 there is one vantage-point tree per word, searched with that radius, and the full distance then decides.  NARROW has two words
@@ -38,6 +39,8 @@ from pyspark.sql import types as T
 from .common import connected_components, discard, forest, materialise, packed_in, quoted, ship
 
 SEED, LEAF_ROWS, LEAF_SHARE, LEAF_CAP, GUEST_CAP, SAMPLE = 42, 1024, 32, 262_144, 524_288, 32768
+#: Characters and texts that meet in one task, twice as many in groups larger than that, when texts are compared in full.
+CELL_CHARS, CELL_ROWS = 2_000_000, 4096
 #: Rows and columns compared at once inside a leaf.
 BLOCK_ROWS, BLOCK_COLS = 256, 1024
 
@@ -309,6 +312,65 @@ def confirmed(links: DataFrame, nodes: DataFrame, marked: DataFrame, text_col: s
     return kept
 
 
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links (u, v) between texts of chunk ``i`` and those of chunk ``j`` whose shingle sets have ``SIMILARITY`` or more in common, thinned to a spanning forest."""
+    sets = [shingle_set(x) for x in pdf["text"]]
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    of = [ids[b - n : b] for b, n in zip(ends.tolist(), size.tolist())]
+    chunk, node = pdf["chunk"].to_numpy(), pdf["node"].to_numpy(np.int64)
+    # Texts without shingles have one node in all, so they link to none.
+    rows, cols = (np.flatnonzero((chunk == pdf[c].iloc[0]) & (size > 0)) for c in ("i", "j"))
+    links, label = [], np.arange(len(pdf))
+    if len(cols):
+        held, flat = np.zeros(len(ids), bool), np.concatenate([of[y] for y in cols.tolist()])
+        starts = np.cumsum(size[cols]) - size[cols]
+        for x in rows.tolist():
+            held[of[x]] = True
+            common = np.add.reduceat(held[flat], starts, dtype=np.int64)
+            held[of[x]] = False
+            near = common * SIMILARITY[1] >= (size[x] + size[cols] - common) * SIMILARITY[0]
+            y = cols[near & (label[cols] != label[x])]
+            if len(y):
+                links += forest(np.full(len(y), x), y, label)
+    return pd.DataFrame([(int(node[a]), int(node[b])) for a, b in links], columns=["u", "v"], dtype="int64")
+
+
+def _text_cells(texts: DataFrame) -> DataFrame:
+    """``texts(node, text, component)`` with the cells in which each takes part: small components share cells, large ones are cut into chunks, each pair of which is a cell."""
+    per = texts.groupBy("component").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("rows"))
+    share = F.greatest(F.col("chars") / CELL_CHARS, F.col("rows") / CELL_ROWS)
+    per = per.select("component", share.alias("share"), F.greatest(F.lit(1), F.ceil(share)).cast("int").alias("chunks"))
+    shared = 1 + int(per.where("chunks = 1").agg(F.sum("share")).first()[0] or 0)
+    zero = F.lit(0)
+    cell = F.when(F.col("chunks") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(shared)))
+    cut = texts.join(per, "component").withColumns({"cell": cell, "chunk": F.pmod(F.xxhash64("node"), "chunks").cast("int")})
+    each = cut.select("cell", "node", "text", "chunk", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("k"))
+    return each.select("cell", "node", "text", "chunk", F.least("chunk", "k").alias("i"), F.greatest("chunk", "k").alias("j"))
+
+
+def left_out(candidates: DataFrame, kept: DataFrame, nodes: DataFrame, marked: DataFrame, text_col: str) -> DataFrame | None:
+    """Links (u, v) that hold in full but that the forest of ``candidates`` left out; a written table, or None where all candidates were ``kept``.
+
+    A link is left out if its ends are in one component of the forest already.  Where all links of a component were kept nothing is missing;
+    in the others all texts are compared with each other, which takes time by the square of the component but a bounded cell of it at once.
+    """
+    pairs = candidates.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    dropped = materialise(pairs.join(kept.hint("merge"), ["u", "v"], "left_anti").select(F.col("u").alias("node")).distinct(), "simhash-dropped")
+    if dropped.isEmpty():
+        return None
+    groups = connected_components(candidates, "simhash-groups")
+    split = groups.join(dropped, "node").select("component").distinct()
+    ends = groups.join(split, "component").join(nodes.select("node", F.col("first.rid").alias("__sim_rid")), "node")
+    texts = marked.select("__sim_rid", F.col(text_col).alias("text")).join(ends.hint("merge"), "__sim_rid")
+    texts = materialise(texts.select("node", "text", "component"), "simhash-split")
+    found = materialise(_text_cells(texts).groupBy("cell", "i", "j").applyInPandas(_compare, "u long, v long"), "simhash-left-out")
+    for done in (dropped, groups, texts):
+        discard(done)
+    return found
+
+
 def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind, confirm: bool = False) -> tuple[DataFrame, DataFrame]:
     """``docs`` as a table with fingerprint and row number, and the distinct fingerprints: bits, root, least id, and the row that stays first."""
     ship(docs.sparkSession)
@@ -317,14 +379,15 @@ def _classify(docs: DataFrame, id_col: str, text_col: str, kind: Kind, confirm:
     nodes = marked.groupBy(F.col("__sim_fp").alias("bits")).agg(F.min(id_col).alias("least"), F.min(first).alias("first"))
     rows = marked.count()
     nodes = materialise(packed_in(nodes, rows).withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
-    links = linked_fingerprints(nodes.select("node", "bits"), kind)
+    links, more = linked_fingerprints(nodes.select("node", "bits"), kind), None
     if confirm:
         candidates, links = links, confirmed(links, nodes, marked, text_col)
+        more = left_out(candidates, links, nodes, marked, text_col)
         discard(candidates)
-    found = connected_components(links, "simhash")
+    found = connected_components(links.unionByName(more) if more is not None else links, "simhash")
     rooted = nodes.join(found, "node", "left").select("bits", "least", "first", F.coalesce("component", "node").alias("root"))
     rooted = materialise(packed_in(rooted, rows), "simhash-roots")
-    for done in (nodes, links, found):
+    for done in (nodes, links, more, found):
         discard(done)
     return marked, rooted
 
@@ -346,7 +409,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: Kind = WIDE) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row with the smallest id (null ids last) stays.
 
-    Components are those of links that ``confirmed`` has compared in full: a chain of such links joins every row that goes to the one that stays.
+    Components are those of links that ``confirmed`` or ``left_out`` has compared in full: a chain of such links joins every row that goes to the one that stays.
     Null, empty and wordless texts count as copies of each other, so one of them stays.  Which row stays is settled without the
     texts; they are dealt out once, by row number, to meet the list of rows that stay.  That list grows with the documents, so it is never broadcast.
     """
